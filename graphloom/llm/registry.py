@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import bpe_codec, ngram_join, packing, token_counts
 
 
 def queries() -> dict:
-    return {"op1_ngram_jaccard_join": ngram_join.query}
+    return {
+        "op1_ngram_jaccard_join": ngram_join.query,
+        "op2_bpe_codec": bpe_codec.query,
+        "op5_best_fit_packing": packing.query,
+        "op10_token_counts": token_counts.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
