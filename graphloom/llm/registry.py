@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, ngram_join, packing, token_counts
+from . import bpe_codec, ngram_join, packing, substring_dedup, token_counts, warc
 
 
 def queries() -> dict:
@@ -10,9 +10,11 @@ def queries() -> dict:
         "op1_ngram_jaccard_join": ngram_join.query,
         "op2_bpe_codec": bpe_codec.query,
         "op5_best_fit_packing": packing.query,
+        "op6_substring_dedup": substring_dedup.query,
+        "op9_warc": warc.query,
         "op10_token_counts": token_counts.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": warc.ORACLE_SQL}
