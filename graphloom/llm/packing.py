@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import automaton
-from .shared import materialize, small_batches, text_chunks
+from .shared import dealt, materialize, small_batches, text_chunks
 from .wordcache import Cache
 
 WORDS, PARTS = 300_000, 300_000
@@ -143,7 +143,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     base = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most max_tokens rows
     runs = spark.sparkContext.broadcast(best_fit(counts, max_tokens))
-    ranked = pieces.join(base, ["length", "task"]).withColumn("rank", F.col("base") + F.col("local"))
+    ranked = pieces.join(dealt(base), ["length", "task"]).withColumn("rank", F.col("base") + F.col("local"))
     return ranked.select("id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place(runs), "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, ngram_join, packing, substring_dedup, token_counts, warc
+from . import bpe_codec, ngram_join, packing, substring_dedup, token_counts, topk, warc
 
 
 def queries() -> dict:
@@ -11,10 +11,11 @@ def queries() -> dict:
         "op2_bpe_codec": bpe_codec.query,
         "op5_best_fit_packing": packing.query,
         "op6_substring_dedup": substring_dedup.query,
+        "op7_topk_search": topk.query,
         "op9_warc": warc.query,
         "op10_token_counts": token_counts.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": warc.ORACLE_SQL}
+    return {"op7_topk_search": topk.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}

@@ -51,6 +51,14 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df for a join with a large table by shuffle at every size, whatever its own size.
+
+    A broadcast at small sizes alone would make small runs tell nothing about large ones.
+    """
+    return df.hint("merge")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .buckets import FLUSH, Packer, bucket_count, bucket_of, unpack
-from .shared import small_batches, text_chunks
+from .shared import dealt, small_batches, text_chunks
 
 _ENTRY = ["hash", "ids", "at", "known"]
 #: What an entry says: not known to repeat; known to, needs no comparison; sent only to inform others.
@@ -199,12 +199,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     width = 2 * base
     while True:
         last = width == words
-        at = settled(some.join(at, "id").mapInArrow(_next_level(base, width, last, buckets), entry), last)
+        at = settled(some.join(dealt(at), "id").mapInArrow(_next_level(base, width, last, buckets), entry), last)
         if last:
             break
         width *= 2
     out = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    return src.join(at, "id", "left").select("id", "text", "at").mapInArrow(_kept(words, keep_text), out)
+    return src.join(dealt(at), "id", "left").select("id", "text", "at").mapInArrow(_kept(words, keep_text), out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, small_batches
+from .shared import dealt, materialize, small_batches
 
 #: Bytes of an archive after which the next record starts another, and bytes that the reader decompresses at a time.
 ARCHIVE_BYTES, BLOCK = 4 << 20, 1 << 16
@@ -125,8 +125,8 @@ def write_archives(pages: DataFrame, least: int = 0, date: str = "1970-01-01T00:
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).where("page_id is not null")
     light = src.select("page_id", F.sha1(F.coalesce("html", F.lit(""))).alias("sha")).where(F.octet_length(F.coalesce("html", F.lit(""))) >= least)
     first = light.groupBy("sha").agg(F.min("page_id").alias("refers_to"))
-    again = light.join(first, "sha").where("page_id > refers_to").select("page_id", "refers_to").distinct()
-    return src.join(again, "page_id", "left").select("page_id", "url", "html", "refers_to").mapInArrow(_write(date), "archive binary, records long")
+    again = light.join(dealt(first), "sha").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return src.join(dealt(again), "page_id", "left").select("page_id", "url", "html", "refers_to").mapInArrow(_write(date), "archive binary, records long")
 
 
 def read_archives(archives: DataFrame, column: str = "archive") -> DataFrame:
