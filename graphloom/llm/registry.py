@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, ngram_join, packing, substring_dedup, token_counts, topk, warc
+from . import bpe_codec, ngram_join, packing, quality, substring_dedup, token_counts, topk, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_best_fit_packing": packing.query,
         "op6_substring_dedup": substring_dedup.query,
         "op7_topk_search": topk.query,
+        "op8_quality_rules": quality.query,
         "op9_warc": warc.query,
         "op10_token_counts": token_counts.query,
     }
