@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .buckets import Packer, bucket_count, bucket_of, unpack
 from .components import components
-from .shared import discard, lists, materialize, small_batches, text_chunks
+from .shared import dealt, discard, lists, materialize, small_batches, text_chunks
 
 #: Documents in a block of the product, and columns in a column block.
 BLOCK, COLUMNS = 1024, 4096
@@ -229,7 +229,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     comp = components(near)
     sizes = comp.groupBy("c").agg(F.count("*").alias("m"))
     inside = comp.join(sizes, "c").select(F.col("v").alias("id"), F.col("c").alias("comp"), "m")
-    sets = src.join(inside, "id").mapInArrow(_sets(n, lower, ["id", "comp", "m"]), "id long, comp long, m long, size long, grams array<long>")
+    sets = src.join(dealt(inside), "id").mapInArrow(_sets(n, lower, ["id", "comp", "m"]), "id long, comp long, m long, size long, grams array<long>")
     sets = materialize(sets, "sets")
     small = sets.where(f"m <= {BLOCK}").select("id", "comp", F.lit(0).alias("side"), "grams", F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(buckets))).alias("task"))
     large = _grid(sets.where(f"m > {BLOCK}"))
