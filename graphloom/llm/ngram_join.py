@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .buckets import Packer, bucket_count, bucket_of, unpack
-from .components import components
+from .components import components, local_forest
 from .shared import dealt, discard, lists, materialize, small_batches, text_chunks
 
 #: Documents in a block of the product, and columns in a column block.
@@ -223,9 +223,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = materialize(light.join(first, ["n", "s1", "s2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
     buckets = bucket_count(spark)
     keys = src.mapInArrow(_part_keys(n, lower, bound, buckets), "bucket int, keys binary, ids binary")
-    stars = keys.groupBy("bucket").applyInArrow(_stars, "a long, b long").distinct()
+    stars = keys.groupBy("bucket").applyInArrow(_stars, "a long, b long")
     reps = members.where("id = rep and n > 0").select(F.col("id").alias("b"))
-    near = materialize(stars.join(reps, "b", "left_semi"), "stars")  # the smallest of a group is always a representative
+    near = materialize(local_forest(stars).join(dealt(reps), "b", "left_semi"), "stars")  # the smallest of a group is always a representative
     comp = components(near)
     sizes = comp.groupBy("c").agg(F.count("*").alias("m"))
     inside = comp.join(sizes, "c").select(F.col("v").alias("id"), F.col("c").alias("comp"), "m")
