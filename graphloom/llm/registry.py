@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, ngram_join, packing, quality, substring_dedup, token_counts, topk, warc
+from . import bpe_codec, line_dedup, ngram_join, packing, quality, substring_dedup, token_counts, topk, warc
 
 
 def queries() -> dict:
     return {
         "op1_ngram_jaccard_join": ngram_join.query,
         "op2_bpe_codec": bpe_codec.query,
+        "op3_line_dedup": line_dedup.query,
         "op5_best_fit_packing": packing.query,
         "op6_substring_dedup": substring_dedup.query,
         "op7_topk_search": topk.query,
