@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, line_dedup, ngram_join, packing, quality, substring_dedup, token_counts, topk, warc
+from . import bpe_codec, line_dedup, lm_score, ngram_join, packing, quality, substring_dedup, token_counts, topk, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_ngram_jaccard_join": ngram_join.query,
         "op2_bpe_codec": bpe_codec.query,
         "op3_line_dedup": line_dedup.query,
+        "op4_lm_score": lm_score.query,
         "op5_best_fit_packing": packing.query,
         "op6_substring_dedup": substring_dedup.query,
         "op7_topk_search": topk.query,
