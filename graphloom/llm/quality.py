@@ -225,6 +225,21 @@ def judge(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     return src.mapInArrow(_judge(field, share, marks), kinds + ", line_labels array<int>" * marks)
 
 
+def keep_content(docs: DataFrame, field: Field, text_col: str = "text", share: float = SHARE) -> DataFrame:
+    """The rows of docs that judge() would keep, with all their columns, in one pass without a shuffle."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        decide = _judge(field, share, False)
+        for batch in batches:
+            text = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(at)], names=["id", "text"])
+            kept = [x.column("kept") for x in decide(iter([text]))]
+            yield batch.filter(pa.chunked_array(kept, pa.bool_()).combine_chunks()) if kept else batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return judge(docs, fit(docs, labels)).withColumnRenamed("id", "doc_id")

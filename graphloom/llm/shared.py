@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel handles at a time; a longer document is handled alone.
 CHUNK_BYTES = 2 << 20
@@ -68,6 +69,17 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
+def carried(docs: DataFrame, *used: str) -> DataFrame:
+    """docs with its other columns in one column rest, so that none of their names can clash."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.withColumn("rest", F.struct(*others) if others else F.struct(F.lit(None).alias("none")))
+
+
+def uncarried(df: DataFrame, docs: DataFrame, **own: Column) -> DataFrame:
+    """df's own columns and those in rest, in the order of docs's columns."""
+    return df.select(*[own[c].alias(c) if c in own else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

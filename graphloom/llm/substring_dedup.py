@@ -18,7 +18,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -147,7 +147,7 @@ def _next_level(base: int, width: int, last: bool, buckets: int):
     return run
 
 
-def _kept(width: int, keep_text: bool):
+def _kept(width: int, keep_text: bool, also: list[str]):
     def run(batches: Iterator[pa.RecordBatch]):
         for batch, buf, offs in text_chunks(batches):
             data, n, gone, sha, texts = buf.tobytes(), [], [], [], []
@@ -164,21 +164,22 @@ def _kept(width: int, keep_text: bool):
                 line = b" ".join(words)
                 sha.append(hashlib.sha256(line).hexdigest())
                 if keep_text:
-                    texts.append(line.decode() if gone[-1] else None)
+                    texts.append((line if gone[-1] else data[a:b]).decode())
             cols = {"id": batch.column("id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-            yield pa.RecordBatch.from_pydict(cols | ({"kept_text": pa.array(texts, pa.string())} if keep_text else {}))
+            yield pa.RecordBatch.from_pydict(cols | ({"kept_text": pa.array(texts, pa.string())} if keep_text else {}) | {c: batch.column(c) for c in also})
 
     return run
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 20, base: int = 10, keep_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 20, base: int = 10, keep_text: bool = False, also: tuple[Column, ...] = ()) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256[, kept_text]) of every row of docs.
 
     A word goes if a window of `words` words covers it whose word sequence also starts earlier (smaller id, or
     same id and earlier start) in docs. words is base times a power of two, 2 at least. kept_text has the kept
-    words joined by spaces where any was removed, else null (the text stays as it is). A null or empty text has no
+    words joined by spaces where any was removed, else the text as it is. A null or empty text has no
     words and loses none. Rows that repeat an id count as that one document, and a document isn't its own earlier
-    copy. Rows with a null id come back unchanged. Other columns are ignored; an empty table gives no rows. Exact but
+    copy. Rows with a null id come back unchanged. also: further columns to return;
+    all others are ignored, whatever their names. An empty table gives no rows. Exact but
     for 64-bit hashes.
     """
     steps = words // base
@@ -187,14 +188,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     spark = docs.sparkSession
     small_batches(spark)
     buckets = bucket_count(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *also)
+    more = src.schema[2:]
     entry = "bucket int, " + ", ".join(f"{n} binary" for n in _ENTRY)
 
     def settled(entries: DataFrame, first: bool) -> DataFrame:
         found = entries.groupBy("bucket").applyInArrow(_repeats(first), "id long, at binary")
         return found.groupBy("id").agg(F.collect_list("at").alias("at"))
 
-    some = src.where("id is not null")
+    some = src.select("id", "text").where("id is not null")
     at = settled(some.mapInArrow(_base_level(base, buckets), entry), False)
     width = 2 * base
     while True:
@@ -204,7 +206,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
             break
         width *= 2
     out = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    return src.join(dealt(at), "id", "left").select("id", "text", "at").mapInArrow(_kept(words, keep_text), out)
+    out += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in more)
+    names = [f.name for f in more]
+    return src.join(dealt(at), "id", "left").select("id", "text", "at", *names).mapInArrow(_kept(words, keep_text, names), out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
