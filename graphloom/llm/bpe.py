@@ -7,8 +7,8 @@ gadgets take away is kept as removed[(u, v)] = rank; what a state had when it wa
 arc t leaves the state of u unless some merge (x, y), x on the right spine of u and y on the left spine of t, came
 before the tokens that enclose x and y. A pair's answer is computed once and then read from the transition table.
 
-A word's only accepted path is its BPE encoding. Encoding advances one symbol at a time and keeps, for each prefix,
-the last token of the prefix's path; the next is the one token that ends here whose arc leaves the state before it.
+A word's only accepted path is its BPE encoding. Encoding follows the longest arc first and steps back where none is
+left; places from which no path goes on are remembered, so that long words take no more than one visit of each.
 """
 
 from __future__ import annotations
@@ -22,7 +22,12 @@ import regex
 #: What the vocabulary's pre-tokenizer matches, and what counts as white space there.
 _SPACE = r"\t-\r\x20\x85\xA0  -     　"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
-_END = "</w>"
+_END, _LAST = "</w>", "\n"
+
+
+def _symbols(token: str) -> str:
+    """A token with its word end as one character that no byte letter is."""
+    return token.removesuffix(_END) + _LAST if token.endswith(_END) else token
 
 
 @lru_cache(1)
@@ -40,28 +45,34 @@ class Automaton:
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         model = data["model"]
-        self.ids: dict[str, int] = model["vocab"]
+        vocab: dict[str, int] = model["vocab"]
         self.added = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.labels = {i: s for s, i in (self.ids | self.added).items()}
+        self.labels = {i: s for s, i in (vocab | self.added).items()}
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
         self.rank: dict[int, int] = {}
         self.removed: dict[tuple[int, int], int] = {}
+        self.ids = {_symbols(s): i for s, i in vocab.items() if len(s.removesuffix(_END)) == 1}
         for k, (u, v) in enumerate(model["merges"]):
-            self._gadget(k, self.ids[u], self.ids[v], self.ids[u + v])
+            self._gadget(k, vocab[u], vocab[v], vocab[u + v])
         self.table: dict[tuple[int, int], bool] = {}
-        self.longest = max(len(s.removesuffix(_END)) for s in self.ids)
+        self.reach: dict[str, int] = {}
+        for s in self.ids:
+            self.reach[s[:2]] = max(len(s), self.reach.get(s[:2], 0))
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
-        self.removed[u, v] = rank
+        """Merge (u, v) into w; w gets an arc only if v can follow u in the automaton so far."""
+        if self._arc(u, v):
+            self.ids[_symbols(self.labels[w])] = w
+        self.removed.setdefault((u, v), rank)
         self.left[w], self.right[w], self.rank[w] = u, v, rank
 
     def _arc(self, u: int, t: int) -> bool:
         """Whether arc t leaves the state of u."""
-        x, before_x = u, len(self.rank) + 1
+        x, before_x = u, len(self.removed) + 1
         while x is not None:
-            y, before_y = t, len(self.rank) + 1
+            y, before_y = t, len(self.removed) + 1
             while y is not None:
                 r = self.removed.get((x, y))
                 if r is not None and r < before_x and r <= before_y:
@@ -72,31 +83,41 @@ class Automaton:
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of a word in byte letters."""
-        ids, table, n = self.ids, self.table, len(word)
-        if (whole := ids.get(word + _END)) is not None and n == 1:
+        s = word + _LAST
+        ids, table, reach, n = self.ids, self.table, self.reach, len(s)
+        if (whole := ids.get(s)) is not None:
             return [whole]
-        last, came = [-1] * (n + 1), [0] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                t = ids.get(word[i:j] if j < n else word[i:] + _END)
-                if t is None or i and last[i] < 0:
+        path: list[int] = []
+        ends = [0]
+        dead: set[tuple[int, int]] = set()
+        at, stop = 0, n - 1
+        while at < n:
+            u = path[-1] if path else -1
+            top = at + reach.get(s[at : at + 2], 1)
+            if stop < top:
+                top = stop
+            for j in range(top, at, -1):
+                t = ids.get(s[at:j])
+                if t is None or (j, t) in dead:
                     continue
-                if i:
-                    if (ok := table.get(key := (last[i], t))) is None:
-                        if len(table) > 2_000_000:
+                if u >= 0:
+                    if (ok := table.get(key := (u, t))) is None:
+                        if len(table) > 1_000_000:
                             table.clear()
-                        ok = table[key] = self._arc(*key)
+                        ok = table[key] = self._arc(u, t)
                     if not ok:
                         continue
-                last[j], came[j] = t, i
+                path.append(t)
+                ends.append(j)
+                at, stop = j, n
                 break
-        out, j = [], n
-        while j:
-            if last[j] < 0:
-                raise ValueError("the vocabulary lacks a base symbol")
-            out.append(last[j])
-            j = came[j]
-        return out[::-1]
+            else:
+                if not path:
+                    raise ValueError("the vocabulary lacks a base symbol")
+                dead.add((at, path.pop()))
+                ends.pop()
+                stop, at = at - 1, ends[-1]
+        return path
 
     def split(self, chunk: str) -> list[str | int]:
         """Pre-split words in byte letters, and the ids of added tokens, of a text."""
@@ -110,6 +131,10 @@ class Automaton:
 
     def _plain(self, text: str) -> list[str]:
         if text.isascii():
+            if text.isalpha():
+                return [text.lower()]
+            if text[:-1].isalpha() and text[-1:] in ".,!?;:":
+                return [text[:-1].lower(), text[-1]]
             found = _SPLIT.findall(text.lower())
             if text.isprintable():
                 return found

@@ -15,38 +15,36 @@ from .shared import small_batches, text_chunks
 from .wordcache import Cache
 
 #: Words and pre-split words that a worker keeps.
-WORDS, PARTS = 300_000, 300_000
+WORDS, PARTS = 400_000, 400_000
 
 
 @lru_cache(2)
-def _caches(path: str) -> tuple[Cache, Cache]:
+def _words(path: str) -> Cache:
+    """A word's ids as decimals and its arc labels, both joined by spaces."""
     a = automaton(path)
-    parts = Cache(a.encode_word, PARTS)
-
-    def encode(word: bytes) -> list[int]:
-        out: list[int] = []
-        for w in a.split(word.decode()):
-            out += [w] if isinstance(w, int) else parts[w]
-        return out
+    text = {i: (b"%d" % i, label.encode()) for i, label in a.labels.items()}
+    join = lambda ids: (b" ".join([text[i][0] for i in ids]), b" ".join([text[i][1] for i in ids]))
+    parts = Cache(lambda w: join(a.encode_word(w)), PARTS)
 
     # White space never joins two words, so a text's ids are those of its words.
-    ids = Cache(lambda w: b" ".join(b"%d" % i for i in encode(w)), WORDS)
-    labels = [a.labels.get(i, "").encode() for i in range(max(a.labels) + 1)]
-    decoded = Cache(lambda w: b" ".join([labels[int(i)] for i in ids[w].split()]), WORDS)
-    return ids, decoded
+    def encode(word: bytes) -> tuple[bytes, bytes]:
+        found = [join([w]) if isinstance(w, int) else parts[w] for w in a.split(word.decode())]
+        return found[0] if len(found) == 1 else (b" ".join([x for x, _ in found]), b" ".join([y for _, y in found]))
+
+    return Cache(encode, WORDS)
 
 
 def _run(path: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]):
-        ids, decoded = _caches(path)
+        known = _words(path)
         for batch, buf, offs in text_chunks(batches):
             data, n, sha, back, lists = buf.tobytes(), [], [], [], []
             for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                words = data[a:b].split()
-                line = b" ".join(filter(None, map(ids.__getitem__, words)))
+                pairs = [p for p in map(known.__getitem__, data[a:b].split()) if p[0]]
+                line = b" ".join([p[0] for p in pairs])
                 n.append(line.count(b" ") + 1 if line else 0)
                 sha.append(hashlib.sha256(line).hexdigest())
-                back.append(hashlib.sha256(b" ".join(filter(None, map(decoded.__getitem__, words)))).hexdigest())
+                back.append(hashlib.sha256(b" ".join([p[1] for p in pairs])).hexdigest())
                 if keep_ids:
                     lists.append([int(i) for i in line.split()])
             cols = {"id": batch.column("id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
