@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import file_name
@@ -75,30 +75,35 @@ def rules_of(language: str) -> list[Rule]:
     return [r for name in names for r in RULES if r.language == name]
 
 
-def matches(content: Column, pattern: str) -> Column:
-    """(text, line) of each match's first group; a line counts from 1 and where the match, with its leading blank lines, starts."""
-    p = "(?mdU)" + pattern
-    # n matches lie between n + 1 gaps; a match starts after all gaps and matches before it.
-    whole = F.regexp_extract_all(content, F.lit("(?mdU)(" + pattern + ")"), 1)
-    gaps = F.split(content, p, -1)
+def rule_table(spark: SparkSession) -> DataFrame:
+    """The rules of each language as rows; a few dozen, so joins may broadcast it."""
+    rows = [(lang, k, r.pattern, r.kind, r.name, r.suffix, r.tail, r.trim, list(r.skip)) for lang in sorted({r.language for r in RULES}) for k, r in enumerate(rules_of(lang))]
+    return spark.createDataFrame(rows, "language string, rule int, pattern string, kind string, rule_name string, suffix string, tail string, trim string, skip array<string>")
+
+
+def with_matches(df: DataFrame) -> DataFrame:
+    """df (content, pattern) with a row for each match: raw, its first group, and line.
+
+    A line counts from 1 and is where the match, with its leading blank lines, starts: the n matches lie between
+    n + 1 gaps, and a match starts after all gaps and matches before it.
+    """
     breaks = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-    texts = F.regexp_extract_all(content, F.lit(p), 1)
-    before = F.transform(texts, lambda _, i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda acc, s: acc + breaks(s)) + F.aggregate(F.slice(whole, 1, i), F.lit(0), lambda acc, s: acc + breaks(s)) + 1)
-    return F.arrays_zip(texts.alias("text"), before.alias("line"))
+    flagged = F.concat(F.lit("(?mdU)"), "pattern")
+    x = df.withColumn("texts", F.regexp_extract_all("content", flagged, F.lit(1))).where(F.size("texts") > 0)
+    x = x.withColumn("whole", F.regexp_extract_all("content", F.concat(F.lit("(?mdU)("), "pattern", F.lit(")")), F.lit(1))).withColumn("gaps", F.expr("split(content, concat('(?mdU)', pattern), -1)"))
+    x = x.withColumn("steps", F.zip_with(F.slice("gaps", 1, F.size("texts")), "whole", lambda g, w: F.struct(breaks(g).alias("g"), breaks(w).alias("w"))))
+    x = x.select("*", F.posexplode("texts").alias("at", "raw"))
+    line = F.aggregate(F.slice("steps", F.lit(1), F.col("at")), F.lit(1), lambda acc, t: acc + t["g"] + t["w"]) + F.get("steps", F.col("at"))["g"]
+    return x.withColumn("line", line).drop("texts", "whole", "gaps", "steps", "at")
 
 
-def _last(text: Column, rule: Rule) -> Column:
-    if rule.trim:
-        text = F.regexp_replace(text, f"^[{rule.trim}]+|[{rule.trim}]+$", "") if rule.trim != "." else text
-    if rule.tail:
-        text = F.element_at(F.split(text, rule.tail.replace(".", r"\.")), -1)
-    if rule.trim == ".":
-        text = F.element_at(F.split(F.regexp_replace(text, r"^\.+", ""), r"\."), 1)
-    if rule.name == "include":
-        text = F.element_at(F.split(text, r"\."), 1)
-    if rule.trim == "{}":
-        text = F.trim(F.regexp_replace(text, r"[{}]", ""))
-    return F.trim(text)
+def _last() -> Column:
+    """What of an import's capture names the thing imported."""
+    t = F.col("raw")
+    for sep, pattern in ((".", r"\."), ("/", "/"), ("::", "::")):
+        t = F.when(F.col("tail") == sep, F.element_at(F.split(F.col("raw"), pattern), -1)).otherwise(t)
+    first = F.element_at(F.split(F.regexp_replace(t, r"^\.+", ""), r"\."), 1)
+    return F.trim(F.when((F.col("trim") == ".") | (F.col("rule_name") == "include"), first).when(F.col("trim") == "{}", F.regexp_replace(t, "[{}]", "")).otherwise(t))
 
 
 def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -109,20 +114,14 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     lang = F.lower("language")
     for name, key in NAMES.items():
         lang = F.when(F.lower("language") == name, key).otherwise(lang)
+    rules = rule_table(files.sparkSession)
     known = sorted({r.language for r in RULES})
     src = files.select("path", lang.alias("language"), F.coalesce("content", F.lit("")).alias("content")).where(F.col("language").isin(*known))
     name = file_name(F.col("path"))
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    src = src.withColumn("file_id", make_id(stem)).withColumn("stem", stem)
-    hits = None
-    for language in known:
-        for k, r in enumerate(rules_of(language)):
-            x = src.where(F.col("language") == language).select("path", "file_id", "stem", F.explode(matches(F.col("content"), r.pattern)).alias("m"))
-            x = x.select("path", "file_id", "stem", F.lit(k).alias("rule"), F.col("m.line").alias("line"), F.col("m.text").alias("raw"), F.lit(r.kind).alias("kind"), F.concat(_last(F.col("m.text"), r) if r.kind != "node" else F.col("m.text"), F.lit(r.suffix)).alias("label"))
-            x = x.where("label <> ''")
-            if r.skip:
-                x = x.where(~F.col("raw").isin(*r.skip))
-            hits = x if hits is None else hits.unionByName(x)
+    src = src.withColumn("stem", stem).withColumn("file_id", make_id(F.col("stem")))
+    hits = with_matches(src.join(F.broadcast(rules), "language")).where(~F.array_contains("skip", F.col("raw")))
+    hits = hits.withColumn("label", F.when(F.col("kind") == "node", F.concat("raw", "suffix")).otherwise(_last())).where("label <> ''")
     node_id = make_id(F.col("stem"), F.col("raw"))
     place = F.format_string("L%d", "line")
     ord_ = F.col("rule").cast("long") * 1_000_000 + F.col("line")
