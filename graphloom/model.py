@@ -48,6 +48,10 @@ class PropertyGraph:
         """Both frames persisted: every analysis reads them."""
         return PropertyGraph(self.nodes.persist(), self.edges.persist())
 
+    def lasting(self) -> PropertyGraph:
+        """Both frames checkpointed where a checkpoint folder is set, so that plans start from them; else persisted."""
+        return PropertyGraph(keep(self.nodes), keep(self.edges))
+
     # Container operations
     def node(self, node_id: str) -> DataFrame:
         return self.nodes.where(F.col("id") == node_id)
@@ -90,6 +94,14 @@ class PropertyGraph:
         return PropertyGraph(nodes, self.edges.dropDuplicates(EDGE_KEY))
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """df checkpointed to the shared folder if one is set, else persisted."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return df.checkpoint()
+    return df.persist()
+
+
 def existing(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose ends are both nodes: two semi joins; Spark broadcasts the ids where they are few enough."""
     ids = nodes.select("id")
