@@ -47,9 +47,7 @@ class Packer:
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         out = [pa.array(bucket[cuts], pa.int32())]
         for c in cols[1:]:
-            c = np.ascontiguousarray(c[order])
-            offs = np.append(cuts, len(c)).astype(np.int64) * c.itemsize
-            out.append(pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(c)]))
+            out.append(pa.array([_planes(x) for x in np.split(c[order], cuts[1:])], pa.binary()))
         return pa.RecordBatch.from_arrays(out, names=["bucket", *self.names])
 
     def rest(self):
@@ -57,6 +55,16 @@ class Packer:
             yield self.flush()
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second ones, and so on: high bytes of small numbers then compress to nothing."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def _values(data: np.ndarray, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(data.reshape(size, -1).T).view(dtype).ravel()
+
+
 def unpack(table: pa.Table, name: str, dtype) -> np.ndarray:
     """The array that a binary column's rows make together."""
-    return np.concatenate([np.frombuffer(x.as_buffer() or b"", dtype) for x in table.column(name)] or [np.zeros(0, dtype)])
+    return np.concatenate([_values(np.frombuffer(x.as_buffer(), np.uint8), dtype) for x in table.column(name)] or [np.zeros(0, dtype)])
