@@ -25,6 +25,10 @@ _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{
 _END, _LAST = "</w>", "\n"
 
 
+#: Transitions that a process keeps at most.
+TRANSITIONS = 1_000_000
+
+
 def _symbols(token: str) -> str:
     """A token with its word end as one character that no byte letter is."""
     return token.removesuffix(_END) + _LAST if token.endswith(_END) else token
@@ -56,10 +60,10 @@ class Automaton:
         self.ids = {_symbols(s): i for s, i in vocab.items() if len(s.removesuffix(_END)) == 1}
         for k, (u, v) in enumerate(model["merges"]):
             self._gadget(k, vocab[u], vocab[v], vocab[u + v])
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}
         self.reach: dict[str, int] = {}
         for s in self.ids:
-            self.reach[s[:2]] = max(len(s), self.reach.get(s[:2], 0))
+            self.reach[s[:3]] = max(len(s), self.reach.get(s[:3], 0))
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         """Merge (u, v) into w; w gets an arc only if v can follow u in the automaton so far."""
@@ -93,18 +97,18 @@ class Automaton:
         at, stop = 0, n - 1
         while at < n:
             u = path[-1] if path else -1
-            top = at + reach.get(s[at : at + 2], 1)
+            top = at + reach.get(s[at : at + 3], 2)
             if stop < top:
                 top = stop
             for j in range(top, at, -1):
                 t = ids.get(s[at:j])
-                if t is None or (j, t) in dead:
+                if t is None or dead and (j, t) in dead:
                     continue
                 if u >= 0:
-                    if (ok := table.get(key := (u, t))) is None:
-                        if len(table) > 1_000_000:
-                            table.clear()
-                        ok = table[key] = self._arc(u, t)
+                    if (ok := table.get(key := u << 20 | t)) is None:
+                        ok = self._arc(u, t)
+                        if len(table) < TRANSITIONS:
+                            table[key] = ok
                     if not ok:
                         continue
                 path.append(t)

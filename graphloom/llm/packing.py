@@ -25,28 +25,17 @@ from .bpe import automaton
 from .shared import dealt, materialize, small_batches, text_chunks
 from .wordcache import Cache
 
-WORDS, PARTS = 300_000, 300_000
+#: Words and pre-split words that a worker keeps.
+WORDS, PARTS = 400_000, 300_000
 
 
 @lru_cache(2)
 def _words(path: str) -> Cache:
-    """Ids of a word as little-endian unsigned 32-bit integers, by the tokenizers library."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tok, split = Tokenizer.from_file(path), automaton(path)
-    parts = Cache(lambda w: np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), PARTS)
-
-    def encode(word: bytes) -> bytes:
-        text = word.decode()
-        # A pre-split word encodes alone as it does in its text; only plain ASCII ones are cut apart here.
-        if text.isascii() and text.isprintable() and "<|" not in text:
-            return b"".join([parts[w] for w in split.split(text)])
-        return parts[text]
-
-    return Cache(encode, WORDS)
+    """Ids of a word as little-endian unsigned 32-bit integers."""
+    a = automaton(path)
+    code = [i.to_bytes(4, "little") for i in range(max(a.labels) + 1)]
+    parts = Cache(lambda w: b"".join([code[i] for i in a.encode_word(w)]), PARTS)
+    return Cache(lambda word: b"".join([code[w] if isinstance(w, int) else parts[w] for w in a.split(word.decode())]), WORDS)
 
 
 def _cut(path: str, most: int, end_id: int):
