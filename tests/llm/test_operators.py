@@ -245,6 +245,29 @@ def test_line_dedup(spark):
         assert r.sim % 2**64 == vote
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_line_dedup_finds_lines_with_an_edited_word(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
+    rows = []
+    for k in range(60):
+        w = [word() for _ in range(r.randint(5, 40))]
+        at = r.randrange(len(w))
+        new = [[*w[:at], word(), *w[at + 1 :]], [*w[:at], word(), *w[at:]], [*w[:at], *w[at + 1 :]], [*w[:at], w[at][:1] + "z" + w[at][1:], *w[at + 1 :]]][k % 4]
+        a, b = " ".join(w), " ".join(new)
+        rows += [(2 * k, a), (2 * k + 1, b)] if edits(a, b) <= 0.2 * max(len(a), len(b)) else []
+    got = {x.id for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.n_removed}
+    assert len(rows) > 90 and got == {i for i, _ in rows if i % 2}
+
+
 def test_lm_scores_beat_word_counts(spark):
     r = random.Random(9)
     nxt = {k: [r.randrange(40) for _ in range(2)] for k in range(40)}
