@@ -25,8 +25,8 @@ from .shared import small_batches, text_chunks
 GROUPS, MEMBERS, HIDDEN, SPAN, STEP = 48, 48, 24, 2, 2048
 #: Step width of training: each weight's gradient is divided by the root of the sum of its squares (Adagrad).
 RATE = 0.05
-#: One window in EVERY is trained on (which ones, a hash of document and place says), in so many rounds.
-EVERY, ROUNDS = 24, 2
+#: A round trains on one window in EVERY (which ones, a hash of document and place says); EVERY rounds cover all.
+EVERY = ROUNDS = 2
 SIZE = GROUPS * MEMBERS
 #: Word ids: 0 the rest, 1 to SIZE - 1 known words, SIZE beyond either end of a text.
 REST, EDGE = 0, SIZE
@@ -110,11 +110,14 @@ def log_probs(w: list[np.ndarray], c: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def train_step(w: list[np.ndarray], seen: list[np.ndarray], c: np.ndarray, y: np.ndarray, rate: float = RATE) -> None:
-    """One step of gradient ascent on a batch's mean log-likelihood, in place; seen: sums of squared gradients."""
+    """One step of gradient ascent on a batch's mean log-likelihood, in place; seen: sums of squared gradients.
+
+    Of the words' tables only the rows that the batch has are touched; the others have no gradient.
+    """
     x = hidden(w, c)
     n = len(y)
     group, member = y % GROUPS, y // GROUPS
-    grad = [np.zeros_like(p) for p in w]
+    grad = [None, *[np.zeros_like(p) for p in w[1:]]]
     d = -np.exp(_log_softmax(x @ w[2] + w[3]))
     d[np.arange(n), group] += 1
     back = d @ w[2].T
@@ -133,8 +136,10 @@ def train_step(w: list[np.ndarray], seen: list[np.ndarray], c: np.ndarray, y: np
         order = np.argsort(c[k], kind="stable")
         ids = c[k][order]
         cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        grad[0][k][ids[cuts]] = np.add.reduceat(back[order], cuts, axis=0)
-    for p, g, q in zip(w, grad, seen, strict=True):
+        rows, g = ids[cuts], np.add.reduceat(back[order], cuts, axis=0) / n
+        seen[0][k][rows] += g * g
+        w[0][k][rows] += rate * g / (np.sqrt(seen[0][k][rows]) + 1e-6)
+    for p, g, q in zip(w[1:], grad[1:], seen[1:], strict=True):
         g /= n
         q += g * g
         p += rate * g / (np.sqrt(q) + 1e-6)
@@ -222,7 +227,7 @@ def _average(table: pa.Table) -> pa.Table:
 
 
 def fit(src: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, every: int = EVERY) -> np.ndarray:
-    """Weights after `rounds` rounds over (id, text); each round takes another share of the windows of all texts."""
+    """Weights after `rounds` rounds over (id, text); each takes another share of the windows of all texts, and `every` rounds take all."""
     sc, flat = src.sparkSession.sparkContext, initial(vocab)
     for turn in range(rounds):
         parts = src.mapInArrow(_train(sc.broadcast((vocab, flat)), every, turn), "part int, weight double, w binary")
@@ -259,7 +264,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     and a null mean. Repeated rows get equal scores; rows with a null id are scored but not trained on; other columns
     are ignored; an empty table gives no rows.
 
-    Counts and training read all documents; the driver receives the vocabulary and one set of weights for each round,
+    Counts read all documents, and training every window of them once where rounds = every; the driver receives the vocabulary and one set of weights for each round,
     averaged in the shuffle.
     """
     spark = docs.sparkSession

@@ -288,6 +288,21 @@ def test_lm_scores_beat_word_counts(spark):
     assert none == {900: (0, 0.0, None), 901: (0, 0.0, None)}
 
 
+def test_lm_rounds_train_on_every_window_once(spark, monkeypatch, docs):
+    seen = []
+    monkeypatch.setattr(lm_score, "train_step", lambda w, sums, c, y: seen.append(len(y)))
+    rows = spark.createDataFrame([(i, x) for i, x in docs[1].items() if x], "id long, text string")
+    vocab = lm_score.vocabulary(rows)
+    batches = rows.toArrow().to_batches()
+
+    class Shared:
+        value = vocab, lm_score.initial(vocab)
+
+    for turn in range(lm_score.ROUNDS):
+        list(lm_score._train(Shared, lm_score.EVERY, turn)(iter(batches)))
+    assert sum(seen) == sum(len(words(x)) for x in docs[1].values())
+
+
 def test_empty_tables(spark):
     e = empty(spark)
     frames = [ngram_join.ngram_components(e), bpe_codec.encode(e, BPE), packing.pack(e, BPE), substring_dedup.dedup(e), token_counts.count_tokens(e, PIECES), quality.judge(e, quality.ALL_CONTENT), line_dedup.dedup_lines(e), lm_score.score(e), topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")), warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string"))]
