@@ -1,7 +1,8 @@
 """Masked pseudo-likelihood scores: a bidirectional window network predicts every token from both sides.
 
 The vocabulary has the corpus's most frequent words by counts over all documents, and one class for the rest, whose
-words share its probability by their counts. For a token, the words up to SPAN before and after it add up, each
+words share its probability by their counts; these stay in the executors, where each bucket of words has all their
+occurrences. For a token, the words up to SPAN before and after it add up, each
 place with a table of its own; a ReLU layer follows, and two softmax layers give the token's group and then the
 token in its group. The network is trained in numpy: in each round every task runs over a share of its windows,
 starting from the same weights, and the tasks' weights are averaged in the shuffle. A document's score is the sum of
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import small_batches, text_chunks
+from .buckets import Packer, bucket_count, bucket_of, unpack
+from .shared import dealt, small_batches, text_chunks
 
 #: Groups, words in a group, hidden units, words on either side, windows of a training step.
 GROUPS, MEMBERS, HIDDEN, SPAN, STEP = 48, 48, 24, 2, 2048
@@ -250,17 +252,48 @@ def _score(shared):
                 p = log_probs(w, contexts(t, doc, at), t[at]).astype(np.float64)
                 total += np.bincount(doc[at], weights=p - vocab.rest * (t[at] == REST), minlength=batch.num_rows)
             n = np.diff(first)
-            mean = pa.array(np.divide(total, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(total), mean], names=["id", "n_tokens", "log_prob", "mean_log_prob"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(total)], names=["id", "key", "n_tokens", "log_prob"])
 
     return run
 
 
+def _rest_words(shared, buckets: int):
+    """Each text's words outside the vocabulary: word, the text's key, how often, and how often for the counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        known, pack = shared.value[0], Packer(buckets, ["words", "keys", "n", "counted"])
+        for batch, buf, offs in text_chunks(batches):
+            h, doc, _ = _words(buf, offs)
+            out = known.lookup(h) == REST
+            h, doc = h[out], doc[out]
+            order = np.lexsort((h, doc))
+            h, doc = h[order], doc[order]
+            cuts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.zeros(0, np.int64)
+            n = np.diff(np.append(cuts, len(h))).astype(np.uint32)
+            h, doc = h[cuts], doc[cuts]
+            key = batch.column("key").to_numpy(zero_copy_only=False)[doc]
+            null = batch.column("id").is_null().to_numpy(zero_copy_only=False)[doc]
+            yield from pack.add(bucket_of(h, buckets), h, key, n, np.where(null, 0, n).astype(np.uint32))
+        yield from pack.rest()
+
+    return run
+
+
+def _log_counts(table: pa.Table) -> pa.Table:
+    """(key, extra): for each text, the sum over its words in this bucket of the log of the word's count in the corpus."""
+    word, key = unpack(table, "words", np.uint64), unpack(table, "keys", np.int64)
+    n, counted = unpack(table, "n", np.uint32), unpack(table, "counted", np.uint32)
+    _, which = np.unique(word, return_inverse=True)
+    total = np.maximum(np.bincount(which, weights=counted), 1)
+    keys, text = np.unique(key, return_inverse=True)
+    return pa.table({"key": pa.array(keys), "extra": pa.array(np.bincount(text, weights=n * np.log(total)[which], minlength=len(keys)))})
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, every: int = EVERY) -> DataFrame:
     """(id, n_tokens, log_prob, mean_log_prob) of every row: the natural log of its masked pseudo-likelihood.
 
     Tokens are words, A-Z as a-z. The vocabulary and the network come from docs itself. A word outside the vocabulary
-    has the probability of that class divided by the count of all such words in docs. A null or empty text has 0 tokens, log_prob 0
+    has the probability of that class times its share of all such words' count in docs. A null or empty text has 0 tokens, log_prob 0
     and a null mean. Repeated rows get equal scores; rows with a null id are scored but not trained on; other columns
     are ignored; an empty table gives no rows.
 
@@ -270,10 +303,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     spark = docs.sparkSession
     small_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = src.withColumn("key", F.xxhash64("text"))
     some = src.where("id is not null")
     vocab = vocabulary(some)
     flat = fit(some, vocab, rounds, every)
-    return src.mapInArrow(_score(spark.sparkContext.broadcast((vocab, flat))), "id long, n_tokens long, log_prob double, mean_log_prob double")
+    shared, buckets = spark.sparkContext.broadcast((vocab, flat)), bucket_count(spark)
+    rest = src.mapInArrow(_rest_words(shared, buckets), "bucket int, words binary, keys binary, n binary, counted binary")
+    extra = rest.groupBy("bucket").applyInArrow(_log_counts, "key long, extra double").groupBy("key").agg(F.sum("extra").alias("extra"))
+    # Rows of equal text have one key, and its sum is over all of them.
+    extra = extra.join(dealt(src.groupBy("key").agg(F.count("*").alias("rows"))), "key").select("key", (F.col("extra") / F.col("rows")).alias("extra"))
+    out = src.mapInArrow(_score(shared), "id long, key long, n_tokens long, log_prob double").join(dealt(extra), "key", "left")
+    out = out.select("id", "n_tokens", (F.col("log_prob") + F.coalesce("extra", F.lit(0.0))).alias("log_prob"))
+    return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

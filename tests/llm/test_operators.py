@@ -288,6 +288,16 @@ def test_lm_scores_beat_word_counts(spark):
     assert none == {900: (0, 0.0, None), 901: (0, 0.0, None)}
 
 
+def test_lm_rest_words_score_by_their_counts(spark):
+    known = " ".join(f"w{k}" for k in range(lm_score.SIZE - 1))
+    rest = [*["aa"] * 4, *["bb"] * 2, "cc"]
+    rows = [(0, " ".join([known] * 5)), (1, "w1 aa w2"), (2, "w1 bb w2"), (3, "w1 cc w2"), (4, "w1 aa w2"), (None, "w1 aa w2"), (5, "aa\naa bb")]
+    assert Counter(w for i, t in rows if i for w in t.split() if w[0] != "w") == Counter(rest)
+    got = {r.id: r.log_prob for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] - got[3] == pytest.approx(np.log(4)) and got[2] - got[3] == pytest.approx(np.log(2))
+    assert got[1] == pytest.approx(got[4]) == pytest.approx(got[None])
+
+
 def test_lm_rounds_train_on_every_window_once(spark, monkeypatch, docs):
     seen = []
     monkeypatch.setattr(lm_score, "train_step", lambda w, sums, c, y: seen.append(len(y)))
