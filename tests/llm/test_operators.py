@@ -245,6 +245,14 @@ def test_line_dedup(spark):
         assert r.sim % 2**64 == vote
 
 
+def test_line_dedup_takes_short_lines(spark, tmp_path):
+    han = "".join(chr(0x4E00 + 7 * k) for k in range(60))
+    rows = [(0, f"All rights reserved.\n\n-----\n{han}"), (1, f"all rights reserved\n\n-----\n{han}"), (2, f"{han[:30]}{han[31:]}\nAll")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_removed for r in line_dedup.query(spark, str(tmp_path)).collect()}
+    assert got == {0: 0, 1: 3, 2: 1}
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
