@@ -20,7 +20,7 @@ from .shared import lists, small_batches, text_chunks
 
 #: Fixed values of the base rules: symbol characters, words of a window, least words, most repeated words in percent.
 SYMBOLS, WINDOW, LEAST_WORDS, MOST_REPEATED = "#*$%&|<>", 8, 20, 30
-#: Labelled documents of each class that the fit may use, its steps, the lines of a document that it looks at, and the share of content words that stays.
+#: Labelled documents of each class that the fit may use, its steps, the most lines of one sequence of the fit, and the share of content words that stays.
 SAMPLE, STEPS, STRETCH, SHARE = 500, 250, 48, 0.5
 FEATURES = ("bias", "capitals", "symbols", "exclamations", "same_word")
 
@@ -180,12 +180,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     src = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(some, "id")
     rows = src.select("good", "text").mapInArrow(_samples, "good int, x array<float>").collect()
     sequences = [np.array(r.x, np.float64).reshape(-1, len(FEATURES)) for r in rows]
-    # The bound is on the fit's time and memory alone; decoding always takes whole documents.
-    sequences = [s[:STRETCH] for s in sequences]
+    # Long documents are several sequences, which keeps the fit's padded arrays small; decoding always takes whole documents.
+    parts = [(int(r.good), s[a : a + STRETCH]) for r, s in zip(rows, sequences, strict=True) for a in range(0, len(s), STRETCH)]
+    sequences = [s for _, s in parts]
     sizes = [len(s) for s in sequences]
     if not sum(sizes):
         return ALL_CONTENT
-    marks = line_labels(np.concatenate(sequences), np.repeat([int(r.good) for r in rows], sizes))
+    marks = line_labels(np.concatenate(sequences), np.repeat([good for good, _ in parts], sizes))
     return train(sequences, np.split(marks, np.cumsum(sizes)[:-1]))
 
 

@@ -207,6 +207,18 @@ def test_quality_learns_junk(spark):
     assert quality.fit(df, labels.limit(0)) == quality.ALL_CONTENT
 
 
+def test_quality_fit_sees_late_lines(spark):
+    r = random.Random(8)
+    w = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    clean = lambda: "\n".join(" ".join(w() for _ in range(6)) for _ in range(quality.STRETCH))
+    junk = lambda: "\n".join(" | ".join(w() for _ in range(6)) for _ in range(quality.STRETCH))
+    rows = [(i, clean() + "\n" + (clean() if i < 20 else junk())) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    field = quality.fit(df, spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id long, quality int"))
+    for x in quality.judge(df, field, marks=True).collect():
+        assert x.line_labels == [1] * quality.STRETCH + [int(x.id < 20)] * quality.STRETCH
+
+
 def test_token_counts(docs):
     import sentencepiece
 
