@@ -46,9 +46,9 @@ class Bound:
         return -(-self.p * total // (self.p + self.q))
 
     def classes(self, most: int) -> np.ndarray:
-        """Upper ends of the size classes: a set and a smaller partner are in the same or neighbouring classes."""
+        """Upper ends of the size classes: a set and a smaller partner are in the same or neighbouring classes; one class is above most."""
         ends = [0, 1]
-        while ends[-1] < most:
+        while ends[-2] < most:
             ends.append(max(ends[-1] + 1, -(-ends[-1] * self.q // self.p)))
         return np.array(ends)
 
@@ -73,12 +73,12 @@ def _part_keys(n: int, lower: bool, bound: Bound, buckets: int):
             s, e, d = K.words(buf, offs)
             flat, sizes = K.shingle_sets(K.span_hashes(buf, s, e, lower), d, batch.num_rows, n)
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            if len(sizes) and sizes.max() >= ends[-1]:
+            if len(sizes) and sizes.max() > ends[-2]:
                 ends = bound.classes(int(sizes.max()) * 2)
             level = np.searchsorted(ends, sizes)  # ends[level - 1] < size <= ends[level]
             can = (sizes > 0) & ((bound.differ(2 * sizes + 1) > 0) | (bound.differ(2 * ends[level] + 1) > 0))
             for up in (0, 1):
-                parts = np.where(can, bound.differ(2 * ends[np.minimum(level + up, len(ends) - 1)]) + 1, 0)
+                parts = np.where(can, bound.differ(2 * ends[level + up]) + 1, 0)
                 first = np.concatenate([[0], np.cumsum(parts)])
                 row = np.repeat(np.arange(len(sizes)), np.where(can, sizes, 0))
                 h = flat[np.repeat(can, sizes)]

@@ -83,6 +83,13 @@ def test_ngram_join_of_large_components_uses_a_grid(docs, monkeypatch):
     assert whole == {r.id: r.component_id for r in ngram_join.ngram_components(df, n=3, threshold=(7, 10)).collect()}
 
 
+def test_ngram_join_links_sets_either_side_of_the_first_class_table(spark):
+    w = [f"w{k}" for k in range(66_600)]
+    rows = [(0, " ".join(w[:66_002])), (1, " ".join(w))]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    assert {r.component_id for r in ngram_join.ngram_components(df, n=3, threshold=(9, 10)).collect()} == {0}
+
+
 def test_bpe_automaton_and_codec(docs):
     from tokenizers import Tokenizer
 
