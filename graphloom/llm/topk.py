@@ -72,7 +72,7 @@ def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarra
         live = live[bound >= bar[live]] if before < n else live[:0]
         if not len(live):
             break
-        depth = min(n, max(n // 16, before * 4))
+        depth = min(n, max(1, n // 16, before * 4))
         # Rows in the first `depth` of some list that the query walks, and not in the first `before` of any.
         def met(d: int) -> np.ndarray:
             if d >= n:

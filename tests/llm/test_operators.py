@@ -179,6 +179,20 @@ def test_topk(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_topk_of_few_vectors(spark):
+    r = np.random.default_rng(7)
+    for n in range(1, 16):
+        x, q = r.integers(-9, 9, (n, 3)), r.integers(-9, 9, (2, 3))
+        best = topk._Best(2, 4)
+        topk.search_block(x, np.arange(n), q, np.array([0, 99]), best)
+        for k, own in enumerate((0, 99)):
+            want = sorted((-int(s), i) for i, s in enumerate(x @ q[k]) if i != own)[:4]
+            assert [(-int(s), int(i)) for s, i in zip(*(best.parts[k] or ((), ())), strict=True)] == want
+    rows = [(i, [float(i % 7), 1.0]) for i in range(60)] + [(80, [1.0, 2.0, 3.0]), (81, [1.0, 0.0, 1.0]), (82, [0.0, 1.0, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 80").collect()
+    assert [(x.vec_id, x.score) for x in sorted(got, key=lambda x: x.rank)] == [(81, 4 * 4096), (82, 2 * 4096)]
+
+
 def test_quality_counts_and_viterbi(docs):
     df, texts = docs
     for x in quality.judge(df, quality.ALL_CONTENT).collect():
