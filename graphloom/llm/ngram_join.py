@@ -1,14 +1,21 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
 1. Documents with equal n-gram sets fall into one class (a hash of the whole set); one representative goes on.
-2. Two sets that reach the threshold t differ in at most (a + b) * (1 - t) / (1 + t) n-grams. Each set is dealt by
-   hash into one part more than that bound allows, so two such sets agree in a whole part. Equal parts give
-   candidate groups; a group's members are tied to its smallest, which joins everything that could link.
-3. Each candidate component is one block of the product, or, if large, a grid of blocks in order of size. A block
-   pair multiplies the incidence columns that both sides share, a column block at a time, adds up overlap counts
-   and stops when no pair can still reach its size-derived bound. It returns a spanning forest of its links,
-   never all pairs.
-4. Components of the links give the classes' component ids, and membership the documents'.
+2. Two sets that reach the threshold t differ in at most D = (a + b) * (1 - t) / (1 + t) n-grams. Each set is dealt
+   by hash into D + 1 parts and some more, so two such sets agree in more parts than one. The key of a part is a hash
+   of what it holds; a set sends keys of its parts that hold something. A set with so many empty parts that all parts
+   in which it agrees with another might be empty (see Bound.parts) sends keys of the empty ones too, so that no link
+   is lost, and unrelated sets don't meet in an empty part. N-grams that a great many documents have are left out of
+   the parts, unless they are nearly all that a set has: a passage that a third of the documents share brings nothing
+   together.
+3. Of the documents with one key the plainest (fewest rare n-grams) is the pivot; each document is paired with the
+   plainest pivot that it meets. Pairs are verified by a masked product: incidence rows of a task's pairs, a block of
+   columns at a time, add up overlap counts, and a pair goes when its count and what is left can't reach its
+   size-derived bound. Only links that pass tie documents together.
+4. Where a key's documents still belong to different components, they are paired with the pivot of another one and
+   verified likewise; in keys that remain in several, every pair of different components is compared, first by
+   parities (which bound the difference from below), then by the product.
+5. Components of the links give the classes' component ids, and membership the documents'.
 """
 
 from __future__ import annotations
@@ -21,12 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .buckets import Packer, bucket_count, bucket_of, unpack
-from .components import components, local_forest
-from .shared import dealt, discard, lists, materialize, small_batches, text_chunks
+from .buckets import FLUSH, Packer, bucket_count, bucket_of, unpack
+from .components import components
+from .shared import dealt, discard, materialize, small_batches, text_chunks, texts_of
 
-#: Documents in a block of the product, and columns in a column block.
-BLOCK, COLUMNS = 1024, 4096
+#: Documents with one key in a flush that meet on the map side; rows in a block of pairs; column blocks of the product.
+LOCAL, BLOCK, COLUMNS = 16, 1024, 8
+#: An n-gram is frequent that one document in so many has; the table of them has at most so many entries.
+ONE_IN, FREQUENT = 512, 1 << 17
+#: Salts of exact copies' classes, bits of the filter of keys with several components, 64-bit words of parities.
+SALTS, FILTER, PARITY = 16, 1 << 23, 4
 
 
 class Bound:
@@ -52,157 +63,358 @@ class Bound:
             ends.append(max(ends[-1] + 1, -(-ends[-1] * self.q // self.p)))
         return np.array(ends)
 
+    def parts(self, ends: np.ndarray) -> np.ndarray:
+        """Parts of each size class: one more than may differ, and as many more as are seldom all empty.
+
+        Two sets that link agree in at least parts - differ of them. If one of these holds something, they share its
+        key; if none does, both have that many empty parts.
+        """
+        out = []
+        for low, high in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            least = n = self.differ(2 * high) + 1
+            for _ in range(20):
+                mean = n * np.exp(-(low + 1) / n)
+                more = min(2 * least, least + int(np.ceil(mean + 4 * np.sqrt(mean))))
+                if more == n:
+                    break
+                n = more
+            out.append(n)
+        return np.array(out)
+
+
+class Classes:
+    """The size classes as far as they were needed, with their parts."""
+
+    def __init__(self, bound: Bound):
+        self.bound = bound
+        self.grow(1 << 12)
+
+    def grow(self, most: int) -> None:
+        self.ends = self.bound.classes(most)
+        self.most = self.bound.differ(2 * self.ends)
+        self.parts = self.bound.parts(self.ends)
+
+    def of(self, sizes: np.ndarray) -> np.ndarray:
+        """Each set's class c: ends[c - 1] < size <= ends[c]."""
+        if len(sizes) and sizes.max() > self.ends[-2]:
+            self.grow(int(sizes.max()) * 2)
+        return np.searchsorted(self.ends, sizes)
+
+
+def _sets(batch, buf, offs, n: int, lower: bool):
+    """Flat sorted n-gram sets of a chunk, sizes, and two sums that name a set."""
+    s, e, d = K.words(buf, offs)
+    flat, sizes = K.shingle_sets(K.span_hashes(buf, s, e, lower), d, batch.num_rows, n)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(flat ^ np.uint64(k)), dtype=np.uint64)]) for k in (11, 23)]
+    return flat, sizes, [x[ends[1:]] - x[ends[:-1]] for x in sums]
+
 
 def _sketch(n: int, lower: bool):
+    """(id, n, s1, s2) of each document; with a null id, (n-gram, count) of what is frequent in a chunk."""
+
     def run(batches: Iterator[pa.RecordBatch]):
         for batch, buf, offs in text_chunks(batches):
-            s, e, d = K.words(buf, offs)
-            flat, sizes = K.shingle_sets(K.span_hashes(buf, s, e, lower), d, batch.num_rows, n)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(flat ^ np.uint64(k)), dtype=np.uint64)]) for k in (11, 23)]
-            sums = [(x[ends[1:]] - x[ends[:-1]]).view(np.int64) for x in sums]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), *map(pa.array, sums)], names=["id", "n", "s1", "s2"])
+            flat, sizes, sums = _sets(batch, buf, offs, n, lower)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), *(pa.array(x.view(np.int64)) for x in sums)], names=["id", "n", "s1", "s2"])
+            grams, count = np.unique(flat, return_counts=True)
+            often = count >= max(4, batch.num_rows * 2 // ONE_IN)
+            if often.any():
+                k = int(often.sum())
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(np.full(k, -1)), pa.array(grams[often].view(np.int64)), pa.array(count[often].astype(np.int64))], names=["id", "n", "s1", "s2"])
 
     return run
 
 
-def _part_keys(n: int, lower: bool, bound: Bound, buckets: int):
+def _dealt(h: np.ndarray, row: np.ndarray, parts: np.ndarray):
+    """Sums of what falls into each part of each row, how many fall there, and the row and number of a part."""
+    first = np.concatenate([[0], np.cumsum(parts)])
+    slot = first[row] + ((h >> np.uint64(20)) % parts[row].astype(np.uint64)).astype(np.int64)
+    total = np.zeros(first[-1], np.uint64)
+    np.add.at(total, slot, K.mix(h ^ np.uint64(77)))
+    owner = np.repeat(np.arange(len(parts)), parts)
+    return total, np.bincount(slot, minlength=first[-1]), owner, (np.arange(first[-1]) - first[owner]).astype(np.uint64)
+
+
+def _part_keys(flat: np.ndarray, sizes: np.ndarray, classes: Classes, frequent: np.ndarray):
+    """(key, row) of all keys of the sets, and how many rare n-grams each set has."""
+    level = classes.of(sizes)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    rare = np.ones(len(flat), bool)
+    if len(frequent) and len(flat):
+        rare = frequent[np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)] != flat
+    keys, rows = [], []
+
+    def take(key_of, which, owner, scheme, cls):
+        total, place = key_of
+        tag = place[which] + (cls[owner[which]] * 2 + scheme).astype(np.uint64) * np.uint64(1 << 32)
+        keys.append(K.mix(total[which] + K.mix(tag)))
+        rows.append(owner[which])
+
+    for up in (0, 1):
+        cls = level + up
+        can = (sizes > 0) & (classes.most[cls] > 0)
+        parts = np.where(can, classes.parts[cls], 0)
+        enough = classes.parts[cls] - classes.most[cls]
+        use = can[row] & rare
+        total, held, owner, place = _dealt(flat[use], row[use], parts)
+        take((total, place), held > 0, owner, 0, cls)
+        empty = np.bincount(owner[held == 0], minlength=len(sizes))
+        some = can & (empty >= enough)
+        if some.any():  # by all n-grams, and by empty parts if still too many are
+            use = some[row]
+            total, held, owner, place = _dealt(flat[use], row[use], np.where(some, parts, 0))
+            empty = np.bincount(owner[held == 0], minlength=len(sizes))
+            take((total, place), (held > 0) | (empty >= enough)[owner], owner, 1, cls)
+    return (np.concatenate(keys), np.concatenate(rows), np.bincount(row[rare], minlength=len(sizes))) if keys else None
+
+
+def _groups(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
+
+
+def _pair_up(key, ids, rare, label, alone: bool):
+    """(x, rare of p, p), at most one for each x, of documents in order of (key, rare, id): each with the plainest of another component.
+
+    alone: every document is a component yet; pivots are then paired with themselves, to show that they meet others.
+    """
+    cuts = _groups(key)
+    size = np.diff(cuts)
+    lead = np.repeat(cuts[:-1], size)
+    other = label != label[lead]
+    group = np.repeat(np.arange(len(size)), size)
+    if alone:
+        x = np.flatnonzero(size[group] > 1)
+        p = lead[x]
+    else:
+        at = np.flatnonzero(other)
+        second = np.full(len(size), -1)
+        g, first = np.unique(group[at], return_index=True)
+        second[g] = at[first]
+        x = np.flatnonzero((second[group] >= 0) & (lead != np.arange(len(key))))
+        p = np.where(other[x], lead[x], second[group[x]])
+    xi, rp, pi = ids[x], rare[p], ids[p]
+    order = np.lexsort((pi, rp, xi))
+    order = order[np.concatenate([[True], xi[order][1:] != xi[order][:-1]])] if len(order) else order
+    return xi[order], rp[order], pi[order]
+
+
+def _send(n: int, lower: bool, bound: Bound, buckets: int, frequent: np.ndarray, labelled: bool):
+    """Rows (bucket, keys, ids, rare, labels) of packed keys; buckets below 0 hold pairs (x, p) that met here already."""
+
     def run(batches: Iterator[pa.RecordBatch]):
-        pack, ends = Packer(buckets, ["keys", "ids"]), bound.classes(1 << 16)
+        classes, held, count = Classes(bound), [], 0
+        names = ["keys", "ids", "rare", "labels"]
+
+        def flush():
+            key, ids, rare, label = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((ids, rare, key))
+            key, ids, rare, label = key[order], ids[order], rare[order], label[order]
+            size = np.diff(_groups(key))
+            hot = np.repeat(size > LOCAL, size)
+            if hot.any():
+                x, rp, p = _pair_up(key[hot], ids[hot], rare[hot], label[hot], not labelled)
+                pairs = Packer(2 * buckets, names)
+                yield from pairs.add(-1 - bucket_of(K.mix(x.view(np.uint64)), buckets), p, x, rp, p)
+                yield from pairs.rest()
+                k, l = key[hot], (label if labelled else np.zeros_like(label))[hot]
+                again = np.lexsort((np.arange(len(k)), l, k))  # the plainest of each component goes on
+                new = np.concatenate([[True], (k[again][1:] != k[again][:-1]) | (l[again][1:] != l[again][:-1])])
+                stay = np.sort(np.concatenate([np.flatnonzero(~hot), np.flatnonzero(hot)[again[new]]]))
+                key, ids, rare, label = key[stay], ids[stay], rare[stay], label[stay]
+            pack = Packer(buckets, names)
+            yield from pack.add(bucket_of(key, buckets), key & np.uint64((1 << 40) - 1), ids, rare, label if labelled else np.zeros_like(label))
+            yield from pack.rest()
+
         for batch, buf, offs in text_chunks(batches):
-            s, e, d = K.words(buf, offs)
-            flat, sizes = K.shingle_sets(K.span_hashes(buf, s, e, lower), d, batch.num_rows, n)
+            flat, sizes, (s1, s2) = _sets(batch, buf, offs, n, lower)
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            if len(sizes) and sizes.max() > ends[-2]:
-                ends = bound.classes(int(sizes.max()) * 2)
-            level = np.searchsorted(ends, sizes)  # ends[level - 1] < size <= ends[level]
-            can = (sizes > 0) & ((bound.differ(2 * sizes + 1) > 0) | (bound.differ(2 * ends[level] + 1) > 0))
-            for up in (0, 1):
-                parts = np.where(can, bound.differ(2 * ends[level + up]) + 1, 0)
-                first = np.concatenate([[0], np.cumsum(parts)])
-                row = np.repeat(np.arange(len(sizes)), np.where(can, sizes, 0))
-                h = flat[np.repeat(can, sizes)]
-                if not len(h):
-                    continue
-                slot = first[row] + ((h >> np.uint64(20)) % parts[row].astype(np.uint64)).astype(np.int64)
-                total = np.zeros(first[-1], np.uint64)
-                np.add.at(total, slot, K.mix(h ^ np.uint64(77)))
-                owner = np.repeat(np.arange(len(sizes)), parts)
-                place = (np.arange(first[-1]) - first[owner]).astype(np.uint64)
-                key = K.mix(total + K.mix(place + (level[owner] + up).astype(np.uint64) * np.uint64(1 << 32)))
-                yield from pack.add(bucket_of(key, buckets), key, ids[owner])
-        yield from pack.rest()
+            label = batch.column("label").to_numpy(zero_copy_only=False) if labelled else ids
+            order = np.lexsort((ids, s2, s1))  # of equal sets in a chunk the one with the smallest id
+            once = np.zeros(len(ids), bool)
+            once[order] = np.concatenate([[True], (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])]) if len(order) else True
+            flat, sizes, ids, label = flat[np.repeat(once, sizes)], sizes[once], ids[once], label[once]
+            if (found := _part_keys(flat, sizes, classes, frequent)) is None or not len(found[0]):
+                continue
+            key, row, rare = found
+            held.append((key, ids[row], rare[row].astype(np.int32), label[row]))
+            count += len(key)
+            if count >= FLUSH:
+                yield from flush()
+                held, count = [], 0
+        if count:
+            yield from flush()
 
     return run
 
 
-def _stars(table: pa.Table) -> pa.Table:
-    """(smallest, other) of each group of equal keys, each pair once for this bucket."""
-    key, ids = unpack(table, "keys", np.uint64), unpack(table, "ids", np.int64)
-    order = np.lexsort((ids, key))
-    key, ids = key[order], ids[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-    low = ids[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(key) else ids
-    pair = np.unique(np.stack([low, ids], 1)[low != ids], axis=0) if len(key) else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64())})
+def _pivots(labelled: bool):
+    """Of a bucket: (x, rare, p), x with the plainest pivot; with labels also, x and p null, bits of keys with several components."""
 
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        keys, ids, rare, label = (unpack(table, c, t) for c, t in (("keys", np.uint64), ("ids", np.int64), ("rare", np.int32), ("labels", np.int64)))
+        bits = np.zeros(0, np.int64)
+        if key[0].as_py() < 0:
+            x, rp, p = ids, rare, keys.view(np.int64)
+        else:
+            if not labelled:
+                label = ids
+            order = np.lexsort((ids, rare, keys))
+            keys, ids, rare, label = keys[order], ids[order], rare[order], label[order]
+            x, rp, p = _pair_up(keys, ids, rare, label, not labelled)
+            if labelled and len(keys):
+                cuts = _groups(keys)[:-1]
+                many = np.minimum.reduceat(label, cuts) < np.maximum.reduceat(label, cuts)
+                bits = np.unique((keys[cuts[many]] % np.uint64(FILTER)).astype(np.int64))
+        none = pa.nulls(len(bits), pa.int64())
+        return pa.table({
+            "x": pa.chunked_array([pa.array(x, pa.int64()), none]), "rare": pa.chunked_array([pa.array(rp.astype(np.int64)), none]),
+            "p": pa.chunked_array([pa.array(p, pa.int64()), none]), "bit": pa.chunked_array([pa.nulls(len(x), pa.int64()), pa.array(bits)]),
+        })
+
+    return run
+
+
+def _parities(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each set 64 * PARITY bits, each the parity of the n-grams that fall there; sets differ in at least as many n-grams as bits."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out = np.zeros((len(sizes), PARITY), np.uint64)
+    np.bitwise_xor.at(out, (row, ((flat >> np.uint64(6)) % np.uint64(PARITY)).astype(np.int64)), np.uint64(1) << (flat & np.uint64(63)))
+    return out
+
+
+def _send_loose(n: int, lower: bool, bound: Bound, buckets: int, frequent: np.ndarray, loose: np.ndarray):
+    """Keys that may have several components, with what bounds a pair's overlap."""
 
-def _sets(n: int, lower: bool, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]):
+        classes = Classes(bound)
+        pack = Packer(buckets, ["keys", "ids", "labels", "sizes", *(f"p{k}" for k in range(PARITY))])
         for batch, buf, offs in text_chunks(batches):
-            s, e, d = K.words(buf, offs)
-            flat, sizes = K.shingle_sets(K.span_hashes(buf, s, e, lower), d, batch.num_rows, n)
-            cols = {k: batch.column(k) for k in keep}
-            yield pa.RecordBatch.from_pydict(cols | {"size": pa.array(sizes, pa.int64()), "grams": lists(flat.view(np.int64), sizes, pa.int64())})
+            flat, sizes, _ = _sets(batch, buf, offs, n, lower)
+            if (found := _part_keys(flat, sizes, classes, frequent)) is None or not len(found[0]):
+                continue
+            key, row, _ = found
+            small = key & np.uint64((1 << 40) - 1)
+            at = (small % np.uint64(FILTER)).astype(np.int64)
+            on = (loose[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            key, small, row = key[on], small[on], row[on]
+            par = _parities(flat, sizes)
+            ids, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "label"))
+            yield from pack.add(bucket_of(key, buckets), small, ids[row], label[row], sizes[row], *(par[row, k] for k in range(PARITY)))
+        yield from pack.rest()
 
     return run
 
 
-def _overlaps(a: list[np.ndarray], b: list[np.ndarray], bound: Bound) -> np.ndarray:
-    """Pairs (i, j) of sets from a and b that link; b is a for a block with itself."""
-    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    least = bound.overlap(na[:, None] + nb[None, :])
-    ta, tb = np.concatenate(a), np.concatenate(b)
-    ra, rb = np.repeat(np.arange(len(a)), na), np.repeat(np.arange(len(b)), nb)
-    vocab, where = np.unique(np.concatenate([ta, tb]), return_inverse=True)
-    ca, cb = where[: len(ta)], where[len(ta) :]
-    if a is b:
-        shared = np.bincount(ca, minlength=len(vocab)) > 1
-    else:
-        shared = (np.bincount(ca, minlength=len(vocab)) > 0) & (np.bincount(cb, minlength=len(vocab)) > 0)
-    column = np.cumsum(shared) - 1
-    width = int(shared.sum())
-    ka, kb = shared[ca], shared[cb]
-    ra, ca, rb, cb = ra[ka], column[ca[ka]], rb[kb], column[cb[kb]]
-    count = np.zeros(least.shape, np.float32)
-    left_a, left_b = np.bincount(ra, minlength=len(a)), np.bincount(rb, minlength=len(b))
-    oa, ob = np.argsort(ca, kind="stable"), np.argsort(cb, kind="stable")
-    ra, ca, rb, cb = ra[oa], ca[oa], rb[ob], cb[ob]
-    alive = np.minimum(left_a[:, None], left_b[None, :]) >= least
-    for lo in range(0, width, COLUMNS):
-        if not alive.any():
+def _cross(bound: Bound):
+    """(a, b) of a bucket: all pairs of different components with one key whose sizes and parities allow a link."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, ids, label, size = (unpack(table, c, t) for c, t in (("keys", np.uint64), ("ids", np.int64), ("labels", np.int64), ("sizes", np.int64)))
+        par = np.stack([unpack(table, f"p{k}", np.uint64) for k in range(PARITY)], 1)
+        order = np.lexsort((label, key))
+        key, ids, label, size, par = key[order], ids[order], label[order], size[order], par[order]
+        cuts, out = _groups(key), [np.zeros((0, 2), np.int64)]
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if label[lo] == label[hi - 1]:
+                continue
+            for i in range(lo, hi, BLOCK):
+                a = slice(i, min(hi, i + BLOCK))
+                for j in range(i, hi, BLOCK):
+                    b = slice(j, min(hi, j + BLOCK))
+                    ok = label[a, None] < label[None, b]
+                    big, less = np.maximum(size[a, None], size[None, b]), np.minimum(size[a, None], size[None, b])
+                    ok &= less * bound.q >= bound.p * big
+                    if ok.any():
+                        apart = sum(np.bitwise_count(par[a, None, k] ^ par[None, b, k]).astype(np.int64) for k in range(PARITY))
+                        ok &= apart <= bound.differ(big + less)
+                        x, y = np.nonzero(ok)
+                        pair = np.stack([ids[a][x], ids[b][y]], 1)
+                        out.append(np.sort(pair, axis=1))
+        pair = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64())})
+
+    return run
+
+
+def masked_overlaps(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, ia: np.ndarray, ib: np.ndarray, bound: Bound) -> np.ndarray:
+    """Which pairs (ia, ib) of rows of two incidence matrices, given as flat sorted sets and sizes, link.
+
+    The product is formed for these pairs only, a block of columns at a time; a pair whose count and remaining
+    entries can't reach its bound takes no part in further blocks.
+    """
+    least = bound.overlap(na[ia] + nb[ib])
+    vocab, column = np.unique(a, return_inverse=True)
+    if not len(vocab):
+        return np.zeros(len(ia), bool)
+    ra, rb = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+    entry = ra * len(vocab) + column
+    at = np.minimum(np.searchsorted(vocab, b), len(vocab) - 1)
+    some = vocab[at] == b
+    at, rb, block = at[some], rb[some], (b[some] >> np.uint64(61)).astype(np.int64) * COLUMNS // 8
+    left_a = np.bincount(ra * COLUMNS + (a >> np.uint64(61)).astype(np.int64) * COLUMNS // 8, minlength=len(na) * COLUMNS).reshape(len(na), COLUMNS)
+    left_b = np.bincount(rb * COLUMNS + block, minlength=len(nb) * COLUMNS).reshape(len(nb), COLUMNS)
+    first = np.concatenate([[0], np.cumsum(left_b.ravel())])[:-1].reshape(left_b.shape)
+    count, live = np.zeros(len(ia), np.int64), np.arange(len(ia))
+    rest_a, rest_b = left_a[:, ::-1].cumsum(1)[:, ::-1], left_b[:, ::-1].cumsum(1)[:, ::-1]
+    for k in range(COLUMNS):
+        live = live[count[live] + np.minimum(rest_a[ia[live], k], rest_b[ib[live], k]) >= least[live]]
+        if not len(live):
             break
-        ia, ib = (slice(*np.searchsorted(c, [lo, lo + COLUMNS])) for c in (ca, cb))
-        x = np.zeros((len(a), min(COLUMNS, width - lo)), np.float32)
-        x[ra[ia], ca[ia] - lo] = 1
-        if a is b:
-            y = x
-        else:
-            y = np.zeros((len(b), x.shape[1]), np.float32)
-            y[rb[ib], cb[ib] - lo] = 1
-        count += x @ y.T
-        left_a = left_a - np.bincount(ra[ia], minlength=len(a))
-        left_b = left_b - np.bincount(rb[ib], minlength=len(b))
-        alive = count + np.minimum(left_a[:, None], left_b[None, :]) >= least
-    hit = count >= least
-    if a is b:
-        np.fill_diagonal(hit, False)
-    return np.argwhere(hit & (na[:, None] > 0) & (nb[None, :] > 0))
-
-
-def _forest(ids: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs: union-find by smallest id."""
-    parent = list(range(len(ids)))
-    out = []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for x, y in pairs.tolist():
-        p, q = root(x), root(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            out.append((int(ids[x]), int(ids[y])))
-    return out
+        many = left_b[ib[live], k]
+        total = int(many.sum())
+        pair = np.repeat(np.arange(len(live)), many)
+        place = first[ib[live], k][pair] + np.arange(total) - np.repeat(np.cumsum(many) - many, many)
+        want = ia[live][pair] * len(vocab) + at[place]
+        hit = entry[np.minimum(np.searchsorted(entry, want), len(entry) - 1)] == want
+        count[live] += np.bincount(pair[hit], minlength=len(live))
+    return (count >= least) & (na[ia] > 0) & (nb[ib] > 0)
 
 
-def _multiply(bound: Bound):
+def _verify(n: int, lower: bool, bound: Bound):
     def run(table: pa.Table) -> pa.Table:
-        out: list[tuple[int, int]] = []
-        comp, side = table.column("comp").to_numpy(), table.column("side").to_numpy()
-        ids, grams = table.column("id").to_numpy(), table.column("grams").combine_chunks()
-        flat, offs = grams.flatten().to_numpy(), grams.offsets.to_numpy() - grams.offsets[0].as_py()
-        order = np.lexsort((ids, comp))
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(comp[order]) != 0, [True]]))
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            rows = order[lo:hi]
-            of = lambda rows: [flat[offs[r] : offs[r + 1]] for r in rows]
-            if (side[rows] == 0).all():
-                sets = of(rows)
-                out += _forest(ids[rows], _overlaps(sets, sets, bound)) if len(rows) > 1 else []
-            else:
-                a, b = rows[side[rows] == 1], rows[side[rows] == 2]
-                if len(a) and len(b):
-                    pairs = _overlaps(of(a), of(b), bound) + [0, len(a)]
-                    out += _forest(np.concatenate([ids[a], ids[b]]), pairs)
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+        """(a, b) that link, of rows (a, salt, id, text): the pivot a itself and its partners."""
+        a, salt, ids = (table.column(c).to_numpy() for c in ("a", "salt", "id"))
+        buf, offs = texts_of(table.column("text"))
+        s, e, d = K.words(buf, offs)
+        flat, sizes = K.shingle_sets(K.span_hashes(buf, s, e, lower), d, len(ids), n)
+        own = ids == a
+        pivots, partners = np.flatnonzero(own), np.flatnonzero(~own)
+        order = pivots[np.lexsort((salt[pivots], a[pivots]))]
+        where = {(int(a[r]), int(salt[r])): k for k, r in enumerate(order.tolist())}
+        ia = np.array([where.get((int(a[r]), int(salt[r])), -1) for r in partners], np.int64)
+        partners, ia = partners[ia >= 0], ia[ia >= 0]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+
+        def of(rows):
+            return (np.concatenate([flat[ends[r] : ends[r + 1]] for r in rows]) if len(rows) else flat[:0]), sizes[rows]
+
+        hit = masked_overlaps(*of(order), *of(partners), ia, np.arange(len(partners)), bound)
+        return pa.table({"a": pa.array(a[partners[hit]], pa.int64()), "b": pa.array(ids[partners[hit]], pa.int64())})
 
     return run
 
 
+def _links(pairs: DataFrame, texts: DataFrame, n: int, lower: bool, bound: Bound) -> DataFrame:
+    """Those (a, b) of pairs that link, written. A pivot with more than its share of pairs is dealt to several tasks."""
+    spark = pairs.sparkSession
+    buckets = bucket_count(spark)
+    share = max(BLOCK, pairs.count() // buckets)
+    hot = spark.createDataFrame(pairs.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > share).collect(), "a long, m long")  # at most one for each bucket
+    x = pairs.join(F.broadcast(hot), "a", "left").withColumn("nb", F.coalesce(F.ceil(F.col("m") / share), F.lit(1)))
+    left = x.select("a", "nb").distinct().select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("salt"), F.col("a").alias("id"))
+    right = x.select("a", F.pmod(F.xxhash64("b"), "nb").alias("salt"), F.col("b").alias("id"))
+    rows = left.unionByName(right).join(dealt(texts.select("id", "text")), "id").withColumn("task", F.pmod(F.xxhash64("a", "salt"), F.lit(buckets)))
+    return materialize(rows.groupBy("task").applyInArrow(_verify(n, lower, bound), "a long, b long"), "links")
+
+
+def _frequent(light: DataFrame, documents: int) -> np.ndarray:
+    """Hashes of the n-grams that one document in ONE_IN has, sorted; at most FREQUENT, which only bounds the table."""
+    often = light.where("id is null").groupBy(F.col("s1").alias("h")).agg(F.sum("s2").alias("m")).where(F.col("m") >= max(4, documents // ONE_IN))
+    return np.sort(np.array([r.h for r in often.orderBy(F.desc("m"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64))
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (8, 10), lower: bool = True) -> DataFrame:
     """(id, n_shingles, representative, component_id) of every row of docs.
 
@@ -212,47 +424,57 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     component. lower: A-Z count as a-z. Ids are taken as unique longs; rows with a null id are left out. Other
     columns are ignored, whatever their names. An empty table gives an empty result. Exact but for 64-bit hashes.
 
-    Hot groups: equal sets are joined by a partial minimum; near copies cost a dense product of BLOCK x BLOCK pairs
-    at a time, in as many tasks as there are block pairs, and only within a candidate component.
+    Hot groups: equal sets fall together in each chunk, near copies meet their pivot in each flush of a map task, and
+    a pivot with more than its share of pairs is dealt to several tasks. Only documents of a key that the pivots leave
+    in several components are compared with each other.
     """
     spark, bound = docs.sparkSession, Bound(*threshold)
     small_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    light = src.mapInArrow(_sketch(n, lower), "id long, n long, s1 long, s2 long")
-    first = light.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    members = materialize(light.join(first, ["n", "s1", "s2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
+    light = materialize(src.mapInArrow(_sketch(n, lower), "id long, n long, s1 long, s2 long"), "light")
+    rows = light.where("id is not null")
+    frequent = _frequent(light, rows.count())
+    copies = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("m")).where("m > 1")
+    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("m")
+    members = rows.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int")).join(dealt(copies), ["n", "s1", "s2", "salt"], "left")
+    members = materialize(members.select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
+    discard(light)
     buckets = bucket_count(spark)
-    keys = src.mapInArrow(_part_keys(n, lower, bound, buckets), "bucket int, keys binary, ids binary")
-    stars = keys.groupBy("bucket").applyInArrow(_stars, "a long, b long")
-    reps = members.where("id = rep and n > 0").select(F.col("id").alias("b"))
-    near = materialize(local_forest(stars).join(dealt(reps), "b", "left_semi"), "stars")  # the smallest of a group is always a representative
-    comp = components(near)
-    sizes = comp.groupBy("c").agg(F.count("*").alias("m"))
-    inside = comp.join(sizes, "c").select(F.col("v").alias("id"), F.col("c").alias("comp"), "m")
-    sets = src.join(dealt(inside), "id").mapInArrow(_sets(n, lower, ["id", "comp", "m"]), "id long, comp long, m long, size long, grams array<long>")
-    sets = materialize(sets, "sets")
-    small = sets.where(f"m <= {BLOCK}").select("id", "comp", F.lit(0).alias("side"), "grams", F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(buckets))).alias("task"))
-    large = _grid(sets.where(f"m > {BLOCK}"))
-    links = small.unionByName(large).groupBy("task").applyInArrow(_multiply(bound), "a long, b long")
+    reps = members.where("id = rep and n > 0").select("id")
+    packed, paired = "bucket int, keys binary, ids binary, rare binary, labels binary", "x long, rare long, p long, bit long"
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.where("x is not null").groupBy("x").agg(F.min(F.struct("rare", "p")).alias("to")).select(F.col("to.p").alias("a"), F.col("x").alias("b"))
+
+    met = src.mapInArrow(_send(n, lower, bound, buckets, frequent, False), packed).groupBy("bucket").applyInArrow(_pivots(False), paired)
+    met = materialize(best(met).join(dealt(reps.withColumnRenamed("id", "b")), "b", "left_semi").select("a", "b"), "met")
+    wanted = met.select(F.col("b").alias("id")).unionByName(met.select(F.col("a").alias("id"))).distinct()
+    texts = materialize(src.join(dealt(wanted), "id", "left_semi"), "texts")
+    # A pivot that met its documents in a map task may be a copy of its representative.
+    same = met.select(F.col("a").alias("id")).distinct().join(dealt(members), "id").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    links = _links(met.where("a <> b"), texts, n, lower, bound).unionByName(same)
     label = components(links)
-    discard(near)
-    out = members.join(label.select(F.col("v").alias("rep"), "c"), "rep", "left")
+    open_texts = materialize(texts.join(dealt(label.select(F.col("v").alias("id"), "c")), "id", "left").select("id", "text", F.coalesce("c", "id").alias("label")), "labelled")
+    again = materialize(open_texts.mapInArrow(_send(n, lower, bound, buckets, frequent, True), packed).groupBy("bucket").applyInArrow(_pivots(True), paired), "again")
+    words = again.where("bit is not null").groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("m")).collect()
+    if words:  # at most FILTER / 64
+        loose = np.zeros(FILTER // 64, np.int64)
+        loose[[r.w for r in words]] = [r.m for r in words]
+        links = links.unionByName(_links(best(again).where("a <> b"), texts, n, lower, bound))
+        label = components(links)
+        left = open_texts.drop("label").join(dealt(label.select(F.col("v").alias("id"), "c")), "id", "left").select("id", "text", F.coalesce("c", "id").alias("label"))
+        sent = left.mapInArrow(_send_loose(n, lower, bound, buckets, frequent, loose.view(np.uint64)), "bucket int, keys binary, ids binary, labels binary, sizes binary, " + ", ".join(f"p{k} binary" for k in range(PARITY)))
+        more = materialize(sent.groupBy("bucket").applyInArrow(_cross(bound), "a long, b long").distinct(), "more")
+        if more.limit(1).count():
+            found = _links(more, texts, n, lower, bound)
+            if found.limit(1).count():
+                links = links.unionByName(found)
+                label = components(links)
+    discard(met, open_texts, again, texts)
+    out = members.join(dealt(label.select(F.col("v").alias("rep"), "c")), "rep", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.col("rep").alias("representative"), F.coalesce("c", "rep").alias("component_id"))
 
 
-def _grid(sets: DataFrame) -> DataFrame:
-    """Rows of large components, once for each block pair that they take part in.
-
-    Blocks are even shares by hash, so that no sort of a component in one task is needed.
-    """
-    nb = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), nb).cast("int")
-    x = sets.withColumn("nb", nb).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    task = F.concat_ws("-", "comp", F.least("own", "other"), F.greatest("own", "other"))
-    return x.select("id", "comp", side.alias("side"), "grams", task.alias("task"))
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = ngram_components(docs, n=3, threshold=(9, 10))

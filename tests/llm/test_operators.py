@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.llm import kernels as K
 from graphloom.llm import bpe, bpe_codec, line_dedup, lm_score, ngram_join, packing, quality, registry, substring_dedup, token_counts, topk, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,10 +77,11 @@ def test_ngram_join(docs, n, t):
     assert got == {i: (len(s), root(i)) for i, s in sets.items()}
 
 
-def test_ngram_join_of_large_components_uses_a_grid(docs, monkeypatch):
+def test_ngram_join_of_hot_pivots_and_keys_in_parts(docs, monkeypatch):
     df, _ = docs
     whole = {r.id: r.component_id for r in ngram_join.ngram_components(df, n=3, threshold=(7, 10)).collect()}
     monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    monkeypatch.setattr(ngram_join, "LOCAL", 2)
     assert whole == {r.id: r.component_id for r in ngram_join.ngram_components(df, n=3, threshold=(7, 10)).collect()}
 
 
@@ -90,6 +92,82 @@ def test_ngram_join_links_sets_either_side_of_the_first_class_table(spark):
     assert {r.component_id for r in ngram_join.ngram_components(df, n=3, threshold=(9, 10)).collect()} == {0}
 
 
+def near_copies(rng, words, n, m, edits):
+    """m texts of n words, each a template with so many words replaced."""
+    base = rng.choices(words, k=n)
+    out = []
+    for _ in range(m):
+        x = list(base)
+        for _ in range(edits):
+            x[rng.randrange(n)] = rng.choice(words)
+        out.append(" ".join(x))
+    return out
+
+
+def jaccard_components(texts, n, p, q):
+    sets = [set(zip(*[t.split()[k:] for k in range(n)], strict=False)) for t in texts]
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            inner = len(sets[i] & sets[j])
+            if q * inner >= p * (len(sets[i]) + len(sets[j]) - inner) > 0 and (a := root(i)) != (b := root(j)):
+                parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(sets))]
+
+
+def test_ngram_join_keeps_unrelated_documents_apart():
+    rng, words = random.Random(5), [f"w{k}" for k in range(50_000)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(60, 300))) for _ in range(2000)]
+    buf = np.frombuffer(" ".join(texts).encode(), np.uint8)
+    offs = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]) - 0
+    offs[-1] -= 1
+    s, e, d = K.words(buf, offs)
+    flat, sizes = K.shingle_sets(K.span_hashes(buf, s, e), d, len(texts), 5)
+    key, row, _ = ngram_join._part_keys(flat, sizes, ngram_join.Classes(ngram_join.Bound(8, 10)), np.zeros(0, np.uint64))
+    pairs = set(zip(key.tolist(), row.tolist(), strict=True))
+    shared = {k for k, n in Counter(k for k, _ in pairs).items() if n > 1}
+    assert len(shared) < 20 and len({r for k, r in pairs if k in shared}) < 40
+
+
+@pytest.mark.parametrize(("n", "t", "edits"), [(5, (8, 10), 4), (3, (9, 10), 3)])
+def test_ngram_join_of_near_copies_and_a_common_passage(spark, n, t, edits):
+    rng, words = random.Random(7), [f"w{k}" for k in range(3000)]
+    texts = near_copies(rng, words, 120, 90, edits) + near_copies(rng, words, 40, 60, 1)
+    passage = " ".join(rng.choices(words, k=60))
+    texts += [f"{' '.join(rng.choices(words, k=rng.randrange(1, 60)))} {passage}" for _ in range(120)]
+    texts += [" ".join(rng.choices(words, k=rng.randrange(1, 40))) for _ in range(100)] + [passage, texts[0], texts[0]]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.id: r.component_id for r in ngram_join.ngram_components(df, n=n, threshold=t).collect()}
+    assert [got[i] for i in range(len(texts))] == jaccard_components(texts, n, *t)
+
+
+def test_patterned_words_have_different_hashes(spark):
+    def pattern(n):
+        x = "a"
+        while len(x) < n:
+            x += x.translate(str.maketrans("ab", "ba"))
+        return x
+
+    for n in (1024, 2048, 8192):
+        one = pattern(n)
+        two = one.translate(str.maketrans("ab", "ba"))
+        buf = np.frombuffer(f"{one} {two} {one}".encode(), np.uint8)
+        h = K.span_hashes(buf, *K.words(buf, np.array([0, len(buf)]))[:2])
+        assert h[0] == h[2] != h[1]
+        upper = np.frombuffer(one.upper().encode(), np.uint8)
+        assert K.span_hashes(upper, np.array([0]), np.array([n]), True)[0] == h[0]
+    x, y = pattern(1024), pattern(1024).translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(0, f"{x} q r"), (1, f"{y} q r"), (2, f"{x} q r")], "doc_id long, text string")
+    assert {r.id: r.component_id for r in ngram_join.ngram_components(df, n=3, threshold=(9, 10)).collect()} == {0: 0, 1: 1, 2: 0}
+
+
 def test_bpe_automaton_and_codec(docs):
     from tokenizers import Tokenizer
 
