@@ -23,8 +23,10 @@ from . import kernels as K
 from .buckets import Packer, bucket_count, bucket_of, unpack
 from .shared import dealt, small_batches, text_chunks
 
-#: Groups, words in a group, hidden units, words on either side, windows of a training step.
-GROUPS, MEMBERS, HIDDEN, SPAN, STEP = 48, 48, 24, 2, 2048
+#: Groups, words in a group, hidden units, words on either side.
+GROUPS, MEMBERS, HIDDEN, SPAN = 48, 48, 24, 2
+#: Windows of a task's first training steps and of its largest; a step has up to an eighth of what came before.
+STEP, STEPS = 1024, 8192
 #: Step width of training: each weight's gradient is divided by the root of the sum of its squares (Adagrad).
 RATE = 0.05
 #: A round trains on one window in EVERY (which ones, a hash of document and place says); EVERY rounds cover all.
@@ -85,29 +87,45 @@ def contexts(t: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """Softmax of each row, in place; log-weights are kept within what float32 can hold."""
+    np.exp(np.clip(z, -60, 60, out=z), out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def _log_pick(z: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Of each row of log-weights the log-probability of its kth."""
+    np.clip(z, -60, 60, out=z)
+    own = z[np.arange(len(k)), k]
+    return own - np.log(np.exp(z, out=z).sum(1))
 
 
 def hidden(w: list[np.ndarray], c: np.ndarray) -> np.ndarray:
-    z = w[1] + w[0][0][c[0]]
+    z = w[0][0][c[0]]
+    z += w[1]
     for k in range(1, len(c)):
         z += w[0][k][c[k]]
     return np.maximum(z, 0, out=z)
 
 
+def _by_group(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in order of group, and where each group begins; small integers are sorted by counting."""
+    order = np.argsort(group.astype(np.int16), kind="stable")
+    return order, np.searchsorted(group[order], np.arange(GROUPS + 1))
+
+
 def log_probs(w: list[np.ndarray], c: np.ndarray, y: np.ndarray) -> np.ndarray:
     """log p of each token y given its context."""
-    x = hidden(w, c)
-    group, member = y % GROUPS, y // GROUPS
-    out = _log_softmax(x @ w[2] + w[3])[np.arange(len(y)), group]
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    for g in range(GROUPS):
-        rows = order[cuts[g] : cuts[g + 1]]
-        if len(rows):
-            out[rows] += _log_softmax(x[rows] @ w[4][g] + w[5][g])[np.arange(len(rows)), member[rows]]
+    order, cuts = _by_group(y % GROUPS)
+    x = hidden(w, c[:, order])
+    group, member = y[order] % GROUPS, y[order] // GROUPS
+    got = _log_pick(x @ w[2] + w[3], group)
+    for g in np.flatnonzero(np.diff(cuts)):
+        rows = slice(cuts[g], cuts[g + 1])
+        got[rows] += _log_pick(x[rows] @ w[4][g] + w[5][g], member[rows])
+    out = np.empty_like(got)
+    out[order] = got
     return out
 
 
@@ -116,35 +134,36 @@ def train_step(w: list[np.ndarray], seen: list[np.ndarray], c: np.ndarray, y: np
 
     Of the words' tables only the rows that the batch has are touched; the others have no gradient.
     """
+    order, cuts = _by_group(y % GROUPS)
+    c, y = c[:, order], y[order]
     x = hidden(w, c)
     n = len(y)
     group, member = y % GROUPS, y // GROUPS
     grad = [None, *[np.zeros_like(p) for p in w[1:]]]
-    d = -np.exp(_log_softmax(x @ w[2] + w[3]))
-    d[np.arange(n), group] += 1
+    d = _softmax(x @ w[2] + w[3])  # what to take away: probabilities, less 1 for the token itself
+    d[np.arange(n), group] -= 1
     back = d @ w[2].T
     grad[2], grad[3] = x.T @ d, d.sum(0)
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
     for g in np.flatnonzero(np.diff(cuts)):
-        rows = order[cuts[g] : cuts[g + 1]]
-        e = -np.exp(_log_softmax(x[rows] @ w[4][g] + w[5][g]))
-        e[np.arange(len(rows)), member[rows]] += 1
+        rows = slice(cuts[g], cuts[g + 1])
+        e = _softmax(x[rows] @ w[4][g] + w[5][g])
+        e[np.arange(len(e)), member[rows]] -= 1
         back[rows] += e @ w[4][g].T
         grad[4][g], grad[5][g] = x[rows].T @ e, e.sum(0)
     back *= x > 0
-    grad[1] = back.sum(0)
+    back /= n
+    grad[1] = back.sum(0) * n
     for k in range(len(c)):
-        order = np.argsort(c[k], kind="stable")
-        ids = c[k][order]
+        at = np.argsort(c[k].astype(np.int16), kind="stable")
+        ids = c[k][at]
         cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        rows, g = ids[cuts], np.add.reduceat(back[order], cuts, axis=0) / n
+        rows, g = ids[cuts], np.add.reduceat(back[at], cuts, axis=0)
         seen[0][k][rows] += g * g
-        w[0][k][rows] += rate * g / (np.sqrt(seen[0][k][rows]) + 1e-6)
+        w[0][k][rows] -= rate * g / (np.sqrt(seen[0][k][rows]) + 1e-6)
     for p, g, q in zip(w[1:], grad[1:], seen[1:], strict=True):
         g /= n
         q += g * g
-        p += rate * g / (np.sqrt(q) + 1e-6)
+        p -= rate * g / (np.sqrt(q) + 1e-6)
 
 
 def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,10 +224,11 @@ def _train(shared, every: int, turn: int):
                 c, y = np.concatenate([rest[0][0], c], 1), np.concatenate([rest[0][1], y])
             order = np.argsort(K.mix(np.arange(len(y), dtype=np.uint64)))
             c, y = c[:, order], y[order]
-            for k in range(0, len(y) - STEP + 1, STEP):
-                train_step(w, seen, c[:, k : k + STEP], y[k : k + STEP])
-                done += STEP
-            k = len(y) // STEP * STEP
+            k, step = 0, min(STEPS, max(STEP, done // 8))
+            while len(y) - k >= step:
+                train_step(w, seen, c[:, k : k + step], y[k : k + step])
+                done, k = done + step, k + step
+                step = min(STEPS, max(STEP, done // 8))
             rest = [(c[:, k:], y[k:])]
         if rest and len(rest[0][1]):
             train_step(w, seen, *rest[0])
@@ -279,14 +299,29 @@ def _rest_words(shared, buckets: int):
     return run
 
 
-def _log_counts(table: pa.Table) -> pa.Table:
-    """(key, extra): for each text, the sum over its words in this bucket of the log of the word's count in the corpus."""
-    word, key = unpack(table, "words", np.uint64), unpack(table, "keys", np.int64)
-    n, counted = unpack(table, "n", np.uint32), unpack(table, "counted", np.uint32)
-    _, which = np.unique(word, return_inverse=True)
-    total = np.maximum(np.bincount(which, weights=counted), 1)
-    keys, text = np.unique(key, return_inverse=True)
-    return pa.table({"key": pa.array(keys), "extra": pa.array(np.bincount(text, weights=n * np.log(total)[which], minlength=len(keys)))})
+def _log_counts(buckets: int):
+    """Of a bucket of words, for each text the sum of the logs of its words' counts in the corpus, packed by bucket of text."""
+
+    def run(table: pa.Table) -> pa.Table:
+        word, key = unpack(table, "words", np.uint64), unpack(table, "keys", np.int64)
+        n, counted = unpack(table, "n", np.uint32), unpack(table, "counted", np.uint32)
+        _, which = np.unique(word, return_inverse=True)
+        total = np.maximum(np.bincount(which, weights=counted), 1)
+        keys, text = np.unique(key, return_inverse=True)
+        extra = np.bincount(text, weights=n * np.log(total)[which], minlength=len(keys))
+        pack = Packer(buckets, ["keys", "extra"])
+        return pa.Table.from_batches([*pack.add(bucket_of(K.mix(keys.view(np.uint64)), buckets), keys, extra), *pack.rest()], _SENT)
+
+    return run
+
+
+_SENT = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
+
+
+def _sums(table: pa.Table) -> pa.Table:
+    """(key, extra) of a bucket of texts."""
+    keys, text = np.unique(unpack(table, "keys", np.int64), return_inverse=True)
+    return pa.table({"key": pa.array(keys), "extra": pa.array(np.bincount(text, weights=unpack(table, "extra", np.float64), minlength=len(keys)))})
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, every: int = EVERY) -> DataFrame:
@@ -309,7 +344,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     flat = fit(some, vocab, rounds, every)
     shared, buckets = spark.sparkContext.broadcast((vocab, flat)), bucket_count(spark)
     rest = src.mapInArrow(_rest_words(shared, buckets), "bucket int, words binary, keys binary, n binary, counted binary")
-    extra = rest.groupBy("bucket").applyInArrow(_log_counts, "key long, extra double").groupBy("key").agg(F.sum("extra").alias("extra"))
+    sent = rest.groupBy("bucket").applyInArrow(_log_counts(buckets), "bucket int, keys binary, extra binary")
+    extra = sent.groupBy("bucket").applyInArrow(_sums, "key long, extra double")
     # Rows of equal text have one key, and its sum is over all of them.
     extra = extra.join(dealt(src.groupBy("key").agg(F.count("*").alias("rows"))), "key").select("key", (F.col("extra") / F.col("rows")).alias("extra"))
     out = src.mapInArrow(_score(shared), "id long, key long, n_tokens long, log_prob double").join(dealt(extra), "key", "left")
