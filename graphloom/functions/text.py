@@ -25,20 +25,25 @@ def safe_label(text: Column, limit: int = 200) -> Column:
     return x
 
 
+# The patterns by which pages are cleaned and read, in this and the following functions.
 def html_to_markdown(html: Column) -> Column:
     """The article's (else main's, else all) text with headings, paragraphs and breaks."""
     x = _replace(html, (r"(?is)<script[^>]*>.*?</script>", ""), (r"(?is)<style[^>]*>.*?</style>", ""))
-    for tag in ("main", "article"):
-        inner = F.regexp_extract(x, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)
-        x = F.when(inner != "", inner).otherwise(x)
-    x = _replace(x, (r"(?is)<h1[^>]*>(.*?)</h1>", "# $1\n\n"), (r"(?is)<h2[^>]*>(.*?)</h2>", "## $1\n\n"), (r"(?is)<h3[^>]*>(.*?)</h3>", "### $1\n\n"))
-    x = _replace(x, (r"(?is)<p[^>]*>(.*?)</p>", "$1\n\n"), (r"(?i)<br\s*/?>", "\n"), (r"<[^>]+>", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"))
+    inner = lambda tag: rf"(?is)<{tag}[^>]*>(.*?)</{tag}>"
+    article, main = inner("article"), inner("main")
+    x = F.when(x.rlike(article), F.regexp_extract(x, article, 1)).when(x.rlike(main), F.regexp_extract(x, main, 1)).otherwise(x)
+    x = _replace(x, (r"(?is)<h1[^>]*>(.*?)</h1>", "\n# $1\n"), (r"(?is)<h2[^>]*>(.*?)</h2>", "\n## $1\n"), (r"(?is)<h3[^>]*>(.*?)</h3>", "\n### $1\n"))
+    x = _replace(x, (r"(?is)<p[^>]*>(.*?)</p>", "$1\n\n"), (r"(?i)<br\s*/?>", "\n"), (r"<[^>]+>", " "), (r"[ \t]+", " "), (r"\n\n\n+", "\n\n"))
+    return _trimmed(x)
+
+
+def _trimmed(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
 def html_title(html: Column) -> Column:
-    """The first title, inner tags removed and white space collapsed; null if there is none."""
-    x = F.trim(_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), (r"<[^>]+>", ""), (r"\s+", " ")))
+    """The first title with white space collapsed; null if there is none or it is blank."""
+    x = _trimmed(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
     return F.when(x != "", x)
 
 
@@ -48,24 +53,39 @@ def url_kind(url: Column) -> Column:
 
 
 def url_file_name(url: Column, limit: int = 80) -> Column:
-    """Host, path and query with anything but word characters and dashes as one _, cut."""
-    x = F.regexp_replace(url, r"^[a-zA-Z]+://", "")
-    x = _replace(F.regexp_replace(x, r"#.*$", ""), (r"[^A-Za-z0-9_\-]", "_"), (r"_+", "_"), (r"^_+|_+$", ""))
+    """Host in lower case, path and query, with anything but word characters and dashes as one _, cut."""
+    parts = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^#]*)"
+    x = F.when(url.rlike(parts), F.concat(F.lower(F.regexp_extract(url, parts, 1)), F.regexp_extract(url, parts, 2))).otherwise(F.regexp_replace(url, "#.*$", ""))
+    x = _replace(x, (r"[^A-Za-z0-9_\-]", "_"), (r"_+", "_"), (r"^_+|_+$", ""))
     return F.substring(x, 1, limit)
 
 
-def web_document(url: Column, html: Column, limit: int = 12_000) -> Column:
-    """A Markdown document with front matter; a longer body is cut and says so."""
-    body = html_to_markdown(html)
-    body = F.when(F.length(body) > limit, F.concat(F.substring(body, 1, limit), F.lit("\n\n[truncated]"))).otherwise(body)
-    title = F.coalesce(html_title(html), url)
-    return F.concat_ws("\n", F.lit("---"), F.concat(F.lit("title: "), yaml_quoted(title)), F.concat(F.lit("source_url: "), url), F.lit("type: webpage"), F.lit("---"), F.lit(""), body)
+def _front(*lines: Column) -> Column:
+    """Lines of front matter with a blank line after."""
+    return F.concat_ws("\n", F.lit("---"), *lines, F.lit("---"), F.lit(""), F.lit(""))
+
+
+def web_document(url: Column, html: Column, captured_at: Column, limit: int = 12_000) -> Column:
+    """A page as Markdown with front matter; a longer body is cut and says so."""
+    body, title = html_to_markdown(html), F.coalesce(html_title(html), url)
+    head = _front(F.concat(F.lit("source_url: "), url), F.lit("type: webpage"), F.concat(F.lit("title: "), yaml_quoted(title)), F.concat(F.lit("captured_at: "), captured_at))
+    cut = F.when(F.length(body) > limit, F.concat(F.substring(body, 1, limit), F.lit("\n\n*[Content truncated]*\n"))).otherwise(body)
+    return F.concat(head, F.lit("# "), title, F.lit("\n\nSource: "), url, F.lit("\n\n---\n\n"), cut)
 
 
 def paper_fields(html: Column) -> dict[str, Column]:
-    """Title, authors and abstract of an arXiv page; empty where the page has none."""
-    clean = lambda p: F.trim(_replace(F.regexp_extract(html, p, 1), (r"<[^>]+>", ""), (r"\s+", " ")))
-    return {"title": F.regexp_replace(clean(r"(?is)<h1[^>]*class=\"title[^\"]*\"[^>]*>(.*?)</h1>"), r"^Title:\s*", ""), "authors": F.regexp_replace(clean(r"(?is)<div[^>]*class=\"authors\"[^>]*>(.*?)</div>"), r"^Authors?:\s*", ""), "abstract": F.regexp_replace(clean(r"(?is)<blockquote[^>]*class=\"abstract[^\"]*\"[^>]*>(.*?)</blockquote>"), r"^Abstract:\s*", "")}
+    """Title, authors and abstract of a paper's page; empty where it has none."""
+    clean = lambda p: F.regexp_replace(_trimmed(F.regexp_replace(F.regexp_extract(html, p, 1), "<[^>]+>", "")), r"\s+", " ")
+    return {"title": clean(r"(?is)class=\"title[^\"]*\"[^>]*>(.*?)</h1>"), "authors": clean(r"(?is)class=\"authors\"[^>]*>(.*?)</div>"), "abstract": clean(r"(?is)class=\"abstract[^\"]*\"[^>]*>(.*?)</blockquote>")}
+
+
+def paper_document(url: Column, html: Column, captured_at: Column) -> Column:
+    """A paper's page as Markdown: its number, title, authors and abstract."""
+    f, number = paper_fields(html), arxiv_id(url)
+    title, some = F.when(f["title"] != "", f["title"]).otherwise(number), f["authors"] != ""
+    head = _front(F.concat(F.lit("source_url: "), url), F.concat(F.lit("arxiv_id: "), number), F.lit("type: paper"), F.concat(F.lit("title: "), yaml_quoted(title)), F.when(some, F.concat(F.lit("paper_authors: "), yaml_quoted(f["authors"]))), F.concat(F.lit("captured_at: "), captured_at))
+    authors = F.when(some, F.concat(F.lit("**Authors:** "), f["authors"], F.lit("\n"))).otherwise("")
+    return F.concat(head, F.lit("# "), title, F.lit("\n\n"), authors, F.lit("**arXiv:** "), number, F.lit("\n\n## Abstract\n\n"), f["abstract"], F.lit("\n\nSource: "), url, F.lit("\n"))
 
 
 def arxiv_id(url: Column) -> Column:
@@ -73,14 +93,30 @@ def arxiv_id(url: Column) -> Column:
 
 
 def repository(url: Column) -> tuple[Column, Column]:
-    """Owner and name of a GitHub URL."""
-    p = r"github\.com/([^/]+)/([^/?#]+)"
+    """Owner and name of a repository's URL."""
+    p = r"github\.com/([^/]+)/([^/]+)"
     return F.regexp_extract(url, p, 1), F.regexp_extract(url, p, 2)
 
 
+def repository_document(url: Column, captured_at: Column) -> Column:
+    owner, name = repository(url)
+    head = _front(F.concat(F.lit("source_url: "), url), F.lit("type: github_repo"), F.concat(F.lit("github_owner: "), owner), F.concat(F.lit("github_repo: "), name), F.concat(F.lit("captured_at: "), captured_at))
+    return F.concat(head, F.lit("# "), owner, F.lit("/"), name, F.lit("\n\nGitHub Repository: "), url, F.lit("\n\n*Use GitHub API or clone the repository for full code analysis.*\n"))
+
+
+def with_contributor(document: Column, author: str) -> Column:
+    """document with a contributor line at the end of its front matter, and a line feed at its own end."""
+    lines = F.split(document, "\n", -1)
+    marks = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x) == "---", i + 1)), lambda i: i.isNotNull())
+    end = F.get(marks, F.lit(1))
+    new = F.concat(F.slice(lines, F.lit(1), end - 1), F.array(F.concat(F.lit("contributor: "), yaml_quoted(F.lit(author)))), F.slice(lines, end, F.size(lines)))
+    return F.concat(F.array_join(F.when(end.isNull(), lines).otherwise(new), "\n"), F.lit("\n"))
+
+
 def yaml_quoted(x: Column) -> Column:
-    x = F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.concat(F.lit('"'), F.replace(x, F.lit("\n"), F.lit(" ")), F.lit('"'))
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return F.concat(F.lit('"'), x, F.lit('"'))
 
 
 def cypher_text(x: Column) -> Column:

@@ -6,40 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import rounded
-from ..model import EDGE_KEY, PropertyGraph, existing
+from ..model import EDGE_KEY, PropertyGraph, existing, keep
 
 #: The questions asked when none are given.
 QUESTIONS = ("how does authentication work", "what is the main entry point", "how are errors handled", "what connects the data layer to the api", "what are the core abstractions")
 
 
-def shortest_path(g: PropertyGraph, source: str, target: str, max_hops: int = 64) -> DataFrame:
+def shortest_path(g: PropertyGraph, source: str, target: str, max_hops: int | None = None) -> DataFrame:
     """(step, id, label) along a shortest path over out-edges; no rows if there is none or an end doesn't exist.
 
+    The search goes on until the target is met or nothing new is. max_hops: where that many hops don't settle it,
+    ValueError; "no path" is never an answer to a search cut short.
+
     Each round joins the frontier with the edges and drops what was seen; among equal parents the smallest id stays.
-    Every few rounds the seen nodes are checkpointed, so that the plan doesn't grow with the path.
+    Each round's nodes are checkpointed, and every few rounds all seen ones, so that the plan doesn't grow with the path.
     """
     spark = g.nodes.sparkSession
     known = g.nodes.where(F.col("id").isin(source, target)).select("id").distinct().count()
     empty = g.nodes.select(F.lit(0).alias("step"), "id", "label").limit(0)
     if known != len({source, target}):
         return empty
-    edges = existing(g.edges, g.nodes).select("src", "dst").where("src <> dst").distinct()
+    edges = keep(existing(g.edges, g.nodes).select("src", "dst").where("src <> dst").distinct())
     seen = spark.createDataFrame([(source, None, 0)], "id string, parent string, hop int")
     frontier, hop, found = seen.select("id"), 0, source == target
-    checkpoints = bool(spark.conf.get("spark.checkpoint.dir", None)) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    while not found and hop < max_hops:
+    while not found:
+        if max_hops is not None and hop == max_hops:
+            raise ValueError(f"no path of up to {max_hops} hops; there may be a longer one")
         hop += 1
         step = edges.join(F.broadcast(frontier) if hop == 1 else frontier, edges.src == F.col("id")).groupBy("dst").agg(F.min("src").alias("parent"))
-        step = step.select(F.col("dst").alias("id"), "parent", F.lit(hop).alias("hop")).join(seen.select("id"), "id", "left_anti").persist()
-        seen = seen.unionByName(step)
-        if checkpoints and hop % 4 == 0:
-            seen = seen.checkpoint()
-        if not step.limit(1).count():
+        step = keep(step.select(F.col("dst").alias("id"), "parent", F.lit(hop).alias("hop")).join(seen.select("id"), "id", "left_anti"))
+        met = step.agg(F.count("*").alias("n"), F.coalesce(F.max(F.col("id") == target), F.lit(False)).alias("found")).first()
+        if not met.n:
             return empty
-        found = bool(step.where(F.col("id") == target).limit(1).count())
-        frontier = step.select("id")
-    if not found:
-        return empty
+        seen = seen.unionByName(step)
+        seen = keep(seen) if hop % 8 == 0 else seen
+        found, frontier = met.found, step.select("id")
     path, at = [], target
     while at is not None:  # one lookup for each node of the path
         path.append(at)

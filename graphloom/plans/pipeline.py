@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import argparse
+import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..model import PropertyGraph
 from ..operators.build import build
 from ..operators.cluster import cluster
 from ..operators.extract import extract
 from ..operators.traverse import cost_summary, retrieval_cost
-from ..sources.files import detect_files, read_graph, texts, tracked_files
+from ..sources.files import LANGUAGES, detect_files, read_graph, texts, tracked_files
 from ..sources.sinks import export, summary_lines
+from ..streaming.incremental import Maintainer
 
 
 def build_graph(spark: SparkSession, root: str, min_weight: float = 0.1, git: bool = False) -> PropertyGraph:
@@ -21,24 +24,73 @@ def build_graph(spark: SparkSession, root: str, min_weight: float = 0.1, git: bo
     return build(nodes, edges, min_weight=min_weight)
 
 
-def run(spark: SparkSession, root: str, out: str, formats: tuple[str, ...] = ("json", "html", "report")) -> PropertyGraph:
-    g = cluster(build_graph(spark, root).lasting()).lasting()
+def render(g: PropertyGraph, out: str, formats: tuple[str, ...], verbose: bool = False) -> None:
     for name, why in export(g, out, formats).items():
         print(f"{name}: {why}")
-    print("\n".join(summary_lines(g)))
+    if verbose:
+        print("\n".join(summary_lines(g)))
+
+
+def run(spark: SparkSession, root: str, out: str, formats: tuple[str, ...] = ("json", "html", "report"), min_weight: float = 0.1, git: bool = False) -> PropertyGraph:
+    g = cluster(build_graph(spark, root, min_weight, git).lasting()).lasting()
+    render(g, out, formats, True)
     return g
 
 
+def changes(spark: SparkSession, root: str, known: DataFrame) -> DataFrame:
+    """Events (path, kind, content, ts) of code files below root against known (path, content_hash)."""
+    now = texts(detect_files(spark, root)).select("path", F.coalesce("content", F.lit("")).alias("content"))
+    new = now.join(known, (now.path == known.path) & (F.sha2("content", 256) == known.content_hash), "left_anti")
+    gone = known.select("path").join(now.select("path"), "path", "left_anti").withColumn("content", F.lit(None).cast("string"))
+    x = new.withColumn("kind", F.lit("changed")).unionByName(gone.withColumn("kind", F.lit("deleted")))
+    return x.withColumn("ts", F.current_timestamp())
+
+
+def extract_changes(rows: DataFrame) -> PropertyGraph:
+    """The graph of changed rows (path, content); the path's extension says the language."""
+    ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    names = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    nodes, edges = extract(rows.withColumn("language", names[ext]))
+    return build(nodes, edges, min_weight=0.0)
+
+
+def watch(spark: SparkSession, root: str, out: str, formats: tuple[str, ...] = ("json", "html", "report"), every: float = 0.5, ticks: int | None = None) -> Maintainer:
+    """Look for changes every so many seconds; where there are some, bring the graph in out/state up to date, cluster and export.
+
+    Each look reads the folder's files and compares hashes; only changed files are extracted. Nodes of deleted files
+    go. After a restart it goes on from the state in the folder. ticks: stop after so many looks.
+    """
+    keeper = Maintainer(spark, f"{out}/state", extract_changes, cluster, delete=True)
+    keeper.stream = "watch"
+    while ticks is None or ticks > 0:
+        began = time.monotonic()
+        events = changes(spark, root, keeper.known()).persist()
+        if events.limit(1).count():
+            keeper.apply(events, keeper.version + 1)
+            render(keeper.load(), out, formats)
+        events.unpersist()
+        ticks = None if ticks is None else ticks - 1
+        if ticks != 0:
+            time.sleep(max(0.0, every - (time.monotonic() - began)))
+    return keeper
+
+
 def main() -> None:
     p = argparse.ArgumentParser()
-    p.add_argument("command", choices=["run", "benchmark"])
+    p.add_argument("command", choices=["run", "watch", "benchmark"])
     p.add_argument("path", nargs="?", default=".")
     p.add_argument("-o", "--output", default="graph-out")
     p.add_argument("-f", "--formats", default="json,html,report")
+    p.add_argument("-w", "--min-weight", type=float, default=0.1)
+    p.add_argument("-e", "--every", type=float, default=0.5, help="seconds between looks of watch")
+    p.add_argument("--git", action="store_true", help="only files that git tracks")
     a = p.parse_args()
     spark = SparkSession.builder.getOrCreate()
+    formats = tuple(x.strip().lower() for x in a.formats.split(",") if x.strip())
     if a.command == "run":
-        run(spark, a.path, a.output, tuple(a.formats.split(",")))
+        run(spark, a.path, a.output, formats, a.min_weight, a.git)
+    elif a.command == "watch":
+        watch(spark, a.path, a.output, formats, a.every)
     else:
         costs = retrieval_cost(read_graph(spark, a.path))
         costs.show(truncate=55)

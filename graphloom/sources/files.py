@@ -2,25 +2,43 @@
 
 from __future__ import annotations
 
+import os
 import re
 import subprocess
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import file_name
-from ..functions.text import url_kind, web_document
+from ..functions.text import arxiv_id, paper_document, repository, repository_document, url_file_name, url_kind, web_document, with_contributor
 from ..model import PropertyGraph, existing
 
 # Extensions by category, language names, and directories that are passed over.
-CODE = {".cs": "CSharp", ".py": "Python", ".js": "JavaScript", ".jsx": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript", ".go": "Go", ".java": "Java", ".rs": "Rust", ".c": "C", ".h": "C", ".cpp": "C++", ".hpp": "C++", ".cc": "C++", ".rb": "Ruby", ".kt": "Kotlin", ".swift": "Swift", ".scala": "Scala", ".php": "PHP", ".lua": "Lua", ".r": "R", ".sh": "Shell", ".ps1": "PowerShell", ".sql": "SQL"}
-DOCUMENTS = {".md": "Markdown", ".txt": "Text", ".rst": "reStructuredText", ".adoc": "AsciiDoc"}
-MEDIA = {".pdf": "PDF", ".png": "Image", ".jpg": "Image", ".jpeg": "Image", ".gif": "Image", ".webp": "Image", ".svg": "Image"}
-SKIPPED = ("venv", "env", "node_modules", "bin", "obj", "dist", "build", "target", "out", "__pycache__", "site-packages", "vendor", "packages", "coverage")
+CODE = (".py", ".ts", ".tsx", ".js", ".jsx", ".go", ".rs", ".java", ".c", ".cpp", ".h", ".hpp", ".rb", ".cs", ".kt", ".scala", ".php", ".swift", ".r", ".lua", ".sh", ".bash", ".ps1", ".yaml", ".yml", ".json", ".toml", ".xml")
+DOCUMENTS = (".md", ".txt", ".rst", ".adoc")
+MEDIA = (".pdf", ".png", ".jpg", ".jpeg", ".webp", ".gif", ".svg")
+LANGUAGES = {
+    ".py": "Python", ".ts": "TypeScript", ".tsx": "TypeScript", ".js": "JavaScript", ".jsx": "JavaScript", ".go": "Go", ".rs": "Rust", ".java": "Java", ".c": "C", ".cpp": "C++", ".h": "C", ".hpp": "C++",
+    ".rb": "Ruby", ".cs": "CSharp", ".kt": "Kotlin", ".scala": "Scala", ".php": "PHP", ".swift": "Swift", ".r": "R", ".lua": "Lua", ".sh": "Shell", ".bash": "Shell", ".ps1": "PowerShell",
+    ".yaml": "YAML", ".yml": "YAML", ".json": "JSON", ".toml": "TOML", ".xml": "XML", ".md": "Markdown", ".txt": "Text", ".rst": "ReStructuredText", ".adoc": "AsciiDoc",
+    ".pdf": "PDF", ".png": "PNG", ".jpg": "JPEG", ".jpeg": "JPEG", ".webp": "WebP", ".gif": "GIF", ".svg": "SVG",
+}
+SKIPPED = ("venv", ".venv", "env", ".env", "node_modules", "__pycache__", ".git", "dist", "build", "target", "out", "bin", "obj", "site-packages", "lib64", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", ".eggs")
 SKIPPED_ENDS = ("_venv", "_env", ".egg-info")
 
 
+def links_below(root: str) -> list[str]:
+    """Relative paths of symbolic links below a local root; other stores have none."""
+    start = re.sub(r"^file:/+", "/", root.rstrip("/"))
+    if "://" in start:
+        return []
+    found = []
+    for at, folders, files in os.walk(start):
+        found += [os.path.relpath(os.path.join(at, x), start) for x in (*folders, *files) if os.path.islink(os.path.join(at, x))]
+    return found
+
+
 def tracked_files(root: str) -> list[str] | None:
     """Paths that git tracks below root; None if it isn't a repository."""
     run = subprocess.run(["git", "-C", root, "ls-files", "-z"], capture_output=True, text=True)
@@ -31,9 +49,14 @@ def detect_files(spark: SparkSession, root: str, max_bytes: int = 1 << 20, exclu
     """(file_path, relative_path, file_name, extension, language, category, size_bytes, content) of files worth reading.
 
     Listing and filters come before contents: size and name filters reach the reader. Hidden files and folders,
-    SKIPPED folders, large files, unknown extensions and paths that contain an excluded text are left out.
+    SKIPPED folders, large files, unknown extensions, symbolic links and what is below them, and paths that contain
+    an excluded text are left out. tracked: only these relative paths. Rows come in order of relative path. A local
+    root that isn't a folder raises FileNotFoundError.
     """
     base = root.rstrip("/")
+    local = re.sub(r"^file:/+", "/", base)
+    if "://" not in local and not os.path.isdir(local):
+        raise FileNotFoundError(f"Root path not found: {root}")
     at = F.regexp_replace("path", r"^file:/+", "/")
     start = re.sub(r"^file:/+", "/", base)
     x = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).where(F.col("length") <= max_bytes)
@@ -44,8 +67,10 @@ def detect_files(spark: SparkSession, root: str, max_bytes: int = 1 << 20, exclu
     x = x.where(~F.col("relative_path").rlike(rf"(?i)(^|/)({folders})/") & ~F.col("file_name").startswith("."))
     ext = F.lower(F.regexp_extract("file_name", r"(\.[^.]+)$", 1))
     x = x.withColumn("extension", ext)
-    known = {**{k: ("Code", v) for k, v in CODE.items()}, **{k: ("Documentation", v) for k, v in DOCUMENTS.items()}, **{k: ("Media", v) for k, v in MEDIA.items()}}
-    kinds = spark.createDataFrame([(k, c, lang) for k, (c, lang) in known.items()], "extension string, category string, language string")
+    known = [(k, c, LANGUAGES[k]) for c, names in (("Code", CODE), ("Documentation", DOCUMENTS), ("Media", MEDIA)) for k in names]
+    kinds = spark.createDataFrame(known, "extension string, category string, language string")
+    for link in links_below(base):
+        x = x.where((F.col("relative_path") != link) & ~F.col("relative_path").startswith(link + "/"))
     if extensions is not None:
         x = x.where(F.col("extension").isin(*[e.lower() for e in extensions]))
     for text in exclude:
@@ -54,7 +79,7 @@ def detect_files(spark: SparkSession, root: str, max_bytes: int = 1 << 20, exclu
         own = spark.createDataFrame([(p.lower(),) for p in tracked], "key string")
         x = x.join(own, F.lower("relative_path") == F.col("key"), "left_semi")
     x = x.join(F.broadcast(kinds), "extension")  # a few dozen rows
-    return x.select("file_path", "relative_path", "file_name", "extension", "language", "category", "size_bytes", "content")
+    return x.select("file_path", "relative_path", "file_name", "extension", "language", "category", "size_bytes", "content").orderBy("relative_path")
 
 
 def texts(files: DataFrame) -> DataFrame:
@@ -80,9 +105,20 @@ def read_graph(spark: SparkSession, path: str) -> PropertyGraph:
     return PropertyGraph(g.nodes, existing(g.edges, g.nodes))
 
 
-def web_documents(pages: DataFrame) -> DataFrame:
-    """(url, kind, document) of pages (url, html)."""
-    return pages.select("url", url_kind(F.col("url")).alias("kind"), web_document(F.col("url"), F.coalesce("html", F.lit(""))).alias("document"))
+def web_documents(pages: DataFrame, captured_at: Column | None = None, author: str | None = None) -> DataFrame:
+    """(url, kind, file, document) of pages (url, html): papers, repositories and other pages as Markdown.
+
+    file is a safe name; a second page with the same name gets _1, a third _2, in order of url. captured_at: text of
+    the time of capture, by default now. author: named as contributor. A null html counts as empty.
+    """
+    when = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'") if captured_at is None else captured_at
+    kind, url = url_kind(F.col("url")), F.col("url")
+    page = F.coalesce("html", F.lit(""))
+    text = F.when((kind == "arxiv") & (arxiv_id(url) != ""), paper_document(url, page, when)).when((kind == "github") & (repository(url)[0] != ""), repository_document(url, when)).otherwise(web_document(url, page, when))
+    x = pages.select("url", kind.alias("kind"), url_file_name(url).alias("base"), (text if author is None else with_contributor(text, author)).alias("document"))
+    n = F.row_number().over(Window.partitionBy("base").orderBy("url", "document")) - 1
+    file = F.concat("base", F.when(n > 0, F.concat(F.lit("_"), n.cast("string"))).otherwise(""), F.lit(".md"))
+    return x.select("url", "kind", file.alias("file"), "document")
 
 
 def stem(path: str) -> str:

@@ -77,48 +77,75 @@ def delete_paths(g: PropertyGraph, paths: DataFrame) -> PropertyGraph:
     return PropertyGraph(nodes, edges)
 
 
+def folder_events(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of events (path, kind, content, ts) from the JSON files that arrive in folder."""
+    return spark.readStream.schema("path string, kind string, content string, ts timestamp").json(folder)
+
+
 class Maintainer:
     """Holds graph versions in folders; each micro-batch reads the last, merges its delta and writes the next.
 
     extract: turns changed rows (path, content) into a graph of their nodes and edges; finish: what follows a merge,
-    such as clustering. Batches that come again after a failure write their version anew.
+    such as clustering. A version counts once its folder `done` is written, which comes last; a new Maintainer on an
+    old folder goes on from the last such version. A batch that comes again after a failure starts from the version
+    before its own and writes its own anew.
     """
 
     def __init__(self, spark: SparkSession, folder: str, extract: Callable[[DataFrame], PropertyGraph], finish: Callable[[PropertyGraph], PropertyGraph] | None = None, delete: bool = False):
         self.spark, self.folder, self.extract, self.finish, self.delete = spark, folder, extract, finish, delete
-        self.version = -1
+        self.stream, self.version = "", max(self._versions(), default=-1)
 
-    def load(self) -> PropertyGraph:
-        if self.version < 0:
+    def _versions(self) -> list[int]:
+        """Complete versions in the folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v*/done/_SUCCESS")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
+        return [int(f.getPath().getParent().getParent().getName()[1:]) for f in found or []]
+
+    def load(self, version: int | None = None) -> PropertyGraph:
+        version = self.version if version is None else version
+        if version < 0:
             return PropertyGraph.empty(self.spark)
-        at = f"{self.folder}/v{self.version}"
+        at = f"{self.folder}/v{version}"
         return PropertyGraph(self.spark.read.parquet(f"{at}/nodes"), self.spark.read.parquet(f"{at}/edges"))
 
-    def known(self) -> DataFrame:
-        if self.version < 0:
+    def known(self, version: int | None = None) -> DataFrame:
+        version = self.version if version is None else version
+        if version < 0:
             return self.spark.createDataFrame([], "path string, content_hash string")
-        return self.spark.read.parquet(f"{self.folder}/v{self.version}/hashes")
+        return self.spark.read.parquet(f"{self.folder}/v{version}/hashes")
+
+    def _base(self, batch: int) -> int:
+        """The version that the batch starts from: the last, or the one before its own if it was applied already."""
+        done = max(self._versions(), default=-1)
+        if done >= 0:
+            last = self.spark.read.parquet(f"{self.folder}/v{done}/done").first()
+            if (last.stream, last.batch) == (self.stream, batch):
+                return last.base
+        return done
 
     def apply(self, events: DataFrame, batch: int) -> None:
+        base = self._base(batch)
         last = last_changes(events).persist()
         now = last.select("path", F.when(F.col("kind") != "deleted", F.col("content")).alias("content"))
-        diff = changed(now, self.known()).persist()
-        old = self.load()
+        diff = changed(now, self.known(base)).persist()
+        old = self.load(base)
         if self.delete:
             old = delete_paths(old, diff.where("state = 'deleted'").select("path"))
         delta = self.extract(now.join(diff.where("state <> 'deleted'").select("path"), "path", "left_semi"))
         g = old.merge(delta)
         g = self.finish(g) if self.finish else g
-        at = f"{self.folder}/v{batch}"
+        at = f"{self.folder}/v{base + 1}"
         g.nodes.write.mode("overwrite").parquet(f"{at}/nodes")
         g.edges.write.mode("overwrite").parquet(f"{at}/edges")
         fresh = diff.where("content_hash is not null").select("path", "content_hash")
-        self.known().join(diff.select("path"), "path", "left_anti").unionByName(fresh).write.mode("overwrite").parquet(f"{at}/hashes")
-        self.version = batch
+        self.known(base).join(diff.select("path"), "path", "left_anti").unionByName(fresh).write.mode("overwrite").parquet(f"{at}/hashes")
+        self.spark.createDataFrame([(self.stream, batch, base)], "stream string, batch long, base long").write.mode("overwrite").parquet(f"{at}/done")
+        self.version = base + 1
         last.unpersist()
         diff.unpersist()
 
     def start(self, events: DataFrame, checkpoint: str, every: str = "500 milliseconds", once: bool = False) -> StreamingQuery:
-        """Run apply on a stream of events (path, kind, content, ts)."""
+        """Run apply on a stream of events (path, kind, content, ts); with the same checkpoint it goes on where it stopped."""
+        self.stream = checkpoint
         w = events.writeStream.foreachBatch(lambda df, k: self.apply(df, k)).option("checkpointLocation", checkpoint)
         return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()

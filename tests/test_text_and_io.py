@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import validate as V
 from graphloom.model import PropertyGraph
+from graphloom.operators import build as B
 from graphloom.operators import extract as X
+from graphloom.operators import traverse
 from graphloom.plans import pipeline
 from graphloom.sources import files, sinks
 from graphloom.streaming import incremental as I
@@ -19,10 +21,15 @@ def one(spark, expr, **cols):
 
 
 CASES = {
-    "C#": ("Foo.cs", "using A.B;\n\npublic class Foo {\n  public void Run() {}\n}\n", {("foo", "Foo.cs", "L1"), ("foo_foo", "Foo", "L2"), ("foo_run", "Run()", "L4")}, {("b", "imports"), ("foo_foo", "contains"), ("foo_run", "contains")}),
-    "python": ("m.py", "import os.path\nfrom x.y import z\nclass A:\n  pass\ndef f(a):\n  pass\n", {("m", "m.py", "L1"), ("m_a", "A", "L3"), ("m_f", "f()", "L5")}, {("path", "imports"), ("y", "imports_from"), ("m_a", "contains"), ("m_f", "contains")}),
-    "JavaScript": ("u.js", "import a from './lib/util.js'\nclass A {}\nexport function f(x) {}\nconst g = (y) => 1\n", {("u", "u.js", "L1"), ("u_a", "A", "L2"), ("u_f", "f()", "L3"), ("u_g", "g()", "L4")}, {("util", "imports_from"), ("u_a", "contains"), ("u_f", "contains"), ("u_g", "contains")}),
-    "c": ("a.c", "#include <lib/stdio.h>\nint main(void) {\n  if (x) {\n  }\n}\n", {("a", "a.c", "L1"), ("a_main", "main()", "L2")}, {("stdio", "imports"), ("a_main", "contains")}),
+    "C#": ("Foo.cs", "using A.B;\n\nnamespace My.App\n{\npublic class Foo {\n  public abstract int Run(int x);\n}\n}\n", {("foo", "Foo.cs", "L1"), ("foo_my_app", "My.App", "L2"), ("foo_foo", "Foo", "L5"), ("foo_run", "Run()", "L6")}, {("b", "imports"), ("foo_my_app", "contains"), ("foo_foo", "contains"), ("foo_run", "contains")}),
+    "python": ("m.py", "import os.path\nfrom x.y import z\nclass Aa:\n  pass\ndef ff(a):\n  pass\nclass B:\n  pass\n", {("m", "m.py", "L1"), ("m_aa", "Aa", "L3"), ("m_ff", "ff()", "L5")}, {("path", "imports"), ("y", "imports_from"), ("m_aa", "contains"), ("m_ff", "contains")}),
+    "JavaScript": ("u.js", "import a from './lib/util.js'\nclass Aa {}\nexport async function ff(x) {}\nlet gg = (y) => 1\nvar hh = async (y) => 1\nexport const ii = (y) => 1\n", {("u", "u.js", "L1"), ("u_aa", "Aa", "L2"), ("u_ff", "ff()", "L3"), ("u_gg", "gg()", "L4"), ("u_hh", "hh()", "L5")}, {("util", "imports_from"), ("u_aa", "contains"), ("u_ff", "contains"), ("u_gg", "contains"), ("u_hh", "contains")}),
+    "TypeScript": ("t.ts", "import { x } from \"../shared/api.client\"\nexport interface Shape {}\nclass Box {}\n", {("t", "t.ts", "L1"), ("t_shape", "Shape", "L2"), ("t_box", "Box", "L3")}, {("api", "imports_from"), ("t_shape", "contains"), ("t_box", "contains")}),
+    "Go": ("g.go", "import 'net/http'\ntype Server struct {\n}\nfunc (s *Server) Serve(x int) {\n}\nfunc main() {\n}\n", {("g", "g.go", "L1"), ("g_server", "Server", "L2"), ("g_serve", "Serve()", "L4"), ("g_main", "main()", "L6")}, {("http", "imports"), ("g_server", "contains"), ("g_serve", "contains"), ("g_main", "contains")}),
+    "Java": ("J.java", "import java.util.List;\nimport static java.lang.Math.max;\npublic enum Kind { }\npublic class Job {\n  public static void run(int x) {}\n}\n", {("j", "J.java", "L1"), ("j_kind", "Kind", "L3"), ("j_job", "Job", "L4"), ("j_run", "run()", "L5")}, {("list", "imports"), ("j_kind", "contains"), ("j_job", "contains"), ("j_run", "contains")}),
+    "Rust": ("r.rs", "use std::collections::HashMap;\npub struct Point<T> {}\ntrait Draw {}\npub async fn go<T>(x: T) {}\n", {("r", "r.rs", "L1"), ("r_point", "Point", "L2"), ("r_draw", "Draw", "L3"), ("r_go", "go()", "L4")}, {("hashmap", "imports"), ("r_point", "contains"), ("r_draw", "contains"), ("r_go", "contains")}),
+    "c": ("a.c", "#include <lib/std.io.h>\nstatic int main(void) {\n  if (x) {\n  }\n}\n", {("a", "a.c", "L1"), ("a_main", "main()", "L2")}, {("std_io", "imports"), ("a_main", "contains")}),
+    "C++": ("p.cpp", "#include \"box.hpp\"\nclass Shape {\n};\nstruct Size {\n};\nint area(int x) {\n}\n", {("p", "p.cpp", "L1"), ("p_shape", "Shape", "L2"), ("p_size", "Size", "L4"), ("p_area", "area()", "L6")}, {("box", "imports"), ("p_shape", "contains"), ("p_size", "contains"), ("p_area", "contains")}),
 }
 
 
@@ -58,7 +65,7 @@ def test_extraction_errors(spark):
 
 def test_project_to_renderings(spark, tmp_path):
     src = tmp_path / "src"
-    for name, text in {"a/m.py": "class A:\n  pass\ndef f(x):\n  pass\n", "b.js": "class B {}\n", ".hidden/x.py": "class H:\n", "node_modules/y.js": "class N {}", "notes.tmp": "x"}.items():
+    for name, text in {"a/m.py": "class Aa:\n  pass\ndef ff(x):\n  pass\n", "b.js": "class Bb {}\n", ".hidden/x.py": "class H:\n", "node_modules/y.js": "class N {}", "notes.tmp": "x"}.items():
         (src / name).parent.mkdir(parents=True, exist_ok=True)
         (src / name).write_text(text)
     found = files.detect_files(spark, str(src))
@@ -79,7 +86,7 @@ def test_project_to_renderings(spark, tmp_path):
 def test_upkeep_by_stream(spark, tmp_path):
     schema = "path string, kind string, content string, ts timestamp"
     inbox = tmp_path / "in"
-    rows = [("a.py", "created", "class A:\n  pass\n", "2024-01-01 00:00:00"), ("a.py", "changed", "class B:\n  pass\n", "2024-01-01 00:00:01"), ("x/bin/z.py", "created", "class Z:\n", "2024-01-01 00:00:00")]
+    rows = [("a.py", "created", "class Aa:\n  pass\n", "2024-01-01 00:00:00"), ("a.py", "changed", "class Bb:\n  pass\n", "2024-01-01 00:00:01"), ("x/bin/z.py", "created", "class Z:\n", "2024-01-01 00:00:00")]
     spark.createDataFrame(rows, "path string, kind string, content string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(inbox))
 
     def extract(df):
@@ -90,12 +97,69 @@ def test_upkeep_by_stream(spark, tmp_path):
     m = I.Maintainer(spark, str(tmp_path / "g"), extract, delete=True)
     q = m.start(spark.readStream.schema(schema).parquet(str(inbox)), str(tmp_path / "cp"), once=True)
     q.awaitTermination(120)
-    assert sorted(r.id for r in m.load().nodes.collect()) == ["a", "a_b"]
+    assert sorted(r.id for r in m.load().nodes.collect()) == ["a", "a_bb"]
     gone = spark.createDataFrame([("a.py", "deleted", None, None)], schema)
     m.apply(gone, m.version + 1)
     assert m.load().nodes.count() == 0
 
 
+def test_maintainer_goes_on_after_a_restart(spark, tmp_path):
+    def extract(rows):
+        nodes, edges = X.extract(rows.withColumn("language", F.lit("Python")))
+        return B.build(nodes, edges)
+
+    def batch(*rows):
+        return spark.createDataFrame(list(rows), "path string, kind string, content string, ts timestamp")
+
+    folder = str(tmp_path / "g")
+    m = I.Maintainer(spark, folder, extract)
+    one, two = batch(("a.py", "changed", "class Aa:\n  pass\n", None)), batch(("b.py", "changed", "class Bb:\n  pass\n", None))
+    m.apply(one, 0)
+    m = I.Maintainer(spark, folder, extract)
+    m.apply(two, 1)
+    want = ["a", "a_aa", "b", "b_bb", "file:a.py", "file:b.py"]
+    assert sorted(r.id for r in m.load().nodes.collect()) == want and m.version == 1
+    I.Maintainer(spark, folder, extract).apply(two, 1)  # the same batch again
+    m = I.Maintainer(spark, folder, extract)
+    assert sorted(r.id for r in m.load().nodes.collect()) == want and m.version == 1
+
+
+def test_watch_follows_a_folder(spark, tmp_path):
+    root, out = tmp_path / "src", str(tmp_path / "out")
+    root.mkdir()
+    (root / "a.py").write_text("class Alpha:\n    pass\n")
+    ids = lambda k: sorted(r.id for r in k.load().nodes.collect())
+    assert ids(pipeline.watch(spark, str(root), out, ("json",), ticks=1)) == ["a", "a_alpha", "file:a.py"]
+    (root / "b.go").write_text("func Run(x int) {\n}\n")
+    again = pipeline.watch(spark, str(root), out, ("json",), ticks=2)
+    assert ids(again) == ["a", "a_alpha", "b", "b_run", "file:a.py", "file:b.go"] and again.version == 1
+    (root / "a.py").unlink()
+    assert ids(pipeline.watch(spark, str(root), out, ("json",), ticks=1)) == ["b", "b_run", "file:b.go"]
+
+
+def test_long_paths_are_found(spark):
+    n = 66
+    g = PropertyGraph.of(spark.createDataFrame([(f"n{k}", f"N{k}") for k in range(n + 1)], "id string, label string"), spark.createDataFrame([(f"n{k}", f"n{k + 1}", "to") for k in range(n)], "src string, dst string, relationship string"))
+    assert traverse.shortest_path(g, "n0", f"n{n}").count() == n + 1
+    with pytest.raises(ValueError):
+        traverse.shortest_path(g, "n0", f"n{n}", max_hops=3)
+
+
+def test_detection_passes_links_and_skipped_folders(spark, tmp_path):
+    for name in ("z.py", "a/b.yaml", "vendor/c.go", "lib64/d.py", "x_venv/e.py", ".h/f.py", "a/.g.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    outside = tmp_path.parent / f"{tmp_path.name}-outside"
+    outside.mkdir()
+    (outside / "s.py").write_text("x")
+    (tmp_path / "link").symlink_to(outside)
+    (tmp_path / "q.py").symlink_to(outside / "s.py")
+    got = [(r.relative_path, r.language, r.category) for r in files.detect_files(spark, str(tmp_path)).collect()]
+    assert got == [("a/b.yaml", "YAML", "Code"), ("vendor/c.go", "Go", "Code"), ("z.py", "Python", "Code")]
+    with pytest.raises(FileNotFoundError):
+        files.detect_files(spark, str(tmp_path / "none"))
+
+
 def test_changes_and_cache(spark, tmp_path):
     now = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None)], "path string, content string")
     known = now.where("path = 'a'").select("path", F.sha2("content", 256).alias("content_hash"))
