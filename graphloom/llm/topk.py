@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 #: Candidates in a block, candidate blocks in a task, and queries in a group.
-ROWS, RUN, GROUP = 4096, 64, 256
+ROWS, RUN, GROUP = 4096, 64, 1024
 
 
 def _pack(table: pa.Table) -> pa.Table:
