@@ -127,7 +127,7 @@ class Automaton:
         """Pre-split words in byte letters, and the ids of added tokens, of a text."""
         out: list[str | int] = []
         at = 0
-        for m in self.specials.finditer(chunk) if self.specials and "<|" in chunk else ():
+        for m in self.specials.finditer(chunk) if self.specials else ():
             out += self._plain(chunk[at : m.start()])
             out.append(self.added[m[0]])
             at = m.end()

@@ -14,39 +14,43 @@ from .bpe import automaton
 from .shared import small_batches, text_chunks
 from .wordcache import Cache
 
-#: Words and pre-split words that a worker keeps.
+#: Words and pre-split words that a worker keeps; longer ones than wordcache.LONGEST are never kept.
 WORDS, PARTS = 400_000, 400_000
 
 
 @lru_cache(2)
 def _words(path: str) -> Cache:
-    """A word's ids as decimals and its arc labels, both joined by spaces."""
+    """A word's ids as decimals, joined by spaces."""
     a = automaton(path)
-    text = {i: (b"%d" % i, label.encode()) for i, label in a.labels.items()}
-    join = lambda ids: (b" ".join([text[i][0] for i in ids]), b" ".join([text[i][1] for i in ids]))
-    parts = Cache(lambda w: join(a.encode_word(w)), PARTS)
+    text = {i: b"%d" % i for i in a.labels}
+    parts = Cache(lambda w: b" ".join([text[i] for i in a.encode_word(w)]), PARTS)
 
     # White space never joins two words, so a text's ids are those of its words.
-    def encode(word: bytes) -> tuple[bytes, bytes]:
-        found = [join([w]) if isinstance(w, int) else parts[w] for w in a.split(word.decode())]
-        return found[0] if len(found) == 1 else (b" ".join([x for x, _ in found]), b" ".join([y for _, y in found]))
+    def encode(word: bytes) -> bytes:
+        return b" ".join([text[w] if isinstance(w, int) else parts[w] for w in a.split(word.decode())])
 
     return Cache(encode, WORDS)
 
 
+@lru_cache(2)
+def _labels(path: str) -> dict[bytes, bytes]:
+    """The arc label of each id in decimals."""
+    return {b"%d" % i: label.encode() for i, label in automaton(path).labels.items()}
+
+
 def _run(path: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]):
-        known = _words(path)
+        known, labels = _words(path), _labels(path)
         for batch, buf, offs in text_chunks(batches):
             data, n, sha, back, lists = buf.tobytes(), [], [], [], []
             for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                pairs = [p for p in map(known.__getitem__, data[a:b].split()) if p[0]]
-                line = b" ".join([p[0] for p in pairs])
-                n.append(line.count(b" ") + 1 if line else 0)
+                line = b" ".join([p for p in map(known.__getitem__, data[a:b].split()) if p])
+                ids = line.split()
+                n.append(len(ids))
                 sha.append(hashlib.sha256(line).hexdigest())
-                back.append(hashlib.sha256(b" ".join([p[1] for p in pairs])).hexdigest())
+                back.append(hashlib.sha256(b" ".join(map(labels.__getitem__, ids))).hexdigest())
                 if keep_ids:
-                    lists.append([int(i) for i in line.split()])
+                    lists.append([int(i) for i in ids])
             cols = {"id": batch.column("id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
             yield pa.RecordBatch.from_pydict(cols | ({"ids": pa.array(lists, pa.list_(pa.int32()))} if keep_ids else {}))
 
@@ -57,7 +61,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids]) of every row, in one pass without a shuffle.
 
     path: a BPE vocabulary file that every executor can open. A null or empty text has no tokens, and the digests of
-    the empty string. Texts are encoded whole; repeated rows give repeated results; other columns are ignored.
+    the empty string. Texts are encoded whole, and decoded_sha256 is of what the ids decode to; repeated rows give
+    repeated results; a null id stays null; other columns are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

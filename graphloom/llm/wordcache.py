@@ -5,6 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 
+#: A longer key is computed each time, so that a cache is bounded in bytes as well.
+LONGEST = 64
+
+
 class Cache(dict):
     """Fills up with what it is asked for first, which has the frequent keys; beyond the limit it only computes."""
 
@@ -14,6 +18,6 @@ class Cache(dict):
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) < self.limit:
+        if len(self) < self.limit and len(key) <= LONGEST:
             self[key] = value
         return value
