@@ -21,31 +21,60 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .bpe import automaton
 from .shared import dealt, materialize, small_batches, text_chunks
-from .wordcache import Cache
+from .wordcache import LONGEST, Cache
 
 #: Words and pre-split words that a worker keeps.
 WORDS, PARTS = 400_000, 300_000
 
 
+class _Encoder:
+    """Ids of a chunk's words as little-endian unsigned 32-bit integers; each different word is looked up once a chunk.
+
+    Words are known by their 64-bit hashes; a process keeps WORDS of up to LONGEST bytes.
+    """
+
+    def __init__(self, path: str):
+        self.automaton, self.known = automaton(path), {}
+        self.code = [i.to_bytes(4, "little") for i in range(max(self.automaton.labels) + 1)]
+        self.parts = Cache(lambda w: b"".join([self.code[i] for i in self.automaton.encode_word(w)]), PARTS)
+
+    def word(self, word: bytes) -> bytes:
+        return b"".join([self.code[w] if isinstance(w, int) else self.parts[w] for w in self.automaton.split(word.decode())])
+
+    def __call__(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunk's documents, one after the other, and how many each has."""
+        start, end, doc = K.words(buf, offs)
+        hashes, at, which = np.unique(K.span_hashes(buf, start, end), return_index=True, return_inverse=True)
+        data, known, found = buf.tobytes(), self.known, []
+        for h, a, b in zip(hashes.tolist(), start[at].tolist(), end[at].tolist(), strict=True):
+            if (ids := known.get(h)) is None:
+                ids = self.word(data[a:b])
+                if len(known) < WORDS and b - a <= LONGEST:
+                    known[h] = ids
+            found.append(ids)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, flat, many = np.cumsum(size) - size, np.frombuffer(b"".join(found), "<u4"), size[which]
+        place = np.repeat(first[which] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        return flat[place], np.bincount(doc, weights=many, minlength=len(offs) - 1).astype(np.int64)
+
+
 @lru_cache(2)
-def _words(path: str) -> Cache:
-    """Ids of a word as little-endian unsigned 32-bit integers."""
-    a = automaton(path)
-    code = [i.to_bytes(4, "little") for i in range(max(a.labels) + 1)]
-    parts = Cache(lambda w: b"".join([code[i] for i in a.encode_word(w)]), PARTS)
-    return Cache(lambda word: b"".join([code[w] if isinstance(w, int) else parts[w] for w in a.split(word.decode())]), WORDS)
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
 
 
 def _cut(path: str, most: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]):
-        words, task = _words(path), TaskContext.get().partitionId()
+        encode, task = _encoder(path), TaskContext.get().partitionId()
         seen, end = np.zeros(most + 1, np.int64), end_id.to_bytes(4, "little")
         for batch, buf, offs in text_chunks(batches):
-            data, rows = buf.tobytes(), []
-            for i, a, b in zip(batch.column("id").to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                ids = b"".join(map(words.__getitem__, data[a:b].split())) + end
+            flat, many = encode(buf, offs)
+            data, cuts, rows = flat.tobytes(), np.concatenate([[0], np.cumsum(many)]).tolist(), []
+            for i, a, b in zip(batch.column("id").to_pylist(), cuts[:-1], cuts[1:], strict=True):
+                ids = data[4 * a : 4 * b] + end
                 for k, at in enumerate(range(0, len(ids), 4 * most)):
                     x = ids[at : at + 4 * most]
                     rows.append((i, k, at // 4, len(x) // 4, zlib.crc32(x), seen[len(x) // 4]))
@@ -119,7 +148,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every row of docs.
 
     A document is its ids and then end_id; only longer ones are cut. A null or empty text is end_id alone. Repeated
-    rows and ties are packed like any others; other columns are ignored; an empty table gives no rows. path: a
+    rows, null ids and ties are packed like any others; other columns are ignored; an empty table gives no rows. path: a
     vocabulary file that every executor can open.
     """
     spark = docs.sparkSession
