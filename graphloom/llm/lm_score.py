@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .buckets import Packer, bucket_count, bucket_of, unpack
-from .shared import dealt, small_batches, text_chunks
+from .shared import dealt, partitions, small_batches, text_chunks
 
 #: Groups, words in a group, hidden units, words on either side.
 GROUPS, MEMBERS, HIDDEN, SPAN = 48, 48, 24, 2
@@ -344,7 +344,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     flat = fit(some, vocab, rounds, every)
     shared, buckets = spark.sparkContext.broadcast((vocab, flat)), bucket_count(spark)
     rest = src.mapInArrow(_rest_words(shared, buckets), "bucket int, words binary, keys binary, n binary, counted binary")
-    sent = rest.groupBy("bucket").applyInArrow(_log_counts(buckets), "bucket int, keys binary, extra binary")
+    sent = rest.groupBy("bucket").applyInArrow(_log_counts(partitions(spark)), "bucket int, keys binary, extra binary")
     extra = sent.groupBy("bucket").applyInArrow(_sums, "key long, extra double")
     # Rows of equal text have one key, and its sum is over all of them.
     extra = extra.join(dealt(src.groupBy("key").agg(F.count("*").alias("rows"))), "key").select("key", (F.col("extra") / F.col("rows")).alias("extra"))
