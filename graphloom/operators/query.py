@@ -10,7 +10,7 @@ from ..model import EDGE_KEY, PropertyGraph, confidence_name, ends
 from .metrics import communities, degrees, histogram, statistics, top_degree, top_members, with_degree
 from .traverse import shortest_path
 
-__all__ = ["analyze", "communities_overview", "community_members", "explain", "insights", "search", "shortest_path"]
+__all__ = ["analyze", "communities_overview", "community_members", "community_totals", "explain", "explain_edges", "god_links", "insights", "search", "shortest_path"]
 
 
 def search(g: PropertyGraph, term: str, limit: int = 10, connections: int = 5) -> DataFrame:
@@ -36,10 +36,42 @@ def explain(g: PropertyGraph, node_id: str) -> DataFrame:
     return g.node(node_id).join(n).select("id", "label", "type", "file_path", "community", "in_count", "out_count", role.alias("role"), how.alias("connectivity"))
 
 
+def explain_edges(g: PropertyGraph, node_id: str) -> DataFrame:
+    """(direction, relationship, other, label, weight, confidence): a node's distinct edges; a loop is both in and out."""
+    e = g.edges.where((F.col("src") == node_id) | (F.col("dst") == node_id)).dropDuplicates(EDGE_KEY)
+    rows = [e.where(F.col(own) == node_id).select(F.lit(way).alias("direction"), "relationship", F.col(far).alias("other"), "weight", confidence_name(F.col("confidence_ord")).alias("confidence")) for way, own, far in (("in", "dst", "src"), ("out", "src", "dst"))]
+    x = rows[0].unionByName(rows[1]).join(g.nodes.select(F.col("id").alias("other"), "label"), "other", "left")
+    return x.select("direction", "relationship", "other", "label", "weight", "confidence").orderBy("direction", "relationship", "other")
+
+
+def community_totals(g: PropertyGraph) -> DataFrame:
+    """One row: communities, nodes in one, and nodes without."""
+    return g.nodes.agg(F.count_distinct("community").alias("communities"), F.count("community").alias("members"), F.count_if(F.col("community").isNull()).alias("without"))
+
+
+def god_links(g: PropertyGraph, n: int = 10, links: int = 20) -> DataFrame:
+    """(id, relationship, total, rank, label, confidence): the links, at most so many of a relationship, of the n nodes of the highest degree.
+
+    A node's links are its edges, in either direction, with nodes that it has an edge to; equal names and confidences
+    fall together; those with the node of the highest degree come first, ties by id. total: links of the relationship.
+    The n nodes are broadcast; two equi joins find their edges.
+    """
+    top = F.broadcast(top_degree(g, n).select("id"))
+    out = g.edges.join(top, g.edges.src == top.id).select("id", F.col("dst").alias("other"), "relationship", "confidence_ord")
+    back = g.edges.join(top, g.edges.dst == top.id).where("src <> dst").select("id", F.col("src").alias("other"), "relationship", "confidence_ord")
+    known = out.select("id", "other").distinct()
+    x = out.unionByName(back.join(known, ["id", "other"], "left_semi"))
+    far = with_degree(g).select(F.col("id").alias("other"), F.col("label"), F.col("degree"))
+    x = x.join(far, "other").groupBy("id", "relationship", "label", "confidence_ord").agg(F.min(F.struct((-F.col("degree")).alias("d"), "other")).alias("place"))
+    own = Window.partitionBy("id", "relationship")
+    x = x.withColumn("rank", F.row_number().over(own.orderBy("place", "confidence_ord"))).withColumn("total", F.count("*").over(own))
+    return x.where(F.col("rank") <= links).select("id", "relationship", "total", "rank", "label", confidence_name(F.col("confidence_ord")).alias("confidence"))
+
+
 def communities_overview(g: PropertyGraph, top: int = 5) -> DataFrame:
-    """(community, size, members): by size, with the members of the highest degree."""
+    """(community, size, members): the largest first, with the members of the highest degree."""
     m = top_members(g, top).groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]), ", ").alias("members"))
-    return communities(g).join(m, "community").select("community", "size", "members")
+    return communities(g).join(m, "community").select("community", "size", "members").orderBy(F.desc("size"), "community")
 
 
 def community_members(g: PropertyGraph, community: int) -> DataFrame:

@@ -98,6 +98,9 @@ QUERIES = {
     "graph_isolated": lambda s, d: A.isolated(star_graph(s, d), 30),
     "graph_question_kinds": lambda s, d: A.questions(star_graph(s, d)).groupBy("kind").agg(F.count("*").alias("n")),
     "graph_search": lambda s, d: Q.search(star_graph(s, d), "RIC"),
+    "graph_explain_edges": lambda s, d: Q.explain_edges(star_graph(s, d), "nation:3"),
+    "graph_community_totals": lambda s, d: Q.community_totals(star_graph(s, d)),
+    "graph_god_links": lambda s, d: Q.god_links(star_graph(s, d), 40),
     "graph_explain": lambda s, d: Q.explain(star_graph(s, d), "nation:3"),
     "graph_communities_overview": lambda s, d: Q.communities_overview(star_graph(s, d)),
     "graph_community_members": lambda s, d: Q.community_members(star_graph(s, d), 2),
@@ -184,6 +187,14 @@ ORACLES = {
     "graph_isolated": _g("select id, label, degree from nd where degree <= 30 and not " + _FILE_LABEL.format("label") + " and not " + _CONCEPT.format("file_path")),
     "graph_question_kinds": _g("select kind, count(*) as n from (select 'ambiguous_edge' as kind from edges where confidence_ord = 2 limit 10) group by 1"),
     "graph_search": _g(", h as (select * from nd where contains(lower(id), 'ric') or contains(lower(label), 'ric') or contains(lower(type), 'ric') order by id limit 10) select h.id, label, type, degree, coalesce((select string_agg(t, ', ' order by r) from (select relationship || ':' || other as t, row_number() over (order by other, relationship) as r from ends e where e.id = h.id) where r <= 5), '') as connections from h"),
+    "graph_explain_edges": _g("select 'in' as direction, relationship, src as other, label, weight, confidence from edges join names on o = confidence_ord left join nodes on nodes.id = src where dst = 'nation:3' union all select 'out', relationship, dst, label, weight, confidence from edges join names on o = confidence_ord left join nodes on nodes.id = dst where src = 'nation:3'"),
+    "graph_community_totals": _g("select count(distinct community) as communities, count(community) as members, count(*) filter (community is null) as without from nodes"),
+    "graph_god_links": GRAPH
+    + ", tops as (select id from nd order by degree desc, id limit 40), o as (select src as id, dst as other, relationship, confidence_ord from edges where src in (select id from tops)), "
+    + "b as (select e.dst as id, e.src as other, e.relationship, e.confidence_ord from edges e join (select distinct id, other from o) k on e.dst = k.id and e.src = k.other where e.src <> e.dst), "
+    + "x as (select l.id, relationship, nd.label, confidence_ord, min({'d': -nd.degree, 'o': l.other}) as place from (select * from o union all select * from b) l join nd on nd.id = l.other group by all), "
+    + "r as (select *, row_number() over (partition by id, relationship order by place, confidence_ord) as rank, count(*) over (partition by id, relationship) as total from x) "
+    + "select id, relationship, total, rank, label, confidence from r join names on names.o = confidence_ord where rank <= 20",
     "graph_explain": _g("select id, label, type, file_path, community, i as in_count, u as out_count, lower(type) as role, case when i + u = 0 then 'isolated' when i + u = 1 then 'connected once' when i + u < 5 then 'lightly connected' when i + u < 20 then 'well connected' else 'a hub' end as connectivity from nodes, (select count(*) as i from edges where dst = 'nation:3'), (select count(*) as u from edges where src = 'nation:3') where id = 'nation:3'"),
     "graph_communities_overview": _g("select community, size, string_agg(id, ', ' order by rank) as members from members join sizes using (community) where rank <= 5 group by 1, 2"),
     "graph_community_members": _g("select id, label, degree from nd where community = 2"),

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -14,6 +14,7 @@ from ..functions.paths import rounded, truncated
 from ..model import EDGE_KEY, PropertyGraph, confidence_name, ends
 from ..operators import analyze as A
 from ..operators import metrics as M
+from ..operators import query as Q
 from ..operators.cluster import layout
 
 #: Colours of communities, and the largest graph that a page can draw.
@@ -162,6 +163,44 @@ def wiki_articles(g: PropertyGraph, members: int = 25, links: int = 12) -> DataF
     return x.select(F.concat(F.lit("community-"), F.col("community").cast("string")).alias("file"), text.alias("text"))
 
 
+def god_articles(g: PropertyGraph, n: int = 10, links: int = 20) -> DataFrame:
+    """(file, text): an article for each of the n nodes of the highest degree, its links by relationship, most links first."""
+    line = F.concat(F.lit("- [["), "label", F.lit("]]"), F.when(F.col("confidence") != "EXTRACTED", F.concat(F.lit(" `"), F.lower("confidence"), F.lit("`"))).otherwise(""))
+    per = Q.god_links(g, n, links).groupBy("id", "relationship", "total").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("t")))).alias("ls"))
+    part = F.concat(F.lit("### "), "relationship", F.lit("\n"), F.array_join(F.transform("ls", lambda x: x["t"]), "\n"))
+    body = per.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("k"), "relationship", part.alias("t")))).alias("ps"))
+    top = M.top_degree(g, n).select("id", "label", "degree").join(g.nodes.select("id", "community"), "id").join(body, "id", "left")
+    head = F.concat(F.lit("# "), "label", F.format_string("\n\n> God node, %d connections\n\n", "degree"), F.when(F.col("community").isNotNull(), F.format_string("**Community:** [[Community_%d]]\n\n", "community")).otherwise(""), F.lit("## Connections by relation\n\n"))
+    text = F.concat(head, F.coalesce(F.array_join(F.transform("ps", lambda p: p["t"]), "\n\n"), F.lit("none")), F.lit("\n\nSee [[index]].\n"))
+    return top.select(wiki_file(F.col("label")).alias("file"), text.alias("text"))
+
+
+def wiki_file(name: Column) -> Column:
+    """A file name as wikis have it: no path, space or colon."""
+    return F.regexp_replace(F.translate(name, "/\\ :", "--_-"), "\0", "_")
+
+
+def wiki_index(g: PropertyGraph, n: int = 10) -> str:
+    """The wiki's first page: totals, communities by size, god nodes."""
+    s = M.statistics(g).first()
+    out = ["# Knowledge graph index", "", f"**{s.node_count} nodes, {s.edge_count} edges, {s.community_count} communities**", "", "## Communities", ""]
+    out += [f"- [[community-{r.community}]]: {r.size} nodes" for r in M.communities(g).orderBy(F.desc("size"), "community").toLocalIterator()]
+    out += ["", "## God nodes", ""] + [f"- [[{r.label}]]: {r.degree} connections" for r in M.top_degree(g, n).collect()]
+    return "\n".join(out) + "\n"
+
+
+def vault_index(g: PropertyGraph, top: int = 20, members: int = 10) -> str:
+    """The vault's first note: totals, the most connected nodes, each community's first members, counts of types."""
+    s = M.statistics(g).first()
+    out = ["---", "title: Knowledge Graph Index", "---", "", "# Knowledge Graph Index", "", "## Statistics", "", f"- **Nodes:** {s.node_count}", f"- **Edges:** {s.edge_count}", f"- **Communities:** {s.community_count}", "", "## Most connected nodes", ""]
+    out += [f"- [[{r.label}]] ({r.degree} connections)" for r in M.top_degree(g, top).collect()] + ["", "## By community"]
+    shown = M.top_members(g, members).join(g.nodes.select("id", "label"), "id").groupBy("community").agg(F.sort_array(F.collect_list(F.struct("rank", "label"))).alias("ms"), F.max("more").alias("more"))
+    for r in M.communities(g).join(shown, "community").orderBy(F.desc("size"), "community").toLocalIterator():
+        out += ["", f"### Community {r.community}", "", f"*{r['size']} nodes*", "", *[f"- [[{m.label}]]" for m in r.ms]] + ([f"- *... and {r.more} more*"] if r.more else [])
+    out += ["", "## By type", ""] + [f"- {r.type}: {r.n}" for r in M.histogram(g.nodes, "type").orderBy(F.desc("n"), "type").collect()]
+    return "\n".join(out) + "\n"
+
+
 def write_notes(notes: DataFrame, folder: str) -> None:
     Path(folder).mkdir(parents=True, exist_ok=True)
     for r in notes.toLocalIterator():
@@ -203,8 +242,8 @@ FORMATS: dict[str, Callable[[PropertyGraph, str], None]] = {
     "svg": lambda g, d: write_svg(g, f"{d}/graph.svg"),
     "neo4j": lambda g, d: write_statements(cypher(g), f"{d}/graph.cypher"),
     "ladybug": lambda g, d: write_statements(table_cypher(g), f"{d}/graph.ladybug.cypher"),
-    "obsidian": lambda g, d: write_notes(vault_notes(g), f"{d}/obsidian"),
-    "wiki": lambda g, d: write_notes(wiki_articles(g), f"{d}/wiki"),
+    "obsidian": lambda g, d: (write_notes(vault_notes(g), f"{d}/obsidian"), Path(d, "obsidian", "_Index.md").write_text(vault_index(g), encoding="utf-8"), None)[2],
+    "wiki": lambda g, d: (write_notes(wiki_articles(g).unionByName(god_articles(g)), f"{d}/wiki"), Path(d, "wiki", "index.md").write_text(wiki_index(g), encoding="utf-8"), None)[2],
     "report": lambda g, d: (Path(d, "GRAPH_REPORT.md").write_text(report(g), encoding="utf-8"), None)[1],
 }
 

@@ -64,6 +64,13 @@ class Cache:
     def invalidate(self, keys: DataFrame, version: int) -> None:
         self.put(keys.select("key", F.lit(None).cast("string").alias("content_hash"), F.lit(None).cast("string").alias("payload")), version)
 
+    def exists(self, key: str) -> bool:
+        return bool(self.rows().where(F.col("key") == key).limit(1).count())
+
+    def clear(self, version: int) -> None:
+        """Nothing is cached any more."""
+        self.invalidate(self.rows(), version)
+
     def compact(self, to: str) -> None:
         """Only live rows, at a new path: nothing is read and overwritten at once."""
         self.rows().withColumn("version", F.lit(0).cast("long")).write.mode("overwrite").parquet(to)

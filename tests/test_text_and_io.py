@@ -12,7 +12,7 @@ from graphloom.operators import build as B
 from graphloom.operators import extract as X
 from graphloom.operators import traverse
 from graphloom.plans import pipeline
-from graphloom.sources import files, sinks
+from graphloom.sources import files, semantic, sinks
 from graphloom.streaming import incremental as I
 
 
@@ -175,3 +175,38 @@ def test_changes_and_cache(spark, tmp_path):
 def test_empty_graph_renders(spark, tmp_path):
     g = PropertyGraph.empty(spark)
     assert sinks.export(g, str(tmp_path), ("json", "html", "svg", "report")) == {}
+
+
+def test_semantic_rows_of_a_chat_model(spark, tmp_path):
+    for name in ("a.py", "b.md", "c.png", "d.pdf", "e.go"):
+        (tmp_path / name).write_text("x" if name != "e.go" else "y" * 3000)
+    found = files.detect_files(spark, str(tmp_path))
+    good = '{"nodes":[{"id":"k1","label":"Login","type":"Document","metadata":{"a":"b"}},{"id":"k2","label":"Store"}],"edges":[{"source":"k1","target":"k2","relation":"uses","confidence":"extracted","weight":0.4},{"source":"k1","target":"k2","weight":0.9}]}'
+
+    def chat(prompt):
+        if "a.py" in prompt:
+            return f"```json\n{good}\n```"
+        if "b.md" in prompt:
+            raise RuntimeError("busy")
+        return "no json"
+
+    got = {r.path: r.answer for r in semantic.answers(found, chat, semantic.Options(most_bytes=1000)).collect()}
+    assert set(got) == {"a.py", "b.md", "c.png", "d.pdf"} and got["b.md"] is None
+    nodes, edges = semantic.extraction(semantic.answers(found, chat))
+    assert {(r.id, r.label, r.file_type, r.source_file) for r in nodes.collect()} == {("k1", "Login", "Document", "a.py"), ("k2", "Store", "Code", "a.py")}
+    assert [(r.src, r.dst, r.relationship, r.weight, r.confidence_ord) for r in edges.orderBy("ord").collect()] == [("k1", "k2", "uses", 0.4, 0), ("k1", "k2", "related_to", 0.9, 1)]
+    assert [(r.source_file, r.scores) for r in semantic.confidence_scores(edges).collect()] == [("a.py", {"k1->k2": 0.9})]
+    assert semantic.answers(found, None).count() == 0
+    both = semantic.both(X.extract(files.texts(found)), (nodes, edges))
+    assert both[0].count() == 4 and B.build(*both).nodes.where("id in ('k1', 'k2')").count() == 2
+    assert semantic.totals(found, *both).first().asDict() == {"files": 5, "skipped": 3, "nodes": 4, "edges": 2}
+
+
+def test_wiki_and_vault_have_their_indexes(spark, tmp_path):
+    g = PropertyGraph.of(spark.createDataFrame([("a", "Big One", "Class", 0), ("b", "B", "Class", 0), ("c", "C", "File", 1)], "id string, label string, type string, community int"), spark.createDataFrame([("a", "b", "calls", 0), ("a", "c", "uses", 2), ("b", "a", "calls", 0)], "src string, dst string, relationship string, confidence_ord int"))
+    assert sinks.export(g, str(tmp_path), ("wiki", "obsidian")) == {}
+    article = (tmp_path / "wiki" / "Big_One.md").read_text()
+    assert "> God node, 3 connections" in article and "### uses\n- [[C]] `ambiguous`" in article
+    assert "- [[community-0]]: 2 nodes\n- [[community-1]]: 1 nodes" in (tmp_path / "wiki" / "index.md").read_text()
+    index = (tmp_path / "obsidian" / "_Index.md").read_text()
+    assert "- [[Big One]] (3 connections)" in index and "### Community 0" in index and "- Class: 2" in index
