@@ -171,8 +171,9 @@ def train(sequences: list[np.ndarray], labels: list[np.ndarray], steps: int = ST
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     """A field fitted on at most `sample` labelled documents of each class (labels: doc_id, quality 0/1).
 
-    Which ones follows from a hash of the id. Labels that are null, or without a document, are ignored; without both
-    classes every line counts as content.
+    Which ones follows from a hash of the id; `sample` is the only bound, and all lines of the sampled documents count.
+    Labels that are null, or without a document, are ignored; without both classes, or with empty tables, every line
+    counts as content. A null text has no lines. Rows that repeat an id, or a label, count as often as they occur.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("id"), F.col("quality").alias("good"))
     pick = lambda q: known.where(F.col("good") == q).orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -227,7 +228,11 @@ def judge(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
 
 def keep_content(docs: DataFrame, field: Field, text_col: str = "text", share: float = SHARE) -> DataFrame:
-    """The rows of docs that judge() would keep, with all their columns, in one pass without a shuffle."""
+    """The rows of docs that judge() would keep, with all their columns, in one pass without a shuffle.
+
+    A null or empty text has no words and goes. Rows with a null id are judged like others, repeated rows alike;
+    further columns stay as they are, whatever their names; an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
