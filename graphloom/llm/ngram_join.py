@@ -9,7 +9,7 @@
    the parts, unless they are nearly all that a set has: a passage that a third of the documents share brings nothing
    together.
 3. Of the documents with one key the plainest (fewest rare n-grams) is the pivot; each document is paired with the
-   plainest pivot that it meets. Pairs are verified by a masked product: incidence rows of a task's pairs, a block of
+   plainest pivot that it meets. Pairs whose sizes and parities allow a link are verified by a masked product: incidence rows of a task's pairs, a block of
    columns at a time, add up overlap counts, and a pair goes when its count and what is left can't reach its
    size-derived bound. Only links that pass tie documents together.
 4. Where a key's documents still belong to different components, they are paired with the pivot of another one and
@@ -396,17 +396,64 @@ def _verify(n: int, lower: bool, bound: Bound):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, n: int, lower: bool, bound: Bound) -> DataFrame:
-    """Those (a, b) of pairs that link, written. A pivot with more than its share of pairs is dealt to several tasks."""
+def _signatures(n: int, lower: bool):
+    """(id, size, sig) of each document: as many bits as n-grams, rounded up to 64 times a power of two, each the parity of those that fall there."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch, buf, offs in text_chunks(batches):
+            flat, sizes, _ = _sets(batch, buf, offs, n, lower)
+            bits = 64 << np.ceil(np.log2(np.maximum(sizes, 64) / 64)).astype(np.int64)
+            first = np.concatenate([[0], np.cumsum(bits)])
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = first[row] + ((flat >> np.uint64(6)) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+            odd = np.packbits((np.bincount(at, minlength=first[-1]) & 1).astype(np.uint8), bitorder="little")
+            sig = [odd[x // 8 : y // 8].tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(sig, pa.binary())], names=["id", "size", "sig"])
+
+    return run
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """A lower bound of how many n-grams two sets differ in; the longer signature is folded to the shorter's length."""
+    p, q = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
+
+
+def _likely(bound: Bound):
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            ok = np.minimum(na, nb) * bound.q >= bound.p * np.maximum(na, nb)
+            most = bound.differ(na + nb)
+            for k in np.flatnonzero(ok).tolist():
+                ok[k] = _apart(batch.column("sa")[k].as_py(), batch.column("sb")[k].as_py()) <= most[k]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
+def _links(pairs: DataFrame, texts: DataFrame, sigs: DataFrame, n: int, lower: bool, bound: Bound) -> DataFrame:
+    """Those (a, b) of pairs that link, written.
+
+    Sizes and signatures, far smaller than texts, come first and pass what can link; only its texts are sent. A pivot
+    with more than its share of pairs is dealt to several tasks.
+    """
     spark = pairs.sparkSession
     buckets = bucket_count(spark)
+    x = pairs.join(dealt(sigs.select(F.col("id").alias("a"), F.col("size").alias("na"), F.col("sig").alias("sa"))), "a")
+    x = x.join(dealt(sigs.select(F.col("id").alias("b"), F.col("size").alias("nb"), F.col("sig").alias("sb"))), "b")
+    pairs = materialize(x.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely(bound), "a long, b long"), "likely")
     share = max(BLOCK, pairs.count() // buckets)
     hot = spark.createDataFrame(pairs.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > share).collect(), "a long, m long")  # at most one for each bucket
     x = pairs.join(F.broadcast(hot), "a", "left").withColumn("nb", F.coalesce(F.ceil(F.col("m") / share), F.lit(1)))
     left = x.select("a", "nb").distinct().select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("salt"), F.col("a").alias("id"))
     right = x.select("a", F.pmod(F.xxhash64("b"), "nb").alias("salt"), F.col("b").alias("id"))
     rows = left.unionByName(right).join(dealt(texts.select("id", "text")), "id").withColumn("task", F.pmod(F.xxhash64("a", "salt"), F.lit(buckets)))
-    return materialize(rows.groupBy("task").applyInArrow(_verify(n, lower, bound), "a long, b long"), "links")
+    out = materialize(rows.groupBy("task").applyInArrow(_verify(n, lower, bound), "a long, b long"), "links")
+    discard(pairs)
+    return out
 
 
 def _frequent(light: DataFrame, documents: int) -> np.ndarray:
@@ -450,9 +497,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     met = materialize(best(met).join(dealt(reps.withColumnRenamed("id", "b")), "b", "left_semi").select("a", "b"), "met")
     wanted = met.select(F.col("b").alias("id")).unionByName(met.select(F.col("a").alias("id"))).distinct()
     texts = materialize(src.join(dealt(wanted), "id", "left_semi"), "texts")
+    sigs = materialize(texts.mapInArrow(_signatures(n, lower), "id long, size long, sig binary"), "sigs")
     # A pivot that met its documents in a map task may be a copy of its representative.
     same = met.select(F.col("a").alias("id")).distinct().join(dealt(members), "id").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    links = _links(met.where("a <> b"), texts, n, lower, bound).unionByName(same)
+    links = _links(met.where("a <> b"), texts, sigs, n, lower, bound).unionByName(same)
     label = components(links)
     open_texts = materialize(texts.join(dealt(label.select(F.col("v").alias("id"), "c")), "id", "left").select("id", "text", F.coalesce("c", "id").alias("label")), "labelled")
     again = materialize(open_texts.mapInArrow(_send(n, lower, bound, buckets, frequent, True), packed).groupBy("bucket").applyInArrow(_pivots(True), paired), "again")
@@ -460,17 +508,17 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if words:  # at most FILTER / 64
         loose = np.zeros(FILTER // 64, np.int64)
         loose[[r.w for r in words]] = [r.m for r in words]
-        links = links.unionByName(_links(best(again).where("a <> b"), texts, n, lower, bound))
+        links = links.unionByName(_links(best(again).where("a <> b"), texts, sigs, n, lower, bound))
         label = components(links)
         left = open_texts.drop("label").join(dealt(label.select(F.col("v").alias("id"), "c")), "id", "left").select("id", "text", F.coalesce("c", "id").alias("label"))
         sent = left.mapInArrow(_send_loose(n, lower, bound, buckets, frequent, loose.view(np.uint64)), "bucket int, keys binary, ids binary, labels binary, sizes binary, " + ", ".join(f"p{k} binary" for k in range(PARITY)))
         more = materialize(sent.groupBy("bucket").applyInArrow(_cross(bound), "a long, b long").distinct(), "more")
         if more.limit(1).count():
-            found = _links(more, texts, n, lower, bound)
+            found = _links(more, texts, sigs, n, lower, bound)
             if found.limit(1).count():
                 links = links.unionByName(found)
                 label = components(links)
-    discard(met, open_texts, again, texts)
+    discard(met, open_texts, again, texts, sigs)
     out = members.join(dealt(label.select(F.col("v").alias("rep"), "c")), "rep", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.col("rep").alias("representative"), F.coalesce("c", "rep").alias("component_id"))
 
