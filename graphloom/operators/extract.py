@@ -34,35 +34,33 @@ class Rule:
 
 
 # What each language's declarations and imports look like.
-_NAME = r"([a-zA-Z_]\w+)"
-_DOTTED = r"([a-zA-Z_][\w.]*)"
 RULES = (
-    Rule("csharp", "using", rf"^\s*using\s+{_DOTTED}\s*;", "imports", tail="."),
-    Rule("csharp", "namespace", rf"^\s*namespace\s+{_DOTTED}"),
-    Rule("csharp", "class", rf"^\s*(?:public|private|protected|internal|static|abstract|sealed|partial)*\s*(?:class|interface|struct|record)\s+{_NAME}"),
-    Rule("csharp", "method", rf"^\s*(?:public|private|protected|internal|static|virtual|override|async|abstract)*\s+[\w<>\[\],\s]+\s+{_NAME}\s*\(", suffix="()"),
-    Rule("python", "import", rf"^\s*import\s+{_DOTTED}", "imports", tail="."),
-    Rule("python", "from", rf"^\s*from\s+{_DOTTED}\s+import", "imports_from", tail="."),
-    Rule("python", "class", rf"^\s*class\s+{_NAME}"),
-    Rule("python", "def", rf"^\s*def\s+{_NAME}\s*\(", suffix="()"),
+    Rule("csharp", "using", r"^\s*using\s+([a-zA-Z_][\w.]*)\s*;", "imports", tail="."),
+    Rule("csharp", "namespace", r"^\s*namespace\s+([a-zA-Z_][\w.]*)"),
+    Rule("csharp", "class", r"^\s*(?:public|private|protected|internal|static|abstract|sealed|partial)*\s*(?:class|interface|struct|record)\s+([a-zA-Z_]\w+)"),
+    Rule("csharp", "method", r"^\s*(?:public|private|protected|internal|static|virtual|override|async|abstract)*\s+[\w<>\[\],\s]+\s+([a-zA-Z_]\w+)\s*\(", suffix="()"),
+    Rule("python", "import", r"^\s*import\s+([a-zA-Z_][\w.]*)", "imports", tail="."),
+    Rule("python", "from", r"^\s*from\s+([a-zA-Z_][\w.]*)\s+import", "imports_from", tail="."),
+    Rule("python", "class", r"^\s*class\s+([a-zA-Z_]\w+)"),
+    Rule("python", "def", r"^\s*def\s+([a-zA-Z_]\w+)\s*\(", suffix="()"),
     Rule("javascript", "import", r"""^\s*import\s+.*?\s+from\s+["']([^"']+)["']""", "imports_from", tail="/", trim="."),
-    Rule("javascript", "class", rf"^\s*(?:export\s+)?class\s+{_NAME}"),
-    Rule("javascript", "function", rf"^\s*(?:export\s+)?(?:async\s+)?function\s+{_NAME}\s*\(", suffix="()"),
-    Rule("javascript", "arrow", rf"^\s*(?:const|let|var)\s+{_NAME}\s*=\s*(?:async\s+)?\(", suffix="()"),
-    Rule("typescript", "interface", rf"^\s*(?:export\s+)?interface\s+{_NAME}"),
+    Rule("javascript", "class", r"^\s*(?:export\s+)?class\s+([a-zA-Z_]\w+)"),
+    Rule("javascript", "function", r"^\s*(?:export\s+)?(?:async\s+)?function\s+([a-zA-Z_]\w+)\s*\(", suffix="()"),
+    Rule("javascript", "arrow", r"^\s*(?:const|let|var)\s+([a-zA-Z_]\w+)\s*=\s*(?:async\s+)?\(", suffix="()"),
+    Rule("typescript", "interface", r"^\s*(?:export\s+)?interface\s+([a-zA-Z_]\w+)"),
     Rule("go", "import", r"""^\s*import\s+["']([^"']+)["']""", "imports", tail="/"),
-    Rule("go", "type", rf"^\s*type\s+{_NAME}\s+(?:struct|interface)"),
-    Rule("go", "func", rf"^\s*func\s+(?:\([^)]*\)\s+)?{_NAME}\s*\(", suffix="()"),
-    Rule("java", "import", rf"^\s*import\s+{_DOTTED}\s*;", "imports", tail="."),
-    Rule("java", "class", rf"^\s*(?:public|private|protected|abstract|final)*\s*(?:class|interface|enum)\s+{_NAME}"),
-    Rule("java", "method", rf"^\s*(?:public|private|protected|static|final|abstract|synchronized)*\s+[\w<>\[\],\s]+\s+{_NAME}\s*\(", suffix="()"),
+    Rule("go", "type", r"^\s*type\s+([a-zA-Z_]\w+)\s+(?:struct|interface)"),
+    Rule("go", "func", r"^\s*func\s+(?:\([^)]*\)\s+)?([a-zA-Z_]\w+)\s*\(", suffix="()"),
+    Rule("java", "import", r"^\s*import\s+([a-zA-Z_][\w.]*)\s*;", "imports", tail="."),
+    Rule("java", "class", r"^\s*(?:public|private|protected|abstract|final)*\s*(?:class|interface|enum)\s+([a-zA-Z_]\w+)"),
+    Rule("java", "method", r"^\s*(?:public|private|protected|static|final|abstract|synchronized)*\s+[\w<>\[\],\s]+\s+([a-zA-Z_]\w+)\s*\(", suffix="()"),
     Rule("rust", "use", r"^\s*use\s+([a-zA-Z_][\w:]*)", "imports", tail="::", trim="{}"),
-    Rule("rust", "struct", rf"^\s*(?:pub\s+)?struct\s+{_NAME}"),
-    Rule("rust", "trait", rf"^\s*(?:pub\s+)?trait\s+{_NAME}"),
-    Rule("rust", "fn", rf"^\s*(?:pub\s+)?(?:async\s+)?fn\s+{_NAME}\s*[<(]", suffix="()"),
+    Rule("rust", "struct", r"^\s*(?:pub\s+)?struct\s+([a-zA-Z_]\w+)"),
+    Rule("rust", "trait", r"^\s*(?:pub\s+)?trait\s+([a-zA-Z_]\w+)"),
+    Rule("rust", "fn", r"^\s*(?:pub\s+)?(?:async\s+)?fn\s+([a-zA-Z_]\w+)\s*[<(]", suffix="()"),
     Rule("c", "include", r"""^\s*#include\s+[<"]([^>"]+)[>"]""", "imports", tail="/", trim=""),
-    Rule("c", "function", rf"^\s*(?:static\s+)?(?:inline\s+)?(?:extern\s+)?[\w\s*]+\s+{_NAME}\s*\([^)]*\)\s*\{{", suffix="()", skip=("if", "while", "for", "switch", "return")),
-    Rule("cpp", "class", rf"^\s*(?:class|struct)\s+{_NAME}"),
+    Rule("c", "function", r"^\s*(?:static\s+)?(?:inline\s+)?(?:extern\s+)?[\w\s*]+\s+([a-zA-Z_]\w+)\s*\([^)]*\)\s*\{", suffix="()", skip=("if", "while", "for", "switch", "return")),
+    Rule("cpp", "class", r"^\s*(?:class|struct)\s+([a-zA-Z_]\w+)"),
 )
 #: Languages that have another's rules too, and other names of languages.
 BASES = {"typescript": ("javascript",), "cpp": ("c",)}
