@@ -434,6 +434,35 @@ def test_lm_scores_beat_word_counts(spark):
     assert none == {900: (0, 0.0, None), 901: (0, 0.0, None)}
 
 
+def test_lm_scores_equal_a_plain_forward_pass(spark, monkeypatch, docs):
+    df, texts = docs
+    made = {}
+
+    def fixed(src, vocab, rounds, every):
+        made.update(vocab=vocab, flat=lm_score.initial(vocab, 5))
+        return made["flat"]
+
+    monkeypatch.setattr(lm_score, "fit", fixed)
+    got = {r.id: (r.n_tokens, r.log_prob) for r in lm_score.score(df).collect()}
+    vocab, w = made["vocab"], [x.astype(np.float64) for x in lm_score.unflatten(made["flat"])]
+    names = sorted({x for t in texts.values() for x in words(t, True)})
+    buf = np.frombuffer(" ".join(names).encode(), np.uint8)
+    ids = dict(zip(names, vocab.lookup(K.span_hashes(buf, *K.words(buf, np.array([0, len(buf)]))[:2])).tolist(), strict=True))
+    assert min(ids.values()) > 0  # all words are known here
+
+    def log_share(z, k):
+        return z[k] - np.log(np.exp(z).sum())
+
+    for i, t in texts.items():
+        tokens, total = [ids[x] for x in words(t, True)], 0.0
+        for at, y in enumerate(tokens):
+            around = [tokens[j] if 0 <= (j := at + d) < len(tokens) else lm_score.EDGE for d in (-2, -1, 1, 2)]
+            x = np.maximum(w[1] + sum(w[0][k][c] for k, c in enumerate(around)), 0)
+            g, m = y % lm_score.GROUPS, y // lm_score.GROUPS
+            total += log_share(x @ w[2] + w[3], g) + log_share(x @ w[4][g] + w[5][g], m)
+        assert got[i][0] == len(tokens) and got[i][1] == pytest.approx(total, rel=1e-4, abs=1e-4)
+
+
 def test_lm_rest_words_score_by_their_counts(spark):
     known = " ".join(f"w{k}" for k in range(lm_score.SIZE - 1))
     rest = [*["aa"] * 4, *["bb"] * 2, "cc"]
