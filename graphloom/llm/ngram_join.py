@@ -37,7 +37,7 @@ LOCAL, BLOCK, COLUMNS = 16, 1024, 8
 #: An n-gram is frequent that one document in so many has; the table of them has at most so many entries.
 ONE_IN, FREQUENT = 512, 1 << 17
 #: Salts of exact copies' classes, bits of the filter of keys with several components, 64-bit words of parities.
-SALTS, FILTER, PARITY = 16, 1 << 23, 4
+SALTS, FILTER, PARITY = 16, 1 << 23, 16
 
 
 class Bound:
