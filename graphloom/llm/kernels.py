@@ -30,9 +30,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document index of every word."""
-    solid = ~_SPACE[buf]
+def words(buf: np.ndarray, offs: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document index of every word; gap: which bytes part words."""
+    solid = ~gap[buf]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]

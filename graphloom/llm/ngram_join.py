@@ -200,11 +200,11 @@ def _pair_up(key, ids, rare, label, alone: bool):
     return xi[order], rp[order], pi[order]
 
 
-def _send(n: int, lower: bool, bound: Bound, buckets: int, frequent: np.ndarray, labelled: bool):
+def _send(n: int, lower: bool, scheme, buckets: int, labelled: bool):
     """Rows (bucket, keys, ids, rare, labels) of packed keys; buckets below 0 hold pairs (x, p) that met here already."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        classes, held, count = Classes(bound), [], 0
+        held, count = [], 0
         names = ["keys", "ids", "rare", "labels"]
 
         def flush():
@@ -235,7 +235,7 @@ def _send(n: int, lower: bool, bound: Bound, buckets: int, frequent: np.ndarray,
             once = np.zeros(len(ids), bool)
             once[order] = np.concatenate([[True], (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])]) if len(order) else True
             flat, sizes, ids, label = flat[np.repeat(once, sizes)], sizes[once], ids[once], label[once]
-            if (found := _part_keys(flat, sizes, classes, frequent)) is None or not len(found[0]):
+            if (found := scheme.keys(flat, sizes)) is None or not len(found[0]):
                 continue
             key, row, rare = found
             held.append((key, ids[row], rare[row].astype(np.int32), label[row]))
@@ -284,15 +284,14 @@ def _parities(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _send_loose(n: int, lower: bool, bound: Bound, buckets: int, frequent: np.ndarray, loose: np.ndarray):
+def _send_loose(n: int, lower: bool, scheme, buckets: int, loose: np.ndarray):
     """Keys that may have several components, with what bounds a pair's overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        classes = Classes(bound)
         pack = Packer(buckets, ["keys", "ids", "labels", "sizes", *(f"p{k}" for k in range(PARITY))])
         for batch, buf, offs in text_chunks(batches):
             flat, sizes, _ = _sets(batch, buf, offs, n, lower)
-            if (found := _part_keys(flat, sizes, classes, frequent)) is None or not len(found[0]):
+            if (found := scheme.keys(flat, sizes)) is None or not len(found[0]):
                 continue
             key, row, _ = found
             small = key & np.uint64((1 << 40) - 1)
@@ -396,19 +395,37 @@ def _verify(n: int, lower: bool, bound: Bound):
     return run
 
 
-def _signatures(n: int, lower: bool):
-    """(id, size, sig) of each document: as many bits as n-grams, rounded up to 64 times a power of two, each the parity of those that fall there."""
+class Parts:
+    """How documents of one class of candidates meet, and what is known of a pair without its texts: parts and parities."""
+
+    def __init__(self, bound: Bound, frequent: np.ndarray):
+        self.bound, self.frequent, self.classes = bound, frequent, Classes(bound)
+
+    def keys(self, flat: np.ndarray, sizes: np.ndarray):
+        """(key, row) of all keys of the sets, and how plain each set is; None without any."""
+        return _part_keys(flat, sizes, self.classes, self.frequent)
+
+    def signatures(self, flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """Of each set as many bits as n-grams, rounded up to 64 times a power of two, each the parity of those that fall there."""
+        bits = 64 << np.ceil(np.log2(np.maximum(sizes, 64) / 64)).astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(bits)])
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        at = first[row] + ((flat >> np.uint64(6)) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+        odd = np.packbits((np.bincount(at, minlength=first[-1]) & 1).astype(np.uint8), bitorder="little")
+        return [odd[x // 8 : y // 8].tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+    def likely(self, x: bytes, y: bytes, nx: int, ny: int) -> bool:
+        """Whether sets of these signatures and sizes may link."""
+        return _apart(x, y) <= self.bound.differ(nx + ny)
+
+
+def _signatures(n: int, lower: bool, scheme):
+    """(id, size, sig) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch, buf, offs in text_chunks(batches):
             flat, sizes, _ = _sets(batch, buf, offs, n, lower)
-            bits = 64 << np.ceil(np.log2(np.maximum(sizes, 64) / 64)).astype(np.int64)
-            first = np.concatenate([[0], np.cumsum(bits)])
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            at = first[row] + ((flat >> np.uint64(6)) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
-            odd = np.packbits((np.bincount(at, minlength=first[-1]) & 1).astype(np.uint8), bitorder="little")
-            sig = [odd[x // 8 : y // 8].tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(sig, pa.binary())], names=["id", "size", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(scheme.signatures(flat, sizes), pa.binary())], names=["id", "size", "sig"])
 
     return run
 
@@ -421,20 +438,19 @@ def _apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(p ^ q).sum())
 
 
-def _likely(bound: Bound):
+def _likely(bound: Bound, scheme):
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
             ok = np.minimum(na, nb) * bound.q >= bound.p * np.maximum(na, nb)
-            most = bound.differ(na + nb)
             for k in np.flatnonzero(ok).tolist():
-                ok[k] = _apart(batch.column("sa")[k].as_py(), batch.column("sb")[k].as_py()) <= most[k]
+                ok[k] = scheme.likely(batch.column("sa")[k].as_py(), batch.column("sb")[k].as_py(), int(na[k]), int(nb[k]))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, sigs: DataFrame, n: int, lower: bool, bound: Bound) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, sigs: DataFrame, n: int, lower: bool, bound: Bound, scheme) -> DataFrame:
     """Those (a, b) of pairs that link, written.
 
     Sizes and signatures, far smaller than texts, come first and pass what can link; only its texts are sent. A pivot
@@ -444,7 +460,7 @@ def _links(pairs: DataFrame, texts: DataFrame, sigs: DataFrame, n: int, lower: b
     buckets = bucket_count(spark)
     x = pairs.join(dealt(sigs.select(F.col("id").alias("a"), F.col("size").alias("na"), F.col("sig").alias("sa"))), "a")
     x = x.join(dealt(sigs.select(F.col("id").alias("b"), F.col("size").alias("nb"), F.col("sig").alias("sb"))), "b")
-    pairs = materialize(x.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely(bound), "a long, b long"), "likely")
+    pairs = materialize(x.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely(bound, scheme), "a long, b long"), "likely")
     share = max(BLOCK, pairs.count() // buckets)
     hot = spark.createDataFrame(pairs.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > share).collect(), "a long, m long")  # at most one for each bucket
     x = pairs.join(F.broadcast(hot), "a", "left").withColumn("nb", F.coalesce(F.ceil(F.col("m") / share), F.lit(1)))
@@ -462,7 +478,7 @@ def _frequent(light: DataFrame, documents: int) -> np.ndarray:
     return np.sort(np.array([r.h for r in often.orderBy(F.desc("m"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64))
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (8, 10), lower: bool = True) -> DataFrame:
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (8, 10), lower: bool = True, scheme=Parts) -> DataFrame:
     """(id, n_shingles, representative, component_id) of every row of docs.
 
     Two rows link when p/q * |union| <= |intersection| of their sets of n-word shingles, threshold = (p, q);
@@ -473,14 +489,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Hot groups: equal sets fall together in each chunk, near copies meet their pivot in each flush of a map task, and
     a pivot with more than its share of pairs is dealt to several tasks. Only documents of a key that the pivots leave
-    in several components are compared with each other.
+    in several components are compared with each other. scheme: how candidates meet and are filtered.
     """
     spark, bound = docs.sparkSession, Bound(*threshold)
     small_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     light = materialize(src.mapInArrow(_sketch(n, lower), "id long, n long, s1 long, s2 long"), "light")
     rows = light.where("id is not null")
-    frequent = _frequent(light, rows.count())
+    how = scheme(bound, _frequent(light, rows.count()))
     copies = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("m")).where("m > 1")
     copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("m")
     members = rows.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int")).join(dealt(copies), ["n", "s1", "s2", "salt"], "left")
@@ -493,28 +509,28 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def best(found: DataFrame) -> DataFrame:
         return found.where("x is not null").groupBy("x").agg(F.min(F.struct("rare", "p")).alias("to")).select(F.col("to.p").alias("a"), F.col("x").alias("b"))
 
-    met = src.mapInArrow(_send(n, lower, bound, buckets, frequent, False), packed).groupBy("bucket").applyInArrow(_pivots(False), paired)
+    met = src.mapInArrow(_send(n, lower, how, buckets, False), packed).groupBy("bucket").applyInArrow(_pivots(False), paired)
     met = materialize(best(met).join(dealt(reps.withColumnRenamed("id", "b")), "b", "left_semi").select("a", "b"), "met")
     wanted = met.select(F.col("b").alias("id")).unionByName(met.select(F.col("a").alias("id"))).distinct()
     texts = materialize(src.join(dealt(wanted), "id", "left_semi"), "texts")
-    sigs = materialize(texts.mapInArrow(_signatures(n, lower), "id long, size long, sig binary"), "sigs")
+    sigs = materialize(texts.mapInArrow(_signatures(n, lower, how), "id long, size long, sig binary"), "sigs")
     # A pivot that met its documents in a map task may be a copy of its representative.
     same = met.select(F.col("a").alias("id")).distinct().join(dealt(members), "id").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    links = _links(met.where("a <> b"), texts, sigs, n, lower, bound).unionByName(same)
+    links = _links(met.where("a <> b"), texts, sigs, n, lower, bound, how).unionByName(same)
     label = components(links)
     open_texts = materialize(texts.join(dealt(label.select(F.col("v").alias("id"), "c")), "id", "left").select("id", "text", F.coalesce("c", "id").alias("label")), "labelled")
-    again = materialize(open_texts.mapInArrow(_send(n, lower, bound, buckets, frequent, True), packed).groupBy("bucket").applyInArrow(_pivots(True), paired), "again")
+    again = materialize(open_texts.mapInArrow(_send(n, lower, how, buckets, True), packed).groupBy("bucket").applyInArrow(_pivots(True), paired), "again")
     words = again.where("bit is not null").groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("m")).collect()
     if words:  # at most FILTER / 64
         loose = np.zeros(FILTER // 64, np.int64)
         loose[[r.w for r in words]] = [r.m for r in words]
-        links = links.unionByName(_links(best(again).where("a <> b"), texts, sigs, n, lower, bound))
+        links = links.unionByName(_links(best(again).where("a <> b"), texts, sigs, n, lower, bound, how))
         label = components(links)
         left = open_texts.drop("label").join(dealt(label.select(F.col("v").alias("id"), "c")), "id", "left").select("id", "text", F.coalesce("c", "id").alias("label"))
-        sent = left.mapInArrow(_send_loose(n, lower, bound, buckets, frequent, loose.view(np.uint64)), "bucket int, keys binary, ids binary, labels binary, sizes binary, " + ", ".join(f"p{k} binary" for k in range(PARITY)))
+        sent = left.mapInArrow(_send_loose(n, lower, how, buckets, loose.view(np.uint64)), "bucket int, keys binary, ids binary, labels binary, sizes binary, " + ", ".join(f"p{k} binary" for k in range(PARITY)))
         more = materialize(sent.groupBy("bucket").applyInArrow(_cross(bound), "a long, b long").distinct(), "more")
         if more.limit(1).count():
-            found = _links(more, texts, sigs, n, lower, bound)
+            found = _links(more, texts, sigs, n, lower, bound, how)
             if found.limit(1).count():
                 links = links.unionByName(found)
                 label = components(links)

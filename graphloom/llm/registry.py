@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, hard_negatives, line_dedup, lm_score, ngram_join, packing, quality, substring_dedup, token_counts, topk, warc
+from . import bpe_codec, hard_negatives, lexical, line_dedup, lm_score, minhash, ngram_join, packing, quality, substring_dedup, token_counts, topk, warc
 
 
 def queries() -> dict:
@@ -17,9 +17,11 @@ def queries() -> dict:
         "op8_quality_rules": quality.query,
         "op9_warc": warc.query,
         "op10_token_counts": token_counts.query,
+        "op11_ranked_lexical_search": lexical.query,
+        "op12_minhash_near_dedup": minhash.query,
         "op13_hard_negatives": hard_negatives.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk_search": topk.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
+    return {"op7_topk_search": topk.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op11_ranked_lexical_search": lexical.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
