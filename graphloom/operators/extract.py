@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.udtf import UserDefinedTableFunction
 
 from ..functions.paths import file_name
 
@@ -104,22 +106,44 @@ def _last() -> Column:
     return F.trim(F.when(F.col("trim") == ".", first).when(F.col("rule_name") == "include", stem).when(F.col("trim") == "{}", F.regexp_replace(t, "[{}]", "")).otherwise(t))
 
 
-def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def table_function(find: Callable[[str, str], Iterable[tuple[str, str, str, int]]]) -> UserDefinedTableFunction:
+    """A hook for extract(): find gives (kind, raw, label, line) for a file's path and content.
+
+    kind "node": raw is a name that the file contains; else the relation of an edge to the id of label.
+    """
+
+    class Found:
+        def eval(self, path: str, content: str):
+            yield from find(path, content)
+
+    return F.udtf(Found, returnType="kind string, raw string, label string, line int", useArrow=True)
+
+
+def extract(files: DataFrame, hooks: dict[str, UserDefinedTableFunction] | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of (path, language, content), in the shape that build() takes.
 
     Each file is a node named after its stem; unknown languages give nothing. Names of languages count without case.
+    hooks: by language, table functions from (path, content) to (kind, raw, label, line), such as table_function()
+    makes; a lateral join runs them beside the rules, and a language may have both.
     """
+    hooks = {k.lower(): f for k, f in (hooks or {}).items()}
     lang = F.lower("language")
     for name, key in NAMES.items():
         lang = F.when(F.lower("language") == name, key).otherwise(lang)
     rules = rule_table(files.sparkSession)
-    known = sorted({r.language for r in RULES})
+    known = sorted({r.language for r in RULES} | set(hooks))
     src = files.select("path", lang.alias("language"), F.coalesce("content", F.lit("")).alias("content")).where(F.col("language").isin(*known))
     name = file_name(F.col("path"))
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
     src = src.withColumn("stem", stem).withColumn("file_id", make_id(F.col("stem")))
     hits = with_matches(src.join(F.broadcast(rules), "language")).where(~F.array_contains("skip", F.col("raw")))
     hits = hits.withColumn("label", F.when(F.col("kind") == "node", F.concat("raw", "suffix")).otherwise(_last())).where("label <> ''")
+    found_cols = ["path", "stem", "file_id", "kind", "raw", "label", "line", "rule"]
+    hits = hits.select(*found_cols)
+    for k, (language, hook) in enumerate(sorted(hooks.items())):
+        own_files = src.where(F.col("language") == language)
+        more = own_files.lateralJoin(hook(F.col("path").outer(), F.col("content").outer())).where("raw is not null and label <> ''")
+        hits = hits.unionByName(more.withColumn("rule", F.lit(1000 + k)).select(*found_cols))
     node_id = make_id(F.col("stem"), F.col("raw"))
     place = F.format_string("L%d", "line")
     ord_ = F.col("rule").cast("long") * 1_000_000 + F.col("line")

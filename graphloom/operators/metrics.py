@@ -24,11 +24,15 @@ def top_degree(g: PropertyGraph, n: int = 10) -> DataFrame:
     return with_degree(g).select("id", "label", "degree").orderBy(F.desc("degree"), "id").limit(n)
 
 
+def average_degree(total: Column, nodes: Column) -> Column:
+    return F.when(nodes > 0, rounded(total / nodes)).otherwise(0.0)
+
+
 def statistics(g: PropertyGraph, isolated_at: int = 1) -> DataFrame:
     """One row; a node is isolated if its degree is at most isolated_at."""
     per = with_degree(g).agg(F.count("*").alias("node_count"), F.countDistinct("community").alias("community_count"), F.coalesce(F.sum("degree"), F.lit(0)).alias("total"), F.count_if(F.col("degree") <= isolated_at).alias("isolated_node_count"))
     edges = g.edges.agg(F.count("*").alias("edge_count"))
-    average = F.when(F.col("node_count") > 0, rounded(F.col("total") / F.col("node_count"))).otherwise(0.0)
+    average = average_degree(F.col("total"), F.col("node_count"))
     return per.join(edges).select("node_count", "edge_count", "community_count", average.alias("average_degree"), "isolated_node_count")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import rounded
@@ -26,14 +26,22 @@ def search(g: PropertyGraph, term: str, limit: int = 10, connections: int = 5) -
     return hit.join(d, "id").join(near, "id", "left").select("id", "label", "type", "degree", F.coalesce("connections", F.lit("")).alias("connections"))
 
 
+def role() -> Column:
+    """What a node of its type is called."""
+    return F.when(F.col("type") == "File", "source file").when(F.col("type") == "Document", "document").when(F.col("type") == "Paper", "paper").when(F.col("type") == "Image", "image").otherwise(F.lower("type"))
+
+
+def connectivity(total: Column) -> Column:
+    """How a node with so many distinct edges, in and out, is called."""
+    return F.when(total == 0, "isolated").when(total == 1, "connected once").when(total < 5, "lightly connected").when(total < 20, "well connected").otherwise("a hub")
+
+
 def explain(g: PropertyGraph, node_id: str) -> DataFrame:
     """One row about a node: counts of distinct edges in and out, its role and how connected it is; none if it doesn't exist."""
     e = g.edges.where((F.col("src") == node_id) | (F.col("dst") == node_id)).dropDuplicates(EDGE_KEY)
     n = e.agg(F.count_if(F.col("dst") == node_id).alias("in_count"), F.count_if(F.col("src") == node_id).alias("out_count"))
-    total = F.col("in_count") + F.col("out_count")
-    role = F.when(F.col("type") == "File", "source file").when(F.col("type") == "Document", "document").when(F.col("type") == "Paper", "paper").when(F.col("type") == "Image", "image").otherwise(F.lower("type"))
-    how = F.when(total == 0, "isolated").when(total == 1, "connected once").when(total < 5, "lightly connected").when(total < 20, "well connected").otherwise("a hub")
-    return g.node(node_id).join(n).select("id", "label", "type", "file_path", "community", "in_count", "out_count", role.alias("role"), how.alias("connectivity"))
+    how = connectivity(F.col("in_count") + F.col("out_count"))
+    return g.node(node_id).join(n).select("id", "label", "type", "file_path", "community", "in_count", "out_count", role().alias("role"), how.alias("connectivity"))
 
 
 def explain_edges(g: PropertyGraph, node_id: str) -> DataFrame:
@@ -79,11 +87,9 @@ def community_members(g: PropertyGraph, community: int) -> DataFrame:
     return with_degree(g).where(F.col("community") == community).select("id", "label", "degree")
 
 
-def insights(g: PropertyGraph) -> DataFrame:
-    """(ord, insight): sentences about size, hub, isolation and communities."""
-    s = statistics(g, isolated_at=0)
-    top = top_degree(g, 1).select(F.col("label").alias("hub"), F.col("degree").alias("hub_degree"))
-    x = s.join(top, how="left")
+def sentences(statistics: DataFrame, top: DataFrame) -> DataFrame:
+    """(ord, insight): sentences about size, hub (the row of top), isolation and communities."""
+    x = statistics.join(top.select(F.col("label").alias("hub"), F.col("degree").alias("hub_degree")), how="left")
     lines = [
         F.format_string("The graph has %d nodes and %d edges.", "node_count", "edge_count"),
         F.when(F.col("hub").isNotNull(), F.format_string("Most connected is %s with %d edges.", "hub", "hub_degree")),
@@ -93,6 +99,15 @@ def insights(g: PropertyGraph) -> DataFrame:
     return x.select(F.posexplode(F.array(*lines)).alias("ord", "insight")).where("insight is not null")
 
 
+def insights(g: PropertyGraph) -> DataFrame:
+    """(ord, insight): sentences about the graph."""
+    return sentences(statistics(g, isolated_at=0), top_degree(g, 1))
+
+
+def mean_weight(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("relationship").agg(rounded(F.avg("weight"), 4).alias("mean_weight"))
+
+
 def analyze(g: PropertyGraph, n: int = 10) -> dict[str, DataFrame]:
     """Statistics (isolated: no edge at all), top nodes, nodes by type, edges by relationship and confidence, insights."""
     return {
@@ -101,6 +116,6 @@ def analyze(g: PropertyGraph, n: int = 10) -> dict[str, DataFrame]:
         "nodes_by_type": histogram(g.nodes, "type"),
         "edges_by_relationship": histogram(g.edges, "relationship"),
         "edges_by_confidence": histogram(g.edges.select(confidence_name(F.col("confidence_ord")).alias("confidence")), "confidence"),
-        "mean_weight": g.edges.groupBy("relationship").agg(rounded(F.avg("weight"), 4).alias("mean_weight")),
+        "mean_weight": mean_weight(g.edges),
         "insights": insights(g),
     }

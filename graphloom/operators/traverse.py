@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import rounded
@@ -17,36 +19,52 @@ def shortest_path(g: PropertyGraph, source: str, target: str, max_hops: int | No
 
     The search goes on until the target is met or nothing new is. max_hops: where that many hops don't settle it,
     ValueError; "no path" is never an answer to a search cut short.
+    """
+    edges = keep(existing(g.edges, g.nodes).select("src", "dst").where("src <> dst").distinct())
+
+    def hop(frontier: DataFrame) -> DataFrame:
+        return edges.join(frontier.select(F.col("id").alias("src")), "src").select("src", "dst")
+
+    return path(g.nodes.select("id", "label"), hop, source, target, max_hops)
 
-    Each round joins the frontier with the edges and drops what was seen; among equal parents the smallest id stays.
-    Each round's nodes are checkpointed, and every few rounds all seen ones, so that the plan doesn't grow with the path.
+
+def path(nodes: DataFrame, hop: Callable[[DataFrame], DataFrame], source: str, target: str, max_hops: int | None = None) -> DataFrame:
+    """shortest_path() over nodes (id, label) and hop: the edges (src, dst) out of a frontier (id).
+
+    Each round takes the edges out of the frontier and drops what was seen; among equal parents the smallest id stays.
+    Each round's nodes are checkpointed, and every few rounds all seen ones, so that the plan doesn't grow with the
+    path. The way back is read off the rounds, a few at a time.
     """
-    spark = g.nodes.sparkSession
-    known = g.nodes.where(F.col("id").isin(source, target)).select("id").distinct().count()
-    empty = g.nodes.select(F.lit(0).alias("step"), "id", "label").limit(0)
+    spark = nodes.sparkSession
+    known = nodes.where(F.col("id").isin(source, target)).select("id").distinct().count()
+    empty = nodes.select(F.lit(0).alias("step"), "id", "label").limit(0)
     if known != len({source, target}):
         return empty
-    edges = keep(existing(g.edges, g.nodes).select("src", "dst").where("src <> dst").distinct())
     seen = spark.createDataFrame([(source, None, 0)], "id string, parent string, hop int")
-    frontier, hop, found = seen.select("id"), 0, source == target
+    rounds, k, found = [seen], 0, source == target
     while not found:
-        if max_hops is not None and hop == max_hops:
+        if max_hops is not None and k == max_hops:
             raise ValueError(f"no path of up to {max_hops} hops; there may be a longer one")
-        hop += 1
-        step = edges.join(F.broadcast(frontier) if hop == 1 else frontier, edges.src == F.col("id")).groupBy("dst").agg(F.min("src").alias("parent"))
-        step = keep(step.select(F.col("dst").alias("id"), "parent", F.lit(hop).alias("hop")).join(seen.select("id"), "id", "left_anti"))
+        k += 1
+        step = hop(rounds[-1].select("id")).groupBy("dst").agg(F.min("src").alias("parent"))
+        step = keep(step.select(F.col("dst").alias("id"), "parent", F.lit(k).alias("hop")).join(seen.select("id"), "id", "left_anti"))
         met = step.agg(F.count("*").alias("n"), F.coalesce(F.max(F.col("id") == target), F.lit(False)).alias("found")).first()
         if not met.n:
             return empty
         seen = seen.unionByName(step)
-        seen = keep(seen) if hop % 8 == 0 else seen
-        found, frontier = met.found, step.select("id")
-    path, at = [], target
-    while at is not None:  # one lookup for each node of the path
-        path.append(at)
-        at = seen.where(F.col("id") == at).select("parent").first()[0]
-    rows = spark.createDataFrame([(i, x) for i, x in enumerate(reversed(path))], "step int, id string")
-    return rows.join(g.nodes.select("id", "label"), "id").select("step", "id", "label")
+        seen = keep(seen) if k % 8 == 0 else seen
+        rounds.append(step)
+        found = met.found
+    steps, at = [], spark.createDataFrame([(target,)], "id string")
+    for n in range(k, -1, -8):  # so many rounds are joined at a time
+        chain = [at.select(F.col("id").alias(f"x{n}"))]
+        for i in range(n, max(n - 8, -1), -1):
+            up = rounds[i].select(F.col("id").alias(f"x{i}"), F.col("parent").alias(f"x{i - 1}"))
+            chain.append(F.broadcast(chain[-1]).join(up, f"x{i}"))  # one row
+        row = chain[-1].first()
+        steps += [(i, row[f"x{i}"]) for i in range(n, max(n - 8, -1), -1)]
+        at = spark.createDataFrame([(row[f"x{max(n - 8, -1)}"],)], "id string")
+    return spark.createDataFrame(sorted(steps), "step int, id string").join(nodes, "id").select("step", "id", "label")
 
 
 def expand(g: PropertyGraph, seeds: DataFrame, hops: int = 3) -> DataFrame:
@@ -101,8 +119,3 @@ def cost_summary(costs: DataFrame) -> DataFrame:
     """One row over the questions: (questions, corpus_tokens, avg_query_tokens, reduction)."""
     avg = F.avg("query_tokens").cast("long")
     return costs.agg(F.count("*").alias("questions"), F.max("corpus_tokens").alias("corpus_tokens"), avg.alias("avg_query_tokens")).where("questions > 0").select("*", rounded(F.col("corpus_tokens") / F.col("avg_query_tokens"), 1).alias("reduction"))
-
-
-def question_terms(spark: SparkSession, questions: tuple[str, ...] = QUESTIONS) -> DataFrame:
-    """(question, term)."""
-    return spark.createDataFrame([(q, t) for q in questions for t in terms(q)], "question string, term string")

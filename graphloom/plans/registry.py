@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import graph_queries, text_queries
+from . import graph_queries, store_queries, text_queries
 
 
 def queries() -> dict:
-    return graph_queries.QUERIES | text_queries.QUERIES
+    return graph_queries.QUERIES | text_queries.QUERIES | store_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return graph_queries.ORACLES | text_queries.ORACLES
+    return graph_queries.ORACLES | text_queries.ORACLES | store_queries.ORACLES

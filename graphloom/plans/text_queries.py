@@ -16,14 +16,14 @@ from ..streaming import incremental as I
 from .graph_queries import GRAPH
 
 
-def _events(s, d):
+def events(s, d):
     """Events as changes of a file for each user: every tenth is a deletion."""
     gone = F.col("event_id") % 10 == 0
     return table(s, d, "events").select(F.format_string("u/%d.py", "user_id").alias("path"), F.when(gone, "deleted").otherwise("changed").alias("kind"), F.when(~gone, F.col("props")).alias("content"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
 
 
 def _state(s, d):
-    last = I.last_changes(_events(s, d))
+    last = I.last_changes(events(s, d))
     half = F.substring(F.sha2("path", 256), 1, 1) < "8"
     known = last.where(half).select("path", F.sha2(F.coalesce("content", F.lit("x")), 256).alias("content_hash"))
     return I.changed(last.select("path", "content"), known)
@@ -75,15 +75,16 @@ QUERIES = {
     "sink_page_nodes": lambda s, d: S.page_nodes(star_graph(s, d)).select("id", "community", "color", "size", "font"),
     "sink_vault": lambda s, d: S.vault_notes(star_graph(s, d)).select("file", F.sha2("text", 256).alias("text_sha256")),
     "sink_wiki": lambda s, d: S.wiki_articles(star_graph(s, d)),
-    "incremental_last_changes": lambda s, d: I.last_changes(_events(s, d)).select("path", "kind"),
+    "incremental_last_changes": lambda s, d: I.last_changes(events(s, d)).select("path", "kind"),
     "incremental_changed": lambda s, d: _state(s, d).select("path", "content_hash", "state"),
-    "incremental_ticks": lambda s, d: I.ticks(_events(s, d), "1 hour").groupBy("kind").agg(F.count("*").alias("n")),
+    "incremental_ticks": lambda s, d: I.ticks(events(s, d), "1 hour").groupBy("kind").agg(F.count("*").alias("n")),
     "cluster_detect": lambda s, d: C.detect(star_graph(s, d)),
+    "cluster_spread": lambda s, d: C.detect(star_graph(s, d), giant=0),
 }
 
 _CODE = "with f as (select *, lower(replace(s_name, '#', '_')) as low, replace(s_name, '#', '_') as name, 's' || s_suppkey as stem, 'src/s' || s_suppkey || '.py' as path from supplier) "
 _CATEGORY = "case when file_path like '%.py' or file_path like '%.cs' then 'code' when file_path like '%.pdf' then 'paper' else 'doc' end"
-_EVENTS = "with e as (select 'u/' || user_id || '.py' as path, case when event_id % 10 = 0 then 'deleted' else 'changed' end as kind, case when event_id % 10 <> 0 then props end as content, ts, event_id from events), l as (select path, max({'ts': ts, 'kind': kind, 'content': content}) as m from e group by path), last as (select path, m.kind as kind, m.content as content from l) "
+EVENTS = "with e as (select 'u/' || user_id || '.py' as path, case when event_id % 10 = 0 then 'deleted' else 'changed' end as kind, case when event_id % 10 <> 0 then props end as content, ts, event_id from events), l as (select path, max({'ts': ts, 'kind': kind, 'content': content}) as m from e group by path), last as (select path, m.kind as kind, m.content as content from l) "
 
 
 def _in_order(x: str, steps: list[tuple[str, str]], how: str) -> str:
@@ -157,7 +158,7 @@ ORACLES = {
     + "b as (select id, string_agg('## ' || relationship || chr(10) || lines, chr(10) || chr(10) order by n desc, relationship) as body from p group by id), "
     + "t as (select label as file, id, '---' || chr(10) || 'id: \"' || id || '\"' || chr(10) || 'type: ' || type || chr(10) || 'community: ' || coalesce(community::varchar, 'none') || chr(10) || 'degree: ' || degree || chr(10) || '---' || chr(10) || '# ' || label || chr(10) || chr(10) || coalesce(body, 'No connections.') || chr(10) as text from nd left join b using (id)) "
     + "select file, sha256(arg_max(text, id)) as text_sha256 from t group by file",
-    "incremental_last_changes": _EVENTS + "select path, kind from last",
-    "incremental_changed": _EVENTS + ", k as (select path, sha256(coalesce(content, 'x')) as old from last where sha256(path)[1:1] < '8') select path, sha256(content) as content_hash, case when content is null then 'deleted' when old is null then 'new' else 'changed' end as state from last left join k using (path) where content is null or old is null or old <> sha256(content)",
-    "incremental_ticks": _EVENTS + ", t as (select date_trunc('hour', ts) as tick, path, max({'ts': ts, 'kind': kind}).kind as kind from e group by 1, 2) select kind, count(*) as n from t group by 1",
+    "incremental_last_changes": EVENTS + "select path, kind from last",
+    "incremental_changed": EVENTS + ", k as (select path, sha256(coalesce(content, 'x')) as old from last where sha256(path)[1:1] < '8') select path, sha256(content) as content_hash, case when content is null then 'deleted' when old is null then 'new' else 'changed' end as state from last left join k using (path) where content is null or old is null or old <> sha256(content)",
+    "incremental_ticks": EVENTS + ", t as (select date_trunc('hour', ts) as tick, path, max({'ts': ts, 'kind': kind}).kind as kind from e group by 1, 2) select kind, count(*) as n from t group by 1",
 }

@@ -1,20 +1,20 @@
-"""Files, graph JSON and web pages as tables."""
+"""Files and web pages as tables."""
 
 from __future__ import annotations
 
-import os
-import re
 import subprocess
-from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import file_name
 from ..functions.text import arxiv_id, paper_document, repository, repository_document, url_file_name, url_kind, web_document, with_contributor
-from ..model import PropertyGraph, existing
+from .graph_json import read_graph
+from .listing import list_files, with_content
 
-# Extensions by category, language names, and directories that are passed over.
+__all__ = ["detect_files", "listed_files", "read_graph", "texts", "tracked_files", "web_documents"]
+
+# Extensions by category, and language names.
 CODE = (".py", ".ts", ".tsx", ".js", ".jsx", ".go", ".rs", ".java", ".c", ".cpp", ".h", ".hpp", ".rb", ".cs", ".kt", ".scala", ".php", ".swift", ".r", ".lua", ".sh", ".bash", ".ps1", ".yaml", ".yml", ".json", ".toml", ".xml")
 DOCUMENTS = (".md", ".txt", ".rst", ".adoc")
 MEDIA = (".pdf", ".png", ".jpg", ".jpeg", ".webp", ".gif", ".svg")
@@ -24,19 +24,6 @@ LANGUAGES = {
     ".yaml": "YAML", ".yml": "YAML", ".json": "JSON", ".toml": "TOML", ".xml": "XML", ".md": "Markdown", ".txt": "Text", ".rst": "ReStructuredText", ".adoc": "AsciiDoc",
     ".pdf": "PDF", ".png": "PNG", ".jpg": "JPEG", ".jpeg": "JPEG", ".webp": "WebP", ".gif": "GIF", ".svg": "SVG",
 }
-SKIPPED = ("venv", ".venv", "env", ".env", "node_modules", "__pycache__", ".git", "dist", "build", "target", "out", "bin", "obj", "site-packages", "lib64", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", ".eggs")
-SKIPPED_ENDS = ("_venv", "_env", ".egg-info")
-
-
-def links_below(root: str) -> list[str]:
-    """Relative paths of symbolic links below a local root; other stores have none."""
-    start = re.sub(r"^file:/+", "/", root.rstrip("/"))
-    if "://" in start:
-        return []
-    found = []
-    for at, folders, files in os.walk(start):
-        found += [os.path.relpath(os.path.join(at, x), start) for x in (*folders, *files) if os.path.islink(os.path.join(at, x))]
-    return found
 
 
 def tracked_files(root: str) -> list[str] | None:
@@ -45,32 +32,18 @@ def tracked_files(root: str) -> list[str] | None:
     return [p for p in run.stdout.split("\0") if p] if run.returncode == 0 else None
 
 
-def detect_files(spark: SparkSession, root: str, max_bytes: int = 1 << 20, exclude: tuple[str, ...] = (), extensions: tuple[str, ...] | None = None, tracked: list[str] | None = None) -> DataFrame:
-    """(file_path, relative_path, file_name, extension, language, category, size_bytes, content) of files worth reading.
+def listed_files(spark: SparkSession, root: str, max_bytes: int = 1 << 20, exclude: tuple[str, ...] = (), extensions: tuple[str, ...] | None = None, tracked: list[str] | None = None) -> DataFrame:
+    """(file_path, relative_path, file_name, extension, language, category, size_bytes) of files worth reading; none is opened.
 
-    Listing and filters come before contents: size and name filters reach the reader. Hidden files and folders,
-    SKIPPED folders, large files, unknown extensions, symbolic links and what is below them, and paths that contain
-    an excluded text are left out. tracked: only these relative paths. Rows come in order of relative path. A local
-    root that isn't a folder raises FileNotFoundError.
+    Hidden files and folders, the folders of listing.SKIPPED, symbolic links, large files, unknown extensions and paths
+    that contain an excluded text are left out; folders that are left out aren't listed. tracked: only these relative
+    paths. A root that isn't a folder raises FileNotFoundError.
     """
-    base = root.rstrip("/")
-    local = re.sub(r"^file:/+", "/", base)
-    if "://" not in local and not os.path.isdir(local):
-        raise FileNotFoundError(f"Root path not found: {root}")
-    at = F.regexp_replace("path", r"^file:/+", "/")
-    start = re.sub(r"^file:/+", "/", base)
-    x = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).where(F.col("length") <= max_bytes)
-    x = x.select(at.alias("file_path"), F.col("length").alias("size_bytes"), "content").where(F.col("file_path").startswith(start + "/"))
-    rel = F.substring(F.col("file_path"), F.lit(len(start) + 2), F.length("file_path"))
-    x = x.withColumn("relative_path", rel).withColumn("file_name", file_name(F.col("file_path")))
-    folders = "|".join([r"\.[^/]*", *map(re.escape, SKIPPED), *(f"[^/]*{re.escape(e)}" for e in SKIPPED_ENDS)])
-    x = x.where(~F.col("relative_path").rlike(rf"(?i)(^|/)({folders})/") & ~F.col("file_name").startswith("."))
-    ext = F.lower(F.regexp_extract("file_name", r"(\.[^.]+)$", 1))
-    x = x.withColumn("extension", ext)
+    x = list_files(spark, root).where(F.col("size_bytes") <= max_bytes)
+    x = x.withColumn("file_name", file_name(F.col("file_path")))
+    x = x.withColumn("extension", F.lower(F.regexp_extract("file_name", r"(\.[^.]+)$", 1)))
     known = [(k, c, LANGUAGES[k]) for c, names in (("Code", CODE), ("Documentation", DOCUMENTS), ("Media", MEDIA)) for k in names]
     kinds = spark.createDataFrame(known, "extension string, category string, language string")
-    for link in links_below(base):
-        x = x.where((F.col("relative_path") != link) & ~F.col("relative_path").startswith(link + "/"))
     if extensions is not None:
         x = x.where(F.col("extension").isin(*[e.lower() for e in extensions]))
     for text in exclude:
@@ -79,7 +52,12 @@ def detect_files(spark: SparkSession, root: str, max_bytes: int = 1 << 20, exclu
         own = spark.createDataFrame([(p.lower(),) for p in tracked], "key string")
         x = x.join(own, F.lower("relative_path") == F.col("key"), "left_semi")
     x = x.join(F.broadcast(kinds), "extension")  # a few dozen rows
-    return x.select("file_path", "relative_path", "file_name", "extension", "language", "category", "size_bytes", "content").orderBy("relative_path")
+    return x.select("file_path", "relative_path", "file_name", "extension", "language", "category", "size_bytes")
+
+
+def detect_files(spark: SparkSession, root: str, max_bytes: int = 1 << 20, exclude: tuple[str, ...] = (), extensions: tuple[str, ...] | None = None, tracked: list[str] | None = None) -> DataFrame:
+    """listed_files() with their content, in order of relative path: only what is left after all filters is opened."""
+    return with_content(listed_files(spark, root, max_bytes, exclude, extensions, tracked), root).orderBy("relative_path")
 
 
 def texts(files: DataFrame) -> DataFrame:
@@ -87,24 +65,6 @@ def texts(files: DataFrame) -> DataFrame:
     return files.where("category = 'Code'").select(F.col("relative_path").alias("path"), "language", F.decode("content", "UTF-8").alias("content"))
 
 
-def read_graph(spark: SparkSession, path: str) -> PropertyGraph:
-    """A graph from its JSON file; key names count without case or underscores, edges without ends are left out."""
-    rows = spark.read.text(path, wholetext=True)
-    lower = F.regexp_replace("value", "", "")
-    node = "array<struct<id:string,label:string,type:string,community:int,file_path:string,filePath:string,language:string,confidence:string,metadata:map<string,string>>>"
-    edge = "array<struct<source:string,target:string,relationship:string,weight:double,confidence:string,metadata:map<string,string>>>"
-    for key in ("nodes", "edges", "id", "label", "type", "community", "language", "confidence", "metadata", "source", "target", "relationship", "weight"):
-        lower = F.regexp_replace(lower, rf'"(?i:{key})"\s*:', f'"{key}":')
-    x = rows.select(F.from_json(lower, f"struct<nodes:{node},edges:{edge}>").alias("g"))
-    ord_ = lambda c: F.when(F.upper(c) == "AMBIGUOUS", 2).when(F.upper(c) == "INFERRED", 1).otherwise(0)
-    n = x.select(F.inline("g.nodes"))
-    nodes = n.select("id", "label", F.coalesce("type", F.lit("Entity")).alias("type"), F.coalesce("file_path", "filePath").alias("file_path"), "language", "community", "metadata", ord_(F.col("confidence")).alias("confidence_ord"))
-    e = x.select(F.inline("g.edges"))
-    edges = e.select(F.col("source").alias("src"), F.col("target").alias("dst"), "relationship", F.coalesce("weight", F.lit(1.0)).alias("weight"), ord_(F.col("confidence")).alias("confidence_ord"), "metadata")
-    g = PropertyGraph.of(nodes, edges)
-    return PropertyGraph(g.nodes, existing(g.edges, g.nodes))
-
-
 def web_documents(pages: DataFrame, captured_at: Column | None = None, author: str | None = None) -> DataFrame:
     """(url, kind, file, document) of pages (url, html): papers, repositories and other pages as Markdown.
 
@@ -119,7 +79,3 @@ def web_documents(pages: DataFrame, captured_at: Column | None = None, author: s
     n = F.row_number().over(Window.partitionBy("base").orderBy("url", "document")) - 1
     file = F.concat("base", F.when(n > 0, F.concat(F.lit("_"), n.cast("string"))).otherwise(""), F.lit(".md"))
     return x.select("url", "kind", file.alias("file"), "document")
-
-
-def stem(path: str) -> str:
-    return PurePosixPath(path).stem

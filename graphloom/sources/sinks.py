@@ -1,12 +1,14 @@
-"""Renderings of a graph. Rows are made by Spark; files with one row for each node are written by it too."""
+"""Renderings of a graph: rows that Spark makes and, but for drawings and reports, tasks write."""
 
 from __future__ import annotations
 
+import html
 import json
+import re
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,9 +18,11 @@ from ..operators import analyze as A
 from ..operators import metrics as M
 from ..operators import query as Q
 from ..operators.cluster import layout
+from .writers import delete, write_lines, write_notes
 
-#: Colours of communities, and the largest graph that a page can draw.
+#: Colours of communities in a page and in a drawing, and the largest graph that a page can draw.
 PALETTE = ("#4E79A7", "#F28E2B", "#E15759", "#76B7B2", "#59A14F", "#EDC948", "#B07AA1", "#FF9DA7", "#9C755F", "#BAB0AC")
+SVG_PALETTE = ("#4285F4", "#EA4335", "#FBBC04", "#34A853", "#FF6D00", "#9C27B0", "#00BCD4", "#8BC34A", "#FF5722", "#795548", "#607D8B", "#E91E63", "#3F51B5", "#009688", "#FFC107")
 PAGE_NODES = 5000
 
 
@@ -31,20 +35,15 @@ def json_edges(g: PropertyGraph) -> DataFrame:
 
 
 def write_json(g: PropertyGraph, path: str) -> None:
-    """One graph.json; nulls are left out. For graphs that one file can hold; write_tables has no such bound."""
+    """One graph.json in order of keys, written by tasks; nulls are left out."""
     s = M.statistics(g).first()
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('{"nodes": [')
-        _stream(f, json_nodes(g).orderBy("id"))
-        f.write('], "edges": [')
-        _stream(f, json_edges(g).orderBy("source", "target", "relationship"))
-        meta = {"node_count": s.node_count, "edge_count": s.edge_count, "community_count": s.community_count}
-        f.write('], "metadata": ' + json.dumps(meta) + "}\n")
-
-
-def _stream(f, df: DataFrame) -> None:
-    for k, row in enumerate(df.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()):
-        f.write((",\n" if k else "\n") + row.j)
+    row = lambda df: F.to_json(F.struct(*[F.col(c) for c in df.columns]))
+    nodes, edges = json_nodes(g), json_edges(g)
+    first = f"{path}.nodes"
+    write_lines(nodes, row(nodes), [F.col("id")], first, '{"nodes": [\n', "\n", ",\n")
+    meta = {"node_count": s.node_count, "edge_count": s.edge_count, "community_count": s.community_count}
+    write_lines(edges, row(edges), [F.col("source"), F.col("target"), F.col("relationship")], path, '], "edges": [\n', '\n], "metadata": ' + json.dumps(meta) + "}\n", ",\n", first)
+    delete(first)
 
 
 def write_tables(g: PropertyGraph, path: str) -> None:
@@ -79,9 +78,7 @@ def table_cypher(g: PropertyGraph) -> DataFrame:
 
 def write_statements(statements: DataFrame, path: str) -> None:
     """One text file in order."""
-    with open(path, "w", encoding="utf-8") as f:
-        for row in statements.orderBy("section", "ord").toLocalIterator():
-            f.write(row.statement + "\n")
+    write_lines(statements, F.col("statement"), [F.col("section"), F.col("ord")], path, tail="\n")
 
 
 def page_nodes(g: PropertyGraph) -> DataFrame:
@@ -111,19 +108,24 @@ def _bounded(g: PropertyGraph) -> None:
         raise ValueError(f"a page draws at most {PAGE_NODES} nodes; this graph has {n} or more")
 
 
-def _rows(df: DataFrame) -> str:
-    return "[" + ",".join(r.j for r in df.select(F.to_json(F.struct("*")).alias("j")).collect()).replace("</", "<\\/") + "]"
+def _row(df: DataFrame) -> Column:
+    return F.replace(F.to_json(F.struct(*[F.col(c) for c in df.columns])), F.lit("</"), F.lit("<\\/"))
 
 
 def write_html(g: PropertyGraph, path: str, title: str = "Graph") -> None:
+    """One page; its nodes are bounded by PAGE_NODES, and its edges go from tasks to the file."""
     _bounded(g)
-    legend = page_nodes(g).groupBy("community", "color").agg(F.count("*").alias("size")).orderBy("community").select(F.concat(F.lit("Community "), F.col("community").cast("string")).alias("label"), "size", "color")
-    Path(path).write_text(_PAGE.format(title=title, nodes=_rows(page_nodes(g)), edges=_rows(page_edges(g)), legend=_rows(legend)), encoding="utf-8")
+    nodes, edges = page_nodes(g), page_edges(g)
+    legend = nodes.groupBy("community", "color").agg(F.count("*").alias("size")).select("community", F.concat(F.lit("Community "), F.col("community").cast("string")).alias("label"), "size", "color")
+    head, between, then, tail = (x.replace("{{", "{").replace("}}", "}") for x in re.split(r"\{nodes\}|\{edges\}|\{legend\}", _PAGE.replace("{title}", html.escape(title))))
+    for k, (rows, order, before, behind) in enumerate([(nodes, ["id"], head + "[", "]"), (edges, ["from", "to", "title"], between + "[", "]"), (legend, ["community"], then + "[", "]" + tail)]):
+        write_lines(rows, _row(rows), [F.col(c) for c in order], path if k == 2 else f"{path}.{k}", before, behind, ",", f"{path}.{k - 1}" if k else None)
+    for k in (0, 1):
+        delete(f"{path}.{k}")
 
 
 def write_svg(g: PropertyGraph, path: str) -> None:
-    """A drawing of 1600 x 1200 with force-directed places."""
-    _bounded(g)
+    """A drawing of 1600 x 1200 with force-directed places; nodes and edges go through the driver, as one file does."""
     shown = M.with_degree(g).orderBy("id").select("id", T.xml_text(truncated(F.col("label"), 20)).alias("label"), "community", "degree").collect()
     links = [(r.src, r.dst) for r in g.edges.select("src", "dst").orderBy("src", "dst").collect()]
     at = layout([r.id for r in shown], links)
@@ -132,7 +134,7 @@ def write_svg(g: PropertyGraph, path: str) -> None:
     out += [f'<line x1="{at[a][0]:.1f}" y1="{at[a][1]:.1f}" x2="{at[b][0]:.1f}" y2="{at[b][1]:.1f}" stroke="#999" stroke-opacity="0.5"/>' for a, b in links if a in at and b in at]
     for r in shown:
         x, y = at[r.id]
-        color = "#cccccc" if r.community is None else PALETTE[r.community % len(PALETTE)]
+        color = "#cccccc" if r.community is None else SVG_PALETTE[r.community % len(SVG_PALETTE)]
         out.append(f'<circle cx="{x:.1f}" cy="{y:.1f}" r="{8 + min(r.degree / 5, 10):.1f}" fill="{color}"/>')
         if r.degree > 10:
             out.append(f'<text x="{x:.1f}" y="{y - 12:.1f}" font-size="11">{r.label}</text>')
@@ -180,31 +182,48 @@ def wiki_file(name: Column) -> Column:
     return F.regexp_replace(F.translate(name, "/\\ :", "--_-"), "\0", "_")
 
 
-def wiki_index(g: PropertyGraph, n: int = 10) -> str:
+def _lines(spark: SparkSession, section: int, lines: list[str]) -> DataFrame:
+    """Lines of a page's frame as rows (section, a, b, line)."""
+    return spark.createDataFrame([(section, k, "", x) for k, x in enumerate(lines)], "section int, a long, b string, line string")
+
+
+def _listed(df: DataFrame, section: int, a: Column, b: Column, line: Column) -> DataFrame:
+    return df.select(F.lit(section).alias("section"), a.cast("long").alias("a"), b.cast("string").alias("b"), line.alias("line"))
+
+
+def write_page(parts: list[DataFrame], path: str) -> None:
+    """A page of rows (section, a, b, line) in this order."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    write_lines(rows, F.col("line"), [F.col("section"), F.col("a"), F.col("b")], path, tail="\n")
+
+
+def wiki_index(g: PropertyGraph, n: int = 10) -> list[DataFrame]:
     """The wiki's first page: totals, communities by size, god nodes."""
-    s = M.statistics(g).first()
-    out = ["# Knowledge graph index", "", f"**{s.node_count} nodes, {s.edge_count} edges, {s.community_count} communities**", "", "## Communities", ""]
-    out += [f"- [[community-{r.community}]]: {r.size} nodes" for r in M.communities(g).orderBy(F.desc("size"), "community").toLocalIterator()]
-    out += ["", "## God nodes", ""] + [f"- [[{r.label}]]: {r.degree} connections" for r in M.top_degree(g, n).collect()]
-    return "\n".join(out) + "\n"
+    spark, s = g.nodes.sparkSession, M.statistics(g).first()
+    return [
+        _lines(spark, 0, ["# Knowledge graph index", "", f"**{s.node_count} nodes, {s.edge_count} edges, {s.community_count} communities**", "", "## Communities", ""]),
+        _listed(M.communities(g), 1, -F.col("size"), F.format_string("%012d", "community"), F.format_string("- [[community-%d]]: %d nodes", "community", "size")),
+        _lines(spark, 2, ["", "## God nodes", ""]),
+        _listed(M.top_degree(g, n), 3, -F.col("degree"), F.col("id"), F.format_string("- [[%s]]: %d connections", "label", "degree")),
+    ]
 
 
-def vault_index(g: PropertyGraph, top: int = 20, members: int = 10) -> str:
+def vault_index(g: PropertyGraph, top: int = 20, members: int = 10) -> list[DataFrame]:
     """The vault's first note: totals, the most connected nodes, each community's first members, counts of types."""
-    s = M.statistics(g).first()
-    out = ["---", "title: Knowledge Graph Index", "---", "", "# Knowledge Graph Index", "", "## Statistics", "", f"- **Nodes:** {s.node_count}", f"- **Edges:** {s.edge_count}", f"- **Communities:** {s.community_count}", "", "## Most connected nodes", ""]
-    out += [f"- [[{r.label}]] ({r.degree} connections)" for r in M.top_degree(g, top).collect()] + ["", "## By community"]
+    spark, s = g.nodes.sparkSession, M.statistics(g).first()
     shown = M.top_members(g, members).join(g.nodes.select("id", "label"), "id").groupBy("community").agg(F.sort_array(F.collect_list(F.struct("rank", "label"))).alias("ms"), F.max("more").alias("more"))
-    for r in M.communities(g).join(shown, "community").orderBy(F.desc("size"), "community").toLocalIterator():
-        out += ["", f"### Community {r.community}", "", f"*{r['size']} nodes*", "", *[f"- [[{m.label}]]" for m in r.ms]] + ([f"- *... and {r.more} more*"] if r.more else [])
-    out += ["", "## By type", ""] + [f"- {r.type}: {r.n}" for r in M.histogram(g.nodes, "type").orderBy(F.desc("n"), "type").collect()]
-    return "\n".join(out) + "\n"
-
-
-def write_notes(notes: DataFrame, folder: str) -> None:
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    for r in notes.toLocalIterator():
-        Path(folder, f"{r.file}.md").write_text(r.text, encoding="utf-8")
+    each = F.array_join(F.transform("ms", lambda m: F.concat(F.lit("- [["), F.coalesce(m["label"], F.lit("None")), F.lit("]]"))), "\n")
+    part = F.concat(F.format_string("\n### Community %d\n\n*%d nodes*\n\n", "community", "size"), each, F.when(F.col("more") > 0, F.format_string("\n- *... and %d more*", "more")).otherwise(""))
+    return [
+        _lines(spark, 0, ["---", "title: Knowledge Graph Index", "---", "", "# Knowledge Graph Index", "", "## Statistics", "", f"- **Nodes:** {s.node_count}", f"- **Edges:** {s.edge_count}", f"- **Communities:** {s.community_count}", "", "## Most connected nodes", ""]),
+        _listed(M.top_degree(g, top), 1, -F.col("degree"), F.col("id"), F.format_string("- [[%s]] (%d connections)", "label", "degree")),
+        _lines(spark, 2, ["", "## By community"]),
+        _listed(M.communities(g).join(shown, "community"), 3, -F.col("size"), F.format_string("%012d", "community"), part),
+        _lines(spark, 4, ["", "## By type", ""]),
+        _listed(M.histogram(g.nodes, "type"), 5, -F.col("n"), F.coalesce("type", F.lit("")), F.format_string("- %s: %d", F.coalesce("type", F.lit("None")), F.col("n"))),
+    ]
 
 
 def report(g: PropertyGraph, name: str = "project") -> str:
@@ -242,8 +261,8 @@ FORMATS: dict[str, Callable[[PropertyGraph, str], None]] = {
     "svg": lambda g, d: write_svg(g, f"{d}/graph.svg"),
     "neo4j": lambda g, d: write_statements(cypher(g), f"{d}/graph.cypher"),
     "ladybug": lambda g, d: write_statements(table_cypher(g), f"{d}/graph.ladybug.cypher"),
-    "obsidian": lambda g, d: (write_notes(vault_notes(g), f"{d}/obsidian"), Path(d, "obsidian", "_Index.md").write_text(vault_index(g), encoding="utf-8"), None)[2],
-    "wiki": lambda g, d: (write_notes(wiki_articles(g).unionByName(god_articles(g)), f"{d}/wiki"), Path(d, "wiki", "index.md").write_text(wiki_index(g), encoding="utf-8"), None)[2],
+    "obsidian": lambda g, d: (write_notes(vault_notes(g), f"{d}/obsidian"), write_page(vault_index(g), f"{d}/obsidian/_Index.md"), None)[2],
+    "wiki": lambda g, d: (write_notes(wiki_articles(g).unionByName(god_articles(g)), f"{d}/wiki"), write_page(wiki_index(g), f"{d}/wiki/index.md"), None)[2],
     "report": lambda g, d: (Path(d, "GRAPH_REPORT.md").write_text(report(g), encoding="utf-8"), None)[1],
 }
 
@@ -253,10 +272,11 @@ def export(g: PropertyGraph, folder: str, formats: tuple[str, ...] = ("json", "h
     Path(folder).mkdir(parents=True, exist_ok=True)
     failed = {}
     for name in formats:
-        try:
-            FORMATS[name](g, folder)
-        except KeyError:
+        if (write := FORMATS.get(name)) is None:
             failed[name] = "unknown format"
+            continue
+        try:
+            write(g, folder)
         except Exception as e:
-            failed[name] = str(e)
+            failed[name] = f"{type(e).__name__}: {e}"
     return failed

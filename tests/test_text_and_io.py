@@ -72,7 +72,8 @@ def test_project_to_renderings(spark, tmp_path):
     assert sorted(r.relative_path for r in found.collect()) == ["a/m.py", "b.js"]
     assert files.detect_files(spark, str(src), exclude=("B.JS",)).count() == 1 and files.detect_files(spark, str(src), max_bytes=12).count() == 1
     out = tmp_path / "out"
-    g = pipeline.run(spark, str(src), str(out), tuple(sinks.FORMATS))
+    g, failed = pipeline.run(spark, str(src), str(out), tuple(sinks.FORMATS))
+    assert failed == {}
     for name in ("graph.json", "graph.html", "graph.svg", "graph.cypher", "graph.ladybug.cypher", "GRAPH_REPORT.md"):
         assert (out / name).stat().st_size > 0
     data = json.loads((out / "graph.json").read_text())
