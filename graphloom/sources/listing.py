@@ -123,7 +123,7 @@ def differences(old: dict[str, list[int]], new: dict[str, list[int]]) -> list[tu
     """(kind, path, former path) between two listings {path: [size, time of change]}, in order of path.
 
     A new file whose size and time equal those of one that is gone, and of no other that is gone or new, is that file
-    renamed: no one opens it to find out.
+    renamed, without a look inside; its former path is deleted all the same.
     """
     gone = {p: tuple(x) for p, x in old.items() if p not in new}
     fresh = {p: tuple(x) for p, x in new.items() if p not in old}
@@ -201,8 +201,6 @@ class _Changes(DataSourceStreamReader):
         system, base = store(self.root)
         for kind, path, old, at in partition.rows:
             ts = datetime.datetime.fromtimestamp(at / 1e6, datetime.timezone.utc)
-            if old is not None:  # the old name is gone
-                yield old, "deleted", None, None, ts
             data = None if kind == "deleted" else content(system, f"{base}/{path}")
             yield path, kind, old, None if data is None else data.decode("utf-8", "replace"), ts
 
@@ -217,8 +215,8 @@ class _Changes(DataSourceStreamReader):
 class FolderChanges(DataSource):
     """spark.readStream.format("folder_changes").option("path", folder).option("state", folder): what changes below a folder.
 
-    Rows are (path, kind, former, content, ts): created, changed, renamed (with the former path, after a row that
-    deletes it) and deleted files. The first batch has every file as created. Files are told apart by path, size and
+    Rows are (path, kind, former, content, ts): created, changed, renamed (with the former path, which also is
+    deleted) and deleted files. The first batch has every file as created. Files are told apart by path, size and
     time of change alone; content is read for created, changed and renamed ones, by the tasks. Options: extensions
     (ends of names, with commas), maxBytes, every (seconds between two listings at least).
     """
