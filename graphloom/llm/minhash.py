@@ -55,6 +55,8 @@ def estimate(x: np.ndarray, y: np.ndarray, keep: int) -> tuple[int, int]:
 class Sketches:
     """Candidates by runs of retained values, filtered by union sketches."""
 
+    steps = (False,)
+
     def __init__(self, bound: Bound, frequent: np.ndarray):
         if 5 * bound.p < 4 * bound.q:
             raise ValueError("runs of three find links of 0.8 and more")

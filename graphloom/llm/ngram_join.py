@@ -306,8 +306,11 @@ def _send_loose(n: int, lower: bool, scheme, buckets: int, loose: np.ndarray):
     return run
 
 
-def _cross(bound: Bound):
-    """(a, b) of a bucket: all pairs of different components with one key whose sizes and parities allow a link."""
+def _cross(bound: Bound, nearest: bool = False):
+    """(a, b) of a bucket: all pairs of different components with one key whose sizes and parities allow a link.
+
+    nearest: of each document's pairs in a key only the one whose parities are least apart.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         key, ids, label, size = (unpack(table, c, t) for c, t in (("keys", np.uint64), ("ids", np.int64), ("labels", np.int64), ("sizes", np.int64)))
@@ -328,6 +331,12 @@ def _cross(bound: Bound):
                     if ok.any():
                         apart = sum(np.bitwise_count(par[a, None, k] ^ par[None, b, k]).astype(np.int64) for k in range(PARITY))
                         ok &= apart <= bound.differ(big + less)
+                        if nearest:
+                            far = np.where(ok, apart, np.iinfo(np.int64).max)
+                            first = np.zeros_like(ok)
+                            first[np.arange(len(far)), far.argmin(1)] = True
+                            first[far.argmin(0), np.arange(far.shape[1])] = True
+                            ok &= first
                         x, y = np.nonzero(ok)
                         pair = np.stack([ids[a][x], ids[b][y]], 1)
                         out.append(np.sort(pair, axis=1))
@@ -398,6 +407,9 @@ def _verify(n: int, lower: bool, bound: Bound):
 class Parts:
     """How documents of one class of candidates meet, and what is known of a pair without its texts: parts and parities."""
 
+    #: Passes over keys with several components: the nearest pairs only, or all.
+    steps = (True, False)
+
     def __init__(self, bound: Bound, frequent: np.ndarray):
         self.bound, self.frequent, self.classes = bound, frequent, Classes(bound)
 
@@ -526,14 +538,17 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         loose[[r.w for r in words]] = [r.m for r in words]
         links = links.unionByName(_links(best(again).where("a <> b"), texts, sigs, n, lower, bound, how))
         label = components(links)
-        left = open_texts.drop("label").join(dealt(label.select(F.col("v").alias("id"), "c")), "id", "left").select("id", "text", F.coalesce("c", "id").alias("label"))
-        sent = left.mapInArrow(_send_loose(n, lower, how, buckets, loose.view(np.uint64)), "bucket int, keys binary, ids binary, labels binary, sizes binary, " + ", ".join(f"p{k} binary" for k in range(PARITY)))
-        more = materialize(sent.groupBy("bucket").applyInArrow(_cross(bound), "a long, b long").distinct(), "more")
-        if more.limit(1).count():
-            found = _links(more, texts, sigs, n, lower, bound, how)
-            if found.limit(1).count():
-                links = links.unionByName(found)
-                label = components(links)
+        # Components that many pairs tie are tied by the nearest ones first, so that only pairs of what stays apart are left.
+        for nearest in how.steps:
+            left = open_texts.drop("label").join(dealt(label.select(F.col("v").alias("id"), "c")), "id", "left").select("id", "text", F.coalesce("c", "id").alias("label"))
+            sent = left.mapInArrow(_send_loose(n, lower, how, buckets, loose.view(np.uint64)), "bucket int, keys binary, ids binary, labels binary, sizes binary, " + ", ".join(f"p{k} binary" for k in range(PARITY)))
+            more = materialize(sent.groupBy("bucket").applyInArrow(_cross(bound, nearest), "a long, b long").distinct(), "more")
+            if more.limit(1).count():
+                found = _links(more, texts, sigs, n, lower, bound, how)
+                if found.limit(1).count():
+                    links = links.unionByName(found)
+                    label = components(links)
+            discard(more)
     discard(met, open_texts, again, texts, sigs)
     out = members.join(dealt(label.select(F.col("v").alias("rep"), "c")), "rep", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.col("rep").alias("representative"), F.coalesce("c", "rep").alias("component_id"))
