@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,12 +67,23 @@ def _front(*lines: Column) -> Column:
     return F.concat_ws("\n", F.lit("---"), *lines, F.lit("---"), F.lit(""), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, however often body uses it: the variable of a lambda isn't copied into it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def web_document(url: Column, html: Column, captured_at: Column, limit: int = 12_000) -> Column:
     """A page as Markdown with front matter; a longer body is cut and says so."""
-    body, title = html_to_markdown(html), F.coalesce(html_title(html), url)
-    head = _front(F.concat(F.lit("source_url: "), url), F.lit("type: webpage"), F.concat(F.lit("title: "), yaml_quoted(title)), F.concat(F.lit("captured_at: "), captured_at))
-    cut = F.when(F.length(body) > limit, F.concat(F.substring(body, 1, limit), F.lit("\n\n*[Content truncated]*\n"))).otherwise(body)
-    return F.concat(head, F.lit("# "), title, F.lit("\n\nSource: "), url, F.lit("\n\n---\n\n"), cut)
+    captured = F.concat(F.lit("captured_at: "), captured_at)
+
+    def head(title: Column) -> Column:
+        front = _front(F.concat(F.lit("source_url: "), url), F.lit("type: webpage"), F.concat(F.lit("title: "), yaml_quoted(title)), captured)
+        return F.concat(front, F.lit("# "), title, F.lit("\n\nSource: "), url, F.lit("\n\n---\n\n"))
+
+    def cut(body: Column) -> Column:
+        return F.when(F.length(body) > limit, F.concat(F.substring(body, 1, limit), F.lit("\n\n*[Content truncated]*\n"))).otherwise(body)
+
+    return F.concat(let(F.coalesce(html_title(html), url), head), let(html_to_markdown(html), cut))
 
 
 def paper_fields(html: Column) -> dict[str, Column]:
@@ -106,11 +119,17 @@ def repository_document(url: Column, captured_at: Column) -> Column:
 
 def with_contributor(document: Column, author: str) -> Column:
     """document with a contributor line at the end of its front matter, and a line feed at its own end."""
-    lines = F.split(document, "\n", -1)
-    marks = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x) == "---", i + 1)), lambda i: i.isNotNull())
-    end = F.get(marks, F.lit(1))
-    new = F.concat(F.slice(lines, F.lit(1), end - 1), F.array(F.concat(F.lit("contributor: "), yaml_quoted(F.lit(author)))), F.slice(lines, end, F.size(lines)))
-    return F.concat(F.array_join(F.when(end.isNull(), lines).otherwise(new), "\n"), F.lit("\n"))
+
+    def named(lines: Column) -> Column:
+        marks = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x) == "---", i + 1)), lambda i: i.isNotNull())
+
+        def at(end: Column) -> Column:
+            new = F.concat(F.slice(lines, F.lit(1), end - 1), F.array(F.concat(F.lit("contributor: "), yaml_quoted(F.lit(author)))), F.slice(lines, end, F.size(lines)))
+            return F.array_join(F.when(end.isNull(), lines).otherwise(new), "\n")
+
+        return let(F.get(marks, F.lit(1)), at)
+
+    return F.concat(let(F.split(document, "\n", -1), named), F.lit("\n"))
 
 
 def yaml_quoted(x: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as T
 from ..functions import validate as V
+from ..model import PropertyGraph
 from ..operators import cluster as C
 from ..operators import extract as X
 from ..sources import sinks as S
@@ -22,6 +23,12 @@ def events(s, d):
     return table(s, d, "events").select(F.format_string("u/%d.py", "user_id").alias("path"), F.when(gone, "deleted").otherwise("changed").alias("kind"), F.when(~gone, F.col("props")).alias("content"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
 
 
+def _located(s, d):
+    """What lies where: every supplier and customer in its nation, nations in regions."""
+    g = star_graph(s, d)
+    return PropertyGraph(g.nodes.where("type <> 'Part'"), g.edges.where("relationship = 'located_in'"))
+
+
 def _state(s, d):
     last = I.last_changes(events(s, d))
     half = F.substring(F.sha2("path", 256), 1, 1) < "8"
@@ -79,7 +86,7 @@ QUERIES = {
     "incremental_changed": lambda s, d: _state(s, d).select("path", "content_hash", "state"),
     "incremental_ticks": lambda s, d: I.ticks(events(s, d), "1 hour").groupBy("kind").agg(F.count("*").alias("n")),
     "cluster_detect": lambda s, d: C.detect(star_graph(s, d)),
-    "cluster_spread": lambda s, d: C.detect(star_graph(s, d), giant=0),
+    "cluster_spread": lambda s, d: C.detect(_located(s, d), giant=0),
 }
 
 _CODE = "with f as (select *, lower(replace(s_name, '#', '_')) as low, replace(s_name, '#', '_') as name, 's' || s_suppkey as stem, 'src/s' || s_suppkey || '.py' as path from supplier) "

@@ -6,9 +6,10 @@ import html
 import json
 import re
 from collections.abc import Callable
+from datetime import date
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -154,14 +155,20 @@ def vault_notes(g: PropertyGraph) -> DataFrame:
     return notes.groupBy("file").agg(F.max(F.struct("id", "text")).alias("last")).select("file", "last.text")
 
 
-def wiki_articles(g: PropertyGraph, members: int = 25, links: int = 12) -> DataFrame:
-    """(file, text): an article for each community with its members, links to others and audit trail."""
+def wiki_articles(g: PropertyGraph, members: int = 25, links: int = 12, files: int = 20) -> DataFrame:
+    """(file, text): an article for each community with its members, links to others, source files and audit trail."""
     top = M.top_members(g, members).join(g.nodes.select("id", "label"), "id")
     body = top.groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.concat(F.lit("- "), "label", F.lit(" ("), F.col("degree").cast("string"), F.lit(")")).alias("t")))), lambda s: s["t"]), "\n").alias("members"), F.max("more").alias("more"))
     far = M.cross_links(g, links).groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.format_string("- Community %d: %d links", "other", "links").alias("t")))), lambda s: s["t"]), "\n").alias("far"))
-    audit = M.audit_trail(g).groupBy("community").agg(F.array_join(F.sort_array(F.collect_list(F.format_string("- %s: %d", "confidence", "n"))), "\n").alias("audit"))
-    x = M.communities(g).join(M.community_labels(g), "community").join(M.cohesion_report(g), "community").join(body, "community").join(far, "community", "left").join(audit, "community", "left")
-    text = F.concat(F.lit("# "), "label", F.format_string("\n\n%d nodes, cohesion %.2f\n\n## Members\n", "size", "cohesion"), "members", F.when(F.col("more") > 0, F.format_string("\n- and %d more", "more")).otherwise(""), F.lit("\n\n## Links\n"), F.coalesce("far", F.lit("none")), F.lit("\n\n## Audit trail\n"), F.coalesce("audit", F.lit("none")), F.lit("\n"))
+    all_ = Window.partitionBy("community")
+    share = F.bround(100.0 * F.col("n") / F.sum("n").over(all_), 0).cast("int")
+    trail = M.audit_trail(g).withColumn("share", share).withColumn("t", F.struct((-F.col("n")).alias("k"), "confidence", F.format_string("- %s: %d (%d%%)", "confidence", "n", "share").alias("line")))
+    audit = trail.groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda s: s["line"]), "\n").alias("audit"))
+    own = g.nodes.where("community is not null").select("community", F.try_element_at("metadata", F.lit("source_file")).alias("file")).where("file <> ''").distinct()
+    rank = F.row_number().over(Window.partitionBy("community").orderBy("file"))
+    source = own.withColumn("rank", rank).where(F.col("rank") <= files).groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list("file")), lambda x: F.concat(F.lit("- `"), x, F.lit("`"))), "\n").alias("source"))
+    x = M.communities(g).join(M.community_labels(g), "community").join(M.cohesion_report(g), "community").join(body, "community").join(far, "community", "left").join(audit, "community", "left").join(source, "community", "left")
+    text = F.concat(F.lit("# "), "label", F.format_string("\n\n%d nodes, cohesion %.2f\n\n## Members\n", "size", "cohesion"), "members", F.when(F.col("more") > 0, F.format_string("\n- and %d more", "more")).otherwise(""), F.lit("\n\n## Links\n"), F.coalesce("far", F.lit("none")), F.when(F.col("source").isNotNull(), F.concat(F.lit("\n\n## Source files\n"), "source")).otherwise(""), F.lit("\n\n## Audit trail\n"), F.coalesce("audit", F.lit("none")), F.lit("\n"))
     return x.select(F.concat(F.lit("community-"), F.col("community").cast("string")).alias("file"), text.alias("text"))
 
 
@@ -226,12 +233,24 @@ def vault_index(g: PropertyGraph, top: int = 20, members: int = 10) -> list[Data
     ]
 
 
-def report(g: PropertyGraph, name: str = "project") -> str:
-    """A Markdown report: summary, god nodes, surprises, communities, questions and gaps."""
+def _surprises(g: PropertyGraph) -> list[str]:
+    """Lines on the few surprising edges, with the files of their ends where both have one."""
+    found = A.surprises(g)
+    path = lambda end: g.nodes.select(F.col("id").alias(end), F.col("file_path").alias(f"{end}_file"))
+    out = []
+    for r in found.join(path("src"), "src", "left").join(path("dst"), "dst", "left").collect():
+        tag = " [semantically similar]" if r.relationship == "semantically_similar_to" else ""
+        files = f" {r.src_file} -> {r.dst_file}" if r.src_file and r.dst_file else ""
+        out.append(f"- `{r.src}` --{r.relationship}--> `{r.dst}` [{r.confidence}]{tag}{files} {r.why}")
+    return out
+
+
+def report(g: PropertyGraph, name: str = "project", day: str | None = None) -> str:
+    """A Markdown report, dated today unless a day is given: summary, god nodes, surprises, communities, questions and gaps."""
     s, c = M.statistics(g).first(), M.confidence_summary(g).first()
-    out = [f"# Graph report: {name}", "", "## Summary", f"- {s.node_count} nodes, {s.edge_count} edges, {s.community_count} communities", f"- average degree {s.average_degree:.2f}, {s.isolated_node_count} nodes with at most one edge", f"- {c.extracted_percent}% extracted, {c.inferred_percent}% inferred, {c.ambiguous_percent}% ambiguous", "", "## God nodes"]
+    out = [f"# Graph report: {name} ({day or date.today().isoformat()})", "", "## Summary", f"- {s.node_count} nodes, {s.edge_count} edges, {s.community_count} communities", f"- average degree {s.average_degree:.2f}, {s.isolated_node_count} nodes with at most one edge", f"- {c.extracted_percent}% extracted, {c.inferred_percent}% inferred, {c.ambiguous_percent}% ambiguous", "", "## God nodes"]
     out += [f"{k}. `{r.label}` - {r.edge_count} edges" for k, r in enumerate(A.god_nodes(g).collect(), 1)] or ["none"]
-    out += ["", "## Surprising connections"] + ([f"- `{r.src}` --{r.relationship}--> `{r.dst}` [{r.confidence}] {r.why}" for r in A.surprises(g).collect()] or ["none"]) + ["", "## Communities"]
+    out += ["", "## Surprising connections"] + (_surprises(g) or ["none"]) + ["", "## Communities"]
     cohesion = {r.community: r.cohesion for r in M.cohesion_report(g).collect()}
     shown: dict[int, list] = {}
     for r in M.top_members(g, 8).orderBy("community", "rank").collect():

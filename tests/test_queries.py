@@ -27,3 +27,12 @@ def test_query(spark, duck, name):
     assert sorted(want.columns) == cols
     at = [want.columns.index(c) for c in cols]
     assert sorted(repr([r[c] for c in cols]) for r in df.collect()) == sorted(repr([r[i] for i in at]) for r in want.fetchall())
+
+
+def test_spread_communities_of_places_are_as_good_as_sequential_ones(spark):
+    from graphloom.operators import cluster, metrics
+    from graphloom.plans.text_queries import _located
+
+    g = _located(spark, SF)
+    spread, one = (metrics.modularity(g.with_communities(x)).first().modularity for x in (registry.queries()["cluster_spread"](spark, SF), cluster.detect(g)))
+    assert spread >= 0.99 * one > 0.5

@@ -198,3 +198,17 @@ def test_no_sink_sends_rows_through_the_driver_one_by_one():
     import inspect
 
     assert "toLocalIterator" not in inspect.getsource(sinks)
+
+
+def test_wiki_and_report_name_files_shares_and_day(spark):
+    from graphloom.model import PropertyGraph
+
+    rows = [("a", "Alpha", "src/a.py", 0, {"source_file": "src/a.py"}), ("b", "Beta", "lib/b.py", 0, {"source_file": "lib/b.py"}), ("c", "Gamma", "src/c.py", 1, {})]
+    nodes = spark.createDataFrame(rows, "id string, label string, file_path string, community int, metadata map<string,string>").withColumn("type", F.lit("Class"))
+    edges = spark.createDataFrame([("a", "b", "semantically_similar_to", 1.0, 1), ("b", "c", "uses", 1.0, 0)], "src string, dst string, relationship string, weight double, confidence_ord int")
+    g = PropertyGraph.of(nodes, edges)
+    text = {r.file: r.text for r in sinks.wiki_articles(g).collect()}
+    assert "## Source files\n- `lib/b.py`\n- `src/a.py`\n" in text["community-0"] and "Source files" not in text["community-1"]
+    assert "## Audit trail\n- INFERRED: 2 (67%)\n- EXTRACTED: 1 (33%)" in text["community-0"]
+    report = sinks.report(g, "x", "2024-05-06")
+    assert report.startswith("# Graph report: x (2024-05-06)\n") and "[INFERRED] [semantically similar] src/a.py -> lib/b.py" in report
