@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,53 +11,36 @@ from .shared import discard, materialize
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(v, c) for every endpoint of edges (a, b): c is the smallest vertex that v reaches.
 
-    Min-label propagation with pointer jumping; each round is written to the shared folder. Every shuffle is on a
-    vertex, and hubs only ever meet partial minima or a splittable join. Null endpoints are ignored.
+    In a round every vertex points to the first, in a random order of the round, of itself and its neighbours, and then
+    to what that one points to; edges are drawn anew between what their ends point to, and those within one vertex go.
+    In a random order pointers are short, so few vertices are pointed to, and rows shrink by a constant factor a round:
+    all rounds together cost a few times the first. At the end the rounds' pointers are followed one after the other.
+    Each round is written to the shared folder. Every shuffle is on a vertex, and hubs only ever meet partial minima or
+    a splittable join. Null endpoints are ignored; a vertex that is only tied to itself is its own component.
     """
-    e = edges.where("a is not null and b is not null").select("a", "b")
-    both = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("c")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
-        step = labels.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
-        jump = step.join(labels.select(F.col("v").alias("c"), F.col("c").alias("far")), "c", "left")
-        new = materialize(jump.select("v", "old", F.least("c", F.coalesce("far", "c")).alias("c")), "labels")
-        moved = new.where("c < old").limit(1).count()
-        discard(labels)
-        labels = new
-        if not moved:
+    e = edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    now = materialize(e.distinct(), "edges")
+    rounds: list[DataFrame] = []
+    for k in range(max_rounds):
+        place = lambda v: F.struct(F.xxhash64(v, F.lit(k)).alias("h"), F.col(v).alias("v"))  # noqa: B023, E731
+        ends = now.select(F.col("a").alias("v"), place("b").alias("m")).unionByName(now.select(F.col("b").alias("v"), place("a").alias("m")))
+        near = materialize(ends.groupBy("v").agg(F.min("m").alias("m")).select("v", F.least(place("v"), "m")["v"].alias("p")), "near")
+        far = near.join(near.select(F.col("v").alias("p"), F.col("p").alias("c")), "p").select("v", "c")
+        rounds.append(materialize(far, "round"))
+        to = rounds[-1]
+        drawn = now.where("a <> b").join(to.select(F.col("v").alias("a"), F.col("c").alias("x")), "a").join(to.select(F.col("v").alias("b"), F.col("c").alias("y")), "b")
+        new = materialize(drawn.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(now, near)
+        now = new
+        if not now.limit(1).count():
             break
     else:
         raise RuntimeError(f"components did not converge in {max_rounds} rounds")
-    discard(both)
-    return labels.select("v", "c")
-
-
-def local_forest(edges: DataFrame) -> DataFrame:
-    """Edges (a, b), b dealt by hash, as stars (smallest, other) with the same components in each partition.
-
-    A large group whose members are tied to many others comes down to about one edge for each member. This runs
-    Python; components() itself doesn't need it.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            top = x
-            while (up := parent.setdefault(top, top)) != top:
-                top = up
-            while (up := parent[x]) != top:
-                parent[x] = top
-                x = up
-            return top
-
-        for batch in batches:
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                if a is not None and b is not None and (p := root(a)) != (q := root(b)):
-                    parent[max(p, q)] = min(p, q)
-        stars = [(root(v), v) for v in parent]
-        stars = [x for x in stars if x[0] != x[1]]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in stars], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return edges.repartition("b").mapInArrow(run, "a long, b long")
+    out = rounds[-1]
+    for step in reversed(rounds[:-1]):
+        out = step.join(out.select(F.col("v").alias("c"), F.col("c").alias("last")), "c", "left").select("v", F.coalesce("last", "c").alias("c"))
+    out = materialize(out.withColumnRenamed("c", "r"), "roots")
+    least = out.groupBy("r").agg(F.min("v").alias("c"))
+    labels = materialize(out.join(least, "r").select("v", "c"), "labels")
+    discard(now, out, *rounds)
+    return labels

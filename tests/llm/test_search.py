@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import hard_negatives, lexical, minhash
+from graphloom.llm.components import components
 from graphloom.llm.ngram_join import Bound
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -324,3 +325,28 @@ def test_brackets_hold_every_score_and_spare_most_of_tight_clusters():
         ok = np.flatnonzero((labels == labels[100 * i]) & (np.arange(4000) != 100 * i))
         best = ok[np.lexsort((ok, -s[i, ok]))[:5]]
         assert found.best.ids[i].tolist() == best.tolist()
+
+
+# Components
+
+
+def test_components_of_random_graphs_stars_and_paths(spark):
+    r = random.Random(1)
+    edges = [(r.randrange(1000), r.randrange(1000)) for _ in range(600)]
+    edges += [(5000 + k, 5999) for k in range(300)]  # a hub larger than its neighbours
+    path = r.sample(range(7000, 7200), 200)  # in no order
+    edges += list(zip(path, path[1:], strict=False))
+    edges += [(8000 + k, 8001 + k) for k in range(150)] + [(9000, 9000), (None, 3), (3, None)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and (x := root(a)) != (y := root(b)):
+            parent[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    assert {x.v: x.c for x in components(df).collect()} == {v: root(v) for v in list(parent)}
+    assert components(df.limit(0)).count() == 0
