@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import is_concept, is_file_label, path_category, top_dir
 from ..model import AMBIGUOUS, EDGE_KEY, INFERRED, PropertyGraph, confidence_name
-from .metrics import degrees, inferred_counts, joined, with_degree
+from .metrics import inferred_counts, joined, with_degree
 
 #: Relationships that say how code is laid out rather than what it does.
 STRUCTURAL = ("imports", "imports_from", "contains", "method")
@@ -21,17 +21,15 @@ def god_nodes(g: PropertyGraph, n: int = 10) -> DataFrame:
 
 def surprise_scores(g: PropertyGraph) -> DataFrame:
     """(src, dst, relationship, confidence, score, why) of edges between entities of different files."""
-    d = degrees(g)
-    x = joined(g, "label", "file_path", "community").where(~F.col("relationship").isin(*STRUCTURAL))
-    for end in ("src", "dst"):
-        x = x.where(~is_concept(F.col(f"{end}_file_path")) & ~is_file_label(F.col(f"{end}_label")))
+    path = F.col("file_path")
+    named = _entity(with_degree(g)).withColumns({"category": path_category(path), "top": top_dir(path)})  # once for each node, not each edge
+    x = joined(PropertyGraph(named, g.edges), "file_path", "community", "degree", "category", "top").where(~F.col("relationship").isin(*STRUCTURAL))
     x = x.where("src_file_path <> dst_file_path")
-    x = x.join(d.toDF("src", "src_degree"), "src").join(d.toDF("dst", "dst_degree"), "dst")
-    a, b = F.col("src_file_path"), F.col("dst_file_path")
+    a, b = F.col("src_category"), F.col("dst_category")
     ord_ = F.col("confidence_ord")
     low, high = F.least("src_degree", "dst_degree"), F.greatest("src_degree", "dst_degree")
     trust = F.when(ord_ == AMBIGUOUS, 3).when(ord_ == INFERRED, 2).otherwise(1)
-    signs = [(path_category(a) != path_category(b), 2, F.concat(F.lit("crosses file types ("), path_category(a), F.lit(" to "), path_category(b), F.lit(")"))), (top_dir(a) != top_dir(b), 2, F.lit("connects different directories")), (F.coalesce(F.col("src_community") != F.col("dst_community"), F.lit(False)), 1, F.lit("bridges communities")), ((low <= 2) & (high >= 5), 1, F.lit("peripheral node reaches a hub"))]
+    signs = [(a != b, 2, F.concat(F.lit("crosses file types ("), a, F.lit(" to "), b, F.lit(")"))), (F.col("src_top") != F.col("dst_top"), 2, F.lit("connects different directories")), (F.coalesce(F.col("src_community") != F.col("dst_community"), F.lit(False)), 1, F.lit("bridges communities")), ((low <= 2) & (high >= 5), 1, F.lit("peripheral node reaches a hub"))]
     score, why = trust, [F.when(ord_ != 0, F.concat(F.lower(confidence_name(ord_)), F.lit(" connection")))]
     for test, points, text in signs:
         score = score + F.when(test, points).otherwise(0)
@@ -90,7 +88,7 @@ def isolated(g: PropertyGraph, at: int = 1) -> DataFrame:
 
 
 def _sub(g: PropertyGraph) -> PropertyGraph:
-    return PropertyGraph(_entity(g.nodes), g.edges)
+    return PropertyGraph(_entity(g.nodes), g.edges, g.unique)
 
 
 def questions(g: PropertyGraph, n: int = 10) -> DataFrame:

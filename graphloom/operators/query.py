@@ -20,7 +20,7 @@ def search(g: PropertyGraph, term: str, limit: int = 10, connections: int = 5) -
     low = F.lit(term.lower())
     hit = g.nodes.where(F.contains(F.lower("id"), low) | F.contains(F.lower("label"), low) | F.contains(F.lower("type"), low)).orderBy("id").limit(limit).select("id", "label", "type")
     d = degrees(PropertyGraph(hit, g.edges))
-    x = ends(g.edges.dropDuplicates(EDGE_KEY), "relationship").join(hit.select("id"), "id")
+    x = ends(g.distinct_edges(), "relationship").join(hit.select("id"), "id")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("other", "relationship"))
     near = x.withColumn("r", rank).where(F.col("r") <= connections).groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", F.concat("relationship", F.lit(":"), "other").alias("t")))), lambda s: s["t"]), ", ").alias("connections"))
     return hit.join(d, "id").join(near, "id", "left").select("id", "label", "type", "degree", F.coalesce("connections", F.lit("")).alias("connections"))

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import rounded
-from ..model import EDGE_KEY, PropertyGraph, existing, keep
+from ..model import PropertyGraph, existing, keep
 
+#: Nodes of a frontier that are sent to the edges, which then aren't shuffled; hops of a path before its edges are written once for all further ones.
+BROADCAST, LAZY = 1 << 16, 4
 #: The questions asked when none are given.
 QUESTIONS = ("how does authentication work", "what is the main entry point", "how are errors handled", "what connects the data layer to the api", "what are the core abstractions")
 
@@ -20,16 +22,21 @@ def shortest_path(g: PropertyGraph, source: str, target: str, max_hops: int | No
     The search goes on until the target is met or nothing new is. max_hops: where that many hops don't settle it,
     ValueError; "no path" is never an answer to a search cut short.
     """
-    edges = keep(existing(g.edges, g.nodes).select("src", "dst").where("src <> dst").distinct())
+    edges = g.closed_edges().select("src", "dst").where("src <> dst")
+    kept: list[DataFrame] = []
 
-    def hop(frontier: DataFrame) -> DataFrame:
-        return edges.join(frontier.select(F.col("id").alias("src")), "src").select("src", "dst")
+    def hop(frontier: DataFrame, n: int, k: int) -> DataFrame:
+        if n <= BROADCAST and k <= LAZY:
+            return edges.join(F.broadcast(frontier.select(F.col("id").alias("src"))), "src", "left_semi").select("src", "dst")
+        if not kept:
+            kept.append(keep(edges.distinct()))
+        return kept[0].join(frontier.select(F.col("id").alias("src")), "src").select("src", "dst")
 
     return path(g.nodes.select("id", "label"), hop, source, target, max_hops)
 
 
-def path(nodes: DataFrame, hop: Callable[[DataFrame], DataFrame], source: str, target: str, max_hops: int | None = None) -> DataFrame:
-    """shortest_path() over nodes (id, label) and hop: the edges (src, dst) out of a frontier (id).
+def path(nodes: DataFrame, hop: Callable[[DataFrame, int, int], DataFrame], source: str, target: str, max_hops: int | None = None) -> DataFrame:
+    """shortest_path() over nodes (id, label) and hop: the edges (src, dst) out of a frontier (id) of so many nodes, for which hop this is.
 
     Each round takes the edges out of the frontier and drops what was seen; among equal parents the smallest id stays.
     Each round's nodes are checkpointed, and every few rounds all seen ones, so that the plan doesn't grow with the
@@ -41,12 +48,12 @@ def path(nodes: DataFrame, hop: Callable[[DataFrame], DataFrame], source: str, t
     if known != len({source, target}):
         return empty
     seen = spark.createDataFrame([(source, None, 0)], "id string, parent string, hop int")
-    rounds, k, found = [seen], 0, source == target
+    rounds, k, found, n = [seen], 0, source == target, 1
     while not found:
         if max_hops is not None and k == max_hops:
             raise ValueError(f"no path of up to {max_hops} hops; there may be a longer one")
         k += 1
-        step = hop(rounds[-1].select("id")).groupBy("dst").agg(F.min("src").alias("parent"))
+        step = hop(rounds[-1].select("id"), n, k).groupBy("dst").agg(F.min("src").alias("parent"))
         step = keep(step.select(F.col("dst").alias("id"), "parent", F.lit(k).alias("hop")).join(seen.select("id"), "id", "left_anti"))
         met = step.agg(F.count("*").alias("n"), F.coalesce(F.max(F.col("id") == target), F.lit(False)).alias("found")).first()
         if not met.n:
@@ -54,7 +61,7 @@ def path(nodes: DataFrame, hop: Callable[[DataFrame], DataFrame], source: str, t
         seen = seen.unionByName(step)
         seen = keep(seen) if k % 8 == 0 else seen
         rounds.append(step)
-        found = met.found
+        found, n = met.found, met.n
     steps, at = [], spark.createDataFrame([(target,)], "id string")
     for n in range(k, -1, -8):  # so many rounds are joined at a time
         chain = [at.select(F.col("id").alias(f"x{n}"))]
@@ -69,19 +76,21 @@ def path(nodes: DataFrame, hop: Callable[[DataFrame], DataFrame], source: str, t
 
 def expand(g: PropertyGraph, seeds: DataFrame, hops: int = 3) -> DataFrame:
     """(id, hop) of nodes within so many out-edges of seeds (id), at their first hop."""
-    edges = existing(g.edges, g.nodes).select("src", "dst").distinct()
-    seen = seeds.select("id", F.lit(0).alias("hop"))
-    frontier = seen
+    edges = g.closed_edges().select("src", "dst")
+    seen = frontier = keep(seeds.select("id", F.lit(0).alias("hop")))
     for hop in range(1, hops + 1):
-        step = edges.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        frontier = step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hop"))
+        if not (n := frontier.count()):
+            break
+        ids = frontier.select(F.col("id").alias("src"))
+        step = edges.join(F.broadcast(ids) if n <= BROADCAST else ids, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        frontier = keep(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hop")))
         seen = seen.unionByName(frontier)
     return seen
 
 
 def between(g: PropertyGraph, ids: DataFrame) -> DataFrame:
     """Edges with both ends among ids (id), distinct by key."""
-    return existing(g.edges.dropDuplicates(EDGE_KEY), ids)
+    return existing(g.distinct_edges(), ids)
 
 
 def terms(question: str) -> list[str]:

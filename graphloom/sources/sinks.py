@@ -144,15 +144,15 @@ def write_svg(g: PropertyGraph, path: str) -> None:
 
 def vault_notes(g: PropertyGraph) -> DataFrame:
     """(file, text): a linked Markdown note for each file name; of nodes with one name the last by id stays."""
-    x = ends(g.edges.dropDuplicates(EDGE_KEY), "relationship", "confidence_ord").join(g.nodes.select(F.col("id").alias("other"), F.col("label").alias("far")), "other")
-    line = F.concat(F.lit("- [["), T.file_stem(F.col("far")), F.lit("]] "), F.lower(confidence_name(F.col("confidence_ord"))))
-    per = x.groupBy("id", "relationship").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("lines"))
+    x = ends(g.distinct_edges(), "relationship", "confidence_ord").join(g.nodes.select(F.col("id").alias("other"), F.concat(F.lit("- [["), T.file_stem(F.col("label")), F.lit("]] ")).alias("far")), "other")
+    x = x.select("id", "relationship", F.concat("far", F.lower(confidence_name(F.col("confidence_ord")))).alias("line")).repartition("id")  # one exchange for both groups
+    per = x.groupBy("id", "relationship").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("lines"))
     all_ = per.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "relationship", "lines"))).alias("parts"))
     body = F.array_join(F.transform("parts", lambda p: F.concat(F.lit("## "), p["relationship"], F.lit("\n"), p["lines"])), "\n\n")
-    d = M.with_degree(g).join(all_, "id", "left")
+    last = g.nodes.groupBy(T.file_stem(F.col("label")).alias("file")).agg(F.max("id").alias("id"))
+    d = M.with_degree(g).join(last, "id").join(all_, "id", "left")
     head = F.concat(F.lit("---\nid: "), T.yaml_quoted(F.col("id")), F.lit("\ntype: "), F.col("type"), F.lit("\ncommunity: "), F.coalesce(F.col("community").cast("string"), F.lit("none")), F.lit("\ndegree: "), F.col("degree").cast("string"), F.lit("\n---\n# "), F.col("label"), F.lit("\n\n"))
-    notes = d.select(T.file_stem(F.col("label")).alias("file"), "id", F.concat(head, F.coalesce(body, F.lit("No connections.")), F.lit("\n")).alias("text"))
-    return notes.groupBy("file").agg(F.max(F.struct("id", "text")).alias("last")).select("file", "last.text")
+    return d.select("file", F.concat(head, F.coalesce(body, F.lit("No connections.")), F.lit("\n")).alias("text"))
 
 
 def wiki_articles(g: PropertyGraph, members: int = 25, links: int = 12, files: int = 20) -> DataFrame:

@@ -50,7 +50,7 @@ class GraphStore:
         spark = g.nodes.sparkSession
         n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         best = Window.partitionBy(*EDGE_KEY).orderBy("confidence_ord", F.desc("weight"))
-        edges = g.edges.withColumn("copy", F.row_number().over(best) - 1)
+        edges = g.edges.withColumn("copy", F.lit(0) if g.unique else F.row_number().over(best) - 1)
         far = g.nodes.select(F.col("id").alias("other"), F.col("label").alias("other_label"), F.lit(True).alias("other_known"))
         cols = ["relationship", "weight", "confidence_ord", "copy"]
         out = edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit(True).alias("outward"), *cols)
@@ -70,8 +70,10 @@ class GraphStore:
         first = seen.withColumn("r", place).where(F.col("r") <= FIRST).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("r", "other", "relationship"))).alias("x"))
         first = first.select("id", F.transform("x", lambda s: F.struct(s["other"].alias("other"), s["relationship"].alias("relationship"))).alias("first"))
         counts = e.groupBy("id").agg(F.count_if(~F.col("outward")).alias("in_count"), F.count_if("outward").alias("out_count"))
-        rows = M.with_degree(g).join(counts, "id", "left").join(first, "id", "left")
-        rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("in_count", "out_count")}).withColumn("first", F.coalesce("first", F.array().cast("array<struct<other:string,relationship:string>>")))
+        rows = (g.nodes if g.unique else M.with_degree(g)).join(counts, "id", "left").join(first, "id", "left")
+        rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("in_count", "out_count")})
+        rows = rows.withColumn("degree", F.col("in_count") + F.col("out_count")) if g.unique else rows
+        rows = rows.withColumn("first", F.coalesce("first", F.array().cast("array<struct<other:string,relationship:string>>")))
         write(conform(rows, NODES + _NODE), "nodes")
         return cls(spark, name)
 
@@ -135,9 +137,10 @@ class GraphStore:
     def shortest_path(self, source: str, target: str, max_hops: int | None = None) -> DataFrame:
         """As traverse.shortest_path(); each hop reads the frontier's edges where they lie."""
 
-        def hop(frontier: DataFrame) -> DataFrame:
-            some = [r.id for r in frontier.limit(FEW + 1).collect()]
-            return self.hop(frontier, some if len(some) <= FEW else None)
+        def hop(frontier: DataFrame, n: int, k: int) -> DataFrame:
+            if n <= FEW:
+                return self.hop(frontier, [r.id for r in frontier.collect()])
+            return self.hop(F.broadcast(frontier) if n <= T.BROADCAST else frontier)
 
         return T.path(self.nodes.select("id", "label"), hop, source, target, max_hops)
 
