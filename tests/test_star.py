@@ -56,3 +56,13 @@ def test_expand_of_few_nodes_sends_them_to_the_edges(spark, star, monkeypatch):
     assert few == ask() and ("part:0", 1) in few and ("region:0", 2) in few
     monkeypatch.setattr(T, "LAZY", 0)
     assert [r.id for r in T.shortest_path(g, "supplier:1", "region:0").orderBy("step").collect()] == ["supplier:1", "nation:0", "region:0"]
+
+
+def test_a_loops_table_has_the_size_of_its_files(spark):
+    from graphloom.model import cut
+
+    x = spark.range(100)
+    for _ in range(6):
+        x = cut(x.join(x.withColumnRenamed("id", "b"), x.id == F.col("b")).select("id"))
+    assert x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() < 64
+    assert x.count() == 100
