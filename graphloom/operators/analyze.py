@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_concept, is_file_label, path_category, top_dir
-from ..model import AMBIGUOUS, EDGE_KEY, INFERRED, PropertyGraph, confidence_name
+from ..model import AMBIGUOUS, EDGE_KEY, INFERRED, PropertyGraph, confidence_name, keep
 from .metrics import inferred_counts, joined, with_degree
 
 #: Relationships that say how code is laid out rather than what it does.
@@ -44,8 +44,8 @@ def cross_file_surprises(g: PropertyGraph, n: int = 5) -> DataFrame:
 
 def bridges(g: PropertyGraph, n: int = 5) -> DataFrame:
     """The first edge of each pair of communities, ambiguous before inferred before extracted, n of them."""
-    x = joined(g, "label", "community").where(~F.col("relationship").isin(*STRUCTURAL)).where("src_community <> dst_community")
-    x = x.where(~is_file_label(F.col("src_label")) & ~is_file_label(F.col("dst_label")))
+    x = g.sided({"community": F.col("community"), "named": ~is_file_label(F.col("label"))}).where(~F.col("relationship").isin(*STRUCTURAL))
+    x = x.where("src_community <> dst_community and src_named and dst_named")
     low, high = F.least("src_community", "dst_community").alias("low"), F.greatest("src_community", "dst_community").alias("high")
     first = x.select(low, high, *EDGE_KEY, "confidence_ord").groupBy("low", "high").agg(F.min(F.struct(*EDGE_KEY, "confidence_ord")).alias("e"))
     out = first.select("low", "high", "e.*")
@@ -60,26 +60,31 @@ def surprises(g: PropertyGraph, n: int = 5) -> DataFrame:
     return bridges(g, n).select(*EDGE_KEY, "confidence", F.format_string("bridges communities %d and %d", "low", "high").alias("why"))
 
 
+def entity() -> Column:
+    """Whether a node is neither a file nor a concept."""
+    return ~is_file_label(F.col("label")) & ~is_concept(F.col("file_path"))
+
+
 def _entity(nodes: DataFrame) -> DataFrame:
-    return nodes.where(~is_file_label(F.col("label")) & ~is_concept(F.col("file_path")))
+    return nodes.where(entity())
 
 
 def bridge_nodes(g: PropertyGraph, n: int = 3) -> DataFrame:
     """(id, label, others): entities whose out-neighbours lie in two or more other communities; the n first by id."""
-    own = _entity(g.nodes).where("community is not null").select("id", "label", "community")
-    far = g.nodes.where("community is not null").select(F.col("id").alias("dst"), F.col("community").alias("far"))
-    x = g.edges.select(F.col("src").alias("id"), "dst").join(own, "id").join(far, "dst").where("far <> community")
-    x = x.groupBy("id", "label").agg(F.sort_array(F.collect_set("far")).alias("others")).where(F.size("others") >= 2)
-    return x.orderBy("id").limit(n)
+    x = g.sided({"community": F.col("community"), "entity": entity()}).where("src_entity and src_community <> dst_community")
+    x = x.select(F.col("src").alias("id"), F.col("dst_community").alias("far")).distinct()
+    x = x.groupBy("id").agg(F.sort_array(F.collect_list("far")).alias("others")).where(F.size("others") >= 2)
+    return g.nodes.select("id", "label").join(F.broadcast(x.orderBy("id").limit(n)), "id").orderBy("id")
 
 
 def inferred_examples(g: PropertyGraph, n: int = 3, examples: int = 2) -> DataFrame:
     """(id, inferred, rank, other): the n entities with the most inferred edges (two at least), with neighbours by id."""
     top = inferred_counts(g).where("inferred >= 2").join(g.nodes.where(~is_file_label(F.col("label"))).select("id"), "id").orderBy(F.desc("inferred"), "id").limit(n)
     e = g.edges.where(F.col("confidence_ord") == INFERRED)
-    near = e.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(e.select(F.col("dst").alias("id"), F.col("src").alias("other"))).distinct()
+    both = F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("id"), F.col("src").alias("other")))
+    near = e.select(F.inline(both)).join(F.broadcast(top), "id").distinct()
     rank = F.row_number().over(Window.partitionBy("id").orderBy("other"))
-    return near.join(top, "id").withColumn("rank", rank).where(F.col("rank") <= examples).select("id", "inferred", "rank", "other")
+    return near.withColumn("rank", rank).where(F.col("rank") <= examples).select("id", "inferred", "rank", "other")
 
 
 def isolated(g: PropertyGraph, at: int = 1) -> DataFrame:
@@ -88,11 +93,15 @@ def isolated(g: PropertyGraph, at: int = 1) -> DataFrame:
 
 
 def _sub(g: PropertyGraph) -> PropertyGraph:
-    return PropertyGraph(_entity(g.nodes), g.edges, g.unique)
+    return PropertyGraph(_entity(g.nodes), g.edges, g.unique)  # sides go by all nodes
 
 
 def questions(g: PropertyGraph, n: int = 10) -> DataFrame:
-    """(section, ord, kind, question, why): at most n, by kind; one no_signal row if there are none."""
+    """(section, ord, kind, question, why): at most n, by kind; one no_signal row if there are none.
+
+    The edges are written once for all kinds, and the questions before it is seen whether there are any.
+    """
+    g = g.settled(community=F.col("community"), entity=entity())
     label = lambda df, c: df.join(g.nodes.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label")), c)
     first = g.edges.where(F.col("confidence_ord") == AMBIGUOUS).orderBy(*EDGE_KEY).limit(n)
 
@@ -104,10 +113,10 @@ def questions(g: PropertyGraph, n: int = 10) -> DataFrame:
     bridge = rows(bridge_nodes(g), 1, "bridge_node", F.col("id"), F.format_string("Why does `%s` connect so many communities?", "label"), F.concat(F.lit("Reaches communities "), F.array_join(F.col("others").cast("array<string>"), ", ")))
     checked = inferred_examples(g).groupBy("id", "inferred").agg(F.array_join(F.sort_array(F.collect_list("other")), ", ").alias("examples"))
     verify = rows(checked, 2, "verify_inferred", F.concat(F.lpad((F.lit(10**9) - F.col("inferred")).cast("string"), 10, "0"), "id"), F.format_string("Are the %d inferred relationships of `%s` right?", "inferred", "id"), F.concat(F.lit("For example with "), "examples"))
-    alone = isolated(g)
+    alone = keep(isolated(g).select("id"))
     some = alone.orderBy("id").limit(3).agg(F.array_join(F.sort_array(F.collect_list("id")), ", ").alias("some"))
     alone = rows(alone.agg(F.count("*").alias("n")).where("n > 0").join(some), 3, "isolated_nodes", F.lit(""), F.format_string("What connects %s to the rest?", "some"), F.format_string("%d nodes have at most one edge", "n"))
-    found = unsure.unionByName(bridge).unionByName(verify).unionByName(alone)
+    found = keep(unsure.unionByName(bridge).unionByName(verify).unionByName(alone).orderBy("section", "ord").limit(n))
     none = g.edges.sparkSession.range(1).select(F.lit(9).alias("section"), F.lit("").alias("ord"), F.lit("no_signal").alias("kind"), F.lit(None).cast("string").alias("question"), F.lit("Not enough signal to ask a question").alias("why"))
     fallback = none.join(found.limit(1).select(F.lit(1).alias("x")), how="left_anti", on=F.lit(True))
     return found.unionByName(fallback).orderBy("section", "ord").limit(n)
