@@ -144,8 +144,14 @@ def write_svg(g: PropertyGraph, path: str) -> None:
 
 def vault_notes(g: PropertyGraph) -> DataFrame:
     """(file, text): a linked Markdown note for each file name; of nodes with one name the last by id stays."""
-    x = ends(g.distinct_edges(), "relationship", "confidence_ord").join(g.nodes.select(F.col("id").alias("other"), F.concat(F.lit("- [["), T.file_stem(F.col("label")), F.lit("]] ")).alias("far")), "other")
-    x = x.select("id", "relationship", F.concat("far", F.lower(confidence_name(F.col("confidence_ord")))).alias("line")).repartition("id")  # one exchange for both groups
+    if g.sides is None:
+        x = ends(g.distinct_edges(), "relationship", "confidence_ord").join(g.nodes.select(F.col("id").alias("other"), T.file_stem(F.col("label")).alias("far")), "other")
+    else:
+        end = lambda own, far: F.struct(F.col(own).alias("id"), F.col(f"{far}_stem").alias("far"), "relationship", "confidence_ord")
+        x = g.sides({"stem": T.file_stem(F.col("label"))})
+        x = x.select(F.inline(F.when(F.col("src") == F.col("dst"), F.array(end("src", "dst"))).otherwise(F.array(end("src", "dst"), end("dst", "src")))))
+    x = g.spread(x.select("id", "far", "relationship", "confidence_ord"), "id")  # one exchange for both groups
+    x = x.select("id", "relationship", F.concat(F.lit("- [["), "far", F.lit("]] "), F.lower(confidence_name(F.col("confidence_ord")))).alias("line"))
     per = x.groupBy("id", "relationship").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("lines"))
     all_ = per.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "relationship", "lines"))).alias("parts"))
     body = F.array_join(F.transform("parts", lambda p: F.concat(F.lit("## "), p["relationship"], F.lit("\n"), p["lines"])), "\n\n")
@@ -156,18 +162,23 @@ def vault_notes(g: PropertyGraph) -> DataFrame:
 
 
 def wiki_articles(g: PropertyGraph, members: int = 25, links: int = 12, files: int = 20) -> DataFrame:
-    """(file, text): an article for each community with its members, links to others, source files and audit trail."""
+    """(file, text): an article for each community with its members, links to others, source files and audit trail.
+
+    The edges are written once for degrees and links, and what lies between communities is counted once for all parts.
+    """
+    g = g.settled(community=F.col("community"))
+    between = M.community_links(g).persist()
     top = M.top_members(g, members).join(g.nodes.select("id", "label"), "id")
     body = top.groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.concat(F.lit("- "), "label", F.lit(" ("), F.col("degree").cast("string"), F.lit(")")).alias("t")))), lambda s: s["t"]), "\n").alias("members"), F.max("more").alias("more"))
-    far = M.cross_links(g, links).groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.format_string("- Community %d: %d links", "other", "links").alias("t")))), lambda s: s["t"]), "\n").alias("far"))
+    far = M.cross_links(g, links, between).groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.format_string("- Community %d: %d links", "other", "links").alias("t")))), lambda s: s["t"]), "\n").alias("far"))
     all_ = Window.partitionBy("community")
     share = F.bround(100.0 * F.col("n") / F.sum("n").over(all_), 0).cast("int")
-    trail = M.audit_trail(g).withColumn("share", share).withColumn("t", F.struct((-F.col("n")).alias("k"), "confidence", F.format_string("- %s: %d (%d%%)", "confidence", "n", "share").alias("line")))
+    trail = M.audit_trail(g, between).withColumn("share", share).withColumn("t", F.struct((-F.col("n")).alias("k"), "confidence", F.format_string("- %s: %d (%d%%)", "confidence", "n", "share").alias("line")))
     audit = trail.groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda s: s["line"]), "\n").alias("audit"))
     own = g.nodes.where("community is not null").select("community", F.try_element_at("metadata", F.lit("source_file")).alias("file")).where("file <> ''").distinct()
     rank = F.row_number().over(Window.partitionBy("community").orderBy("file"))
     source = own.withColumn("rank", rank).where(F.col("rank") <= files).groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list("file")), lambda x: F.concat(F.lit("- `"), x, F.lit("`"))), "\n").alias("source"))
-    x = M.communities(g).join(M.community_labels(g), "community").join(M.cohesion_report(g), "community").join(body, "community").join(far, "community", "left").join(audit, "community", "left").join(source, "community", "left")
+    x = M.communities(g).join(M.community_labels(g), "community").join(M.cohesion_report(g, between if g.unique else None), "community").join(body, "community").join(far, "community", "left").join(audit, "community", "left").join(source, "community", "left")
     text = F.concat(F.lit("# "), "label", F.format_string("\n\n%d nodes, cohesion %.2f\n\n## Members\n", "size", "cohesion"), "members", F.when(F.col("more") > 0, F.format_string("\n- and %d more", "more")).otherwise(""), F.lit("\n\n## Links\n"), F.coalesce("far", F.lit("none")), F.when(F.col("source").isNotNull(), F.concat(F.lit("\n\n## Source files\n"), "source")).otherwise(""), F.lit("\n\n## Audit trail\n"), F.coalesce("audit", F.lit("none")), F.lit("\n"))
     return x.select(F.concat(F.lit("community-"), F.col("community").cast("string")).alias("file"), text.alias("text"))
 
