@@ -44,18 +44,23 @@ class GraphStore:
     def save(cls, g: PropertyGraph, name: str, folder: str | None = None, buckets: int | None = None) -> GraphStore:
         """Write g, in place of what has the name. folder: where the tables lie, by default in the warehouse.
 
-        buckets: by default the shuffle partitions. Of edges with equal ends and relationship the most trusted, then
+        buckets: by default the shuffle partitions, or half of the tasks that the edges are dealt to where these are more. Of edges with equal ends and relationship the most trusted, then
         the heaviest, stands for all where only distinct ones count.
         """
         spark = g.nodes.sparkSession
-        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), g.tasks // 2)
+        cols = ["relationship", "weight", "confidence_ord", "copy"]
         best = Window.partitionBy(*EDGE_KEY).orderBy("confidence_ord", F.desc("weight"))
         edges = g.edges.withColumn("copy", F.lit(0) if g.unique else F.row_number().over(best) - 1)
-        far = g.nodes.select(F.col("id").alias("other"), F.col("label").alias("other_label"), F.lit(True).alias("other_known"))
-        cols = ["relationship", "weight", "confidence_ord", "copy"]
-        out = edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit(True).alias("outward"), *cols)
-        back = edges.where("copy = 0").select(F.col("dst").alias("id"), F.col("src").alias("other"), F.lit(False).alias("outward"), *cols)
-        ends = conform(out.unionByName(back).join(far, "other", "left").withColumn("other_known", F.coalesce("other_known", F.lit(False))), _END)
+        if g.sides is None:
+            far = g.nodes.select(F.col("id").alias("other"), F.col("label").alias("other_label"), F.lit(True).alias("other_known"))
+            out = edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit(True).alias("outward"), *cols)
+            back = edges.where("copy = 0").select(F.col("dst").alias("id"), F.col("src").alias("other"), F.lit(False).alias("outward"), *cols)
+            ends = out.unionByName(back).join(far, "other", "left").withColumn("other_known", F.coalesce("other_known", F.lit(False)))
+        else:  # labels come with the edges, which are made once for both ends
+            end = lambda own, other: F.struct(F.col(own).alias("id"), F.col(other).alias("other"), F.lit(own == "src").alias("outward"), *cols, F.col(f"{other}_label").alias("other_label"), F.lit(True).alias("other_known"))
+            ends = g.sides({"label": F.col("label")}).withColumn("copy", F.lit(0)).select(F.inline(F.array(end("src", "dst"), end("dst", "src"))))
+        ends = conform(ends, _END)
         for kind in ("nodes", "ends"):
             spark.sql(f"DROP TABLE IF EXISTS {name}_{kind}")
 
