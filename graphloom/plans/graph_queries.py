@@ -11,7 +11,7 @@ from ..operators import build as B
 from ..operators import metrics as M
 from ..operators import query as Q
 from ..operators import traverse as T
-from ..sources.relational import star_edges, star_graph, star_nodes, table
+from ..sources.relational import line_tasks, star_edges, star_graph, star_nodes, table
 
 #: The graph of sources/relational.py in SQL: nodes, raw edges, merged edges, degrees.
 GRAPH = """
@@ -67,7 +67,7 @@ QUERIES = {
     "graph_min_weight": lambda s, d: B.merge_edges(star_edges(s, d), star_nodes(s, d), 40.0).select("src", "dst", "relationship", "weight"),
     "graph_dangling_edges": lambda s, d: B.merge_edges(star_edges(s, d), star_nodes(s, d).where("type <> 'Supplier'")).groupBy("relationship").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")),
     "graph_node_merge": lambda s, d: B.merge_nodes(_extracted(s, d)).select("id", "label", "type", "file_path", *_meta("k", "line", "source_location", "merge_count")),
-    "graph_node_merge_fold": lambda s, d: B.merge_nodes(_extracted(s, d), strategy="aggregate").select("id", "label", *_meta("k", "line", "merge_count")),
+    "graph_node_merge_fold": lambda s, d: B.merge_nodes(_extracted(s, d), strategy="aggregate", tasks=line_tasks(s, d)).select("id", "label", *_meta("k", "line", "merge_count")),
     "graph_file_nodes": lambda s, d: B.file_nodes(_extracted(s, d)).select("id", "label", "type", "file_path"),
     "graph_contains_edges": lambda s, d: B.contains_edges(_extracted(s, d), star_edges(s, d)).select("src", "dst", "relationship", "weight"),
     "graph_relative_paths": lambda s, d: B.relative_paths(_extracted(s, d).withColumn("relative_path", F.concat(F.lit("rel/"), "label"))),

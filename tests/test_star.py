@@ -1,14 +1,18 @@
 """The star graph's edges merged by number, with keys that are null, repeated or lead nowhere."""
 
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.model import PropertyGraph
+from graphloom.operators import analyze as A
 from graphloom.operators import metrics as M
 from graphloom.operators import traverse as T
 from graphloom.operators.build import merge_edges
 from graphloom.sources import relational as R
+from graphloom.sources import sinks as S
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +70,65 @@ def test_a_loops_table_has_the_size_of_its_files(spark):
         x = cut(x.join(x.withColumnRenamed("id", "b"), x.id == F.col("b")).select("id"))
     assert int(str(x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 64
     assert x.count() == 100
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_meet_their_orders_in_tasks_that_grow(spark, star, monkeypatch):
+    monkeypatch.setattr(R, "LINES", 2)
+    assert len(re.findall(r"hashpartitioning\(line#\d+L?, 5\)", plan_of(R.star_graph(spark, star).edges))) == 2
+
+
+def test_large_tables_are_dealt_and_not_sent(spark, star, monkeypatch):
+    ask = lambda: sorted(map(repr, R.star_graph(spark, star).edges.collect()))
+    few = ask()
+    monkeypatch.setattr(R, "FEW", 0)
+    monkeypatch.setattr(R, "LINES", 2)
+    assert few == ask()
+
+
+def test_sides_are_the_nodes_attributes(spark, star):
+    g, want = R.star_graph(spark, star), {"community": F.col("community"), "label": F.col("label")}
+    cols = ["src", "dst", "relationship", "weight", "confidence_ord", "src_community", "dst_community", "src_label", "dst_label"]
+    ask = lambda g: sorted(map(repr, g.sided(want).where("src <> 'customer:2'").select(*cols).collect()))  # customer 2 is there twice
+    assert ask(g) == ask(PropertyGraph(g.nodes, g.edges)) == ask(g.settled(**want)) and len(ask(g)) > 5
+
+
+def one_of_each(g):
+    """The graph without the customer that is there twice."""
+    rest = lambda df: df.where("src <> 'customer:2'")
+    return replace(g, nodes=g.nodes.where("id <> 'customer:2'"), edges=rest(g.edges), sides=lambda want: rest(g.sides(want)))
+
+
+@pytest.mark.parametrize("name", ["wiki_articles", "questions", "vault_notes", "bridges", "bridge_nodes", "cohesion_report"])
+def test_edges_are_made_once_with_the_same_results(spark, star, name):
+    g, made = one_of_each(R.star_graph(spark, star)), []
+    run = next(getattr(m, name) for m in (S, A, M) if hasattr(m, name))
+    ask = lambda g: sorted(map(repr, run(g).collect()))
+    bad = g.edges.where(F.raise_error(F.lit("edges are made again")).isNull())
+    counted = replace(g, edges=bad if name in ("wiki_articles", "questions") else g.edges, sides=lambda want: (made.append(want), g.sides(want))[1])
+    assert ask(counted) == ask(PropertyGraph(g.nodes, g.edges, True, True)) and len(made) == 1
+
+
+def test_a_vaults_lines_are_shuffled_by_their_own_node_alone(spark, star):
+    assert "hashpartitioning(other#" not in plan_of(S.vault_notes(R.star_graph(spark, star)))
+
+
+def test_a_store_of_sides_is_that_of_the_graph(spark, star):
+    from graphloom.sources.store import GraphStore
+
+    g = one_of_each(R.star_graph(spark, star))
+    both = [GraphStore.save(x, f"sides_{k}", buckets=2) for k, x in enumerate((g, PropertyGraph(g.nodes, g.edges, True, True)))]
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(both[0].ends) == rows(both[1].ends) and rows(both[0].nodes) == rows(both[1].nodes) and rows(both[0].ends)
+    for b in both:
+        b.drop()
+
+
+def test_a_fold_is_dealt_to_tasks_that_grow(spark, star, monkeypatch):
+    from graphloom.plans.graph_queries import QUERIES
+
+    monkeypatch.setattr(R, "LINES", 2)
+    assert re.search(r"hashpartitioning\(id#\d+, 5\)", plan_of(QUERIES["graph_node_merge_fold"](spark, star)))
