@@ -144,7 +144,14 @@ class Automaton:
                 return found
         else:
             text = unicodedata.normalize("NFC", text)
-            found = _SPLIT.findall("".join(c.lower() for c in text))
+            # As each letter by itself; only a sigma's form depends on its neighbours.
+            low = text.lower() if "\u03a3" not in text else "".join(c.lower() for c in text)
+            if low.isalpha():
+                found = [low]
+            elif low[:-1].isalpha() and low[-1] in ".,!?;:":
+                found = [low[:-1], low[-1]]
+            else:
+                found = _SPLIT.findall(low)
         letters = byte_letters()
         return ["".join([letters[b] for b in w.encode()]) for w in found]
 
