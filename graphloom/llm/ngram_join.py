@@ -14,7 +14,8 @@
    size-derived bound. Only links that pass tie documents together.
 4. Where a key's documents still belong to different components, they are paired with the pivot of another one and
    verified likewise; in keys that remain in several, every pair of different components is compared, first by
-   parities (which bound the difference from below), then by the product.
+   parities (which bound the difference from below), then by the product. A pair with many such keys comes from the
+   first one alone.
 5. Components of the links give the classes' component ids, and membership the documents'.
 """
 
@@ -36,8 +37,8 @@ from .shared import dealt, discard, materialize, small_batches, text_chunks, tex
 LOCAL, BLOCK, COLUMNS = 16, 1024, 8
 #: An n-gram is frequent that one document in so many has; the table of them has at most so many entries.
 ONE_IN, FREQUENT = 512, 1 << 17
-#: Salts of exact copies' classes, bits of the filter of keys with several components, 64-bit words of parities.
-SALTS, FILTER, PARITY = 16, 1 << 23, 16
+#: Salts of exact copies' classes, bits of the filter of keys with several components, 64-bit words of parities; first keys of a document that its rows hold, and what stands for none.
+SALTS, FILTER, PARITY, FIRST, NONE = 16, 1 << 23, 16, 16, np.uint64((1 << 64) - 1)
 
 
 class Bound:
@@ -284,11 +285,32 @@ def _parities(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _first_keys(key: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Of each row its FIRST smallest keys, filled up with NONE."""
+    out = np.full((rows, FIRST), NONE, np.uint64)
+    order = np.lexsort((key, row))
+    key, row = key[order], row[order]
+    at = np.arange(len(row)) - np.searchsorted(row, row)
+    out[row[at < FIRST], at[at < FIRST]] = key[at < FIRST]
+    return out
+
+
+def _made_here(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of documents with first keys a and b are made at these keys, cut to 40 bits: at the smallest that both hold, or at every one if they hold none in common."""
+    out = np.ones(len(key), bool)
+    for i in range(0, len(key), BLOCK):
+        x, y = a[i : i + BLOCK], b[i : i + BLOCK]
+        same = (x[:, :, None] == y[:, None, :]).any(2) & (x != NONE)
+        first = np.where(same, x, NONE).min(1)
+        out[i : i + BLOCK] = ~same.any(1) | (first & np.uint64((1 << 40) - 1) == key[i : i + BLOCK])
+    return out
+
+
 def _send_loose(n: int, lower: bool, scheme, buckets: int, loose: np.ndarray):
     """Keys that may have several components, with what bounds a pair's overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        pack = Packer(buckets, ["keys", "ids", "labels", "sizes", *(f"p{k}" for k in range(PARITY))])
+        pack = Packer(buckets, ["keys", "ids", "labels", "sizes", *(f"p{k}" for k in range(PARITY)), *(f"f{k}" for k in range(FIRST))])
         for batch, buf, offs in text_chunks(batches):
             flat, sizes, _ = _sets(batch, buf, offs, n, lower)
             if (found := scheme.keys(flat, sizes)) is None or not len(found[0]):
@@ -298,25 +320,25 @@ def _send_loose(n: int, lower: bool, scheme, buckets: int, loose: np.ndarray):
             at = (small % np.uint64(FILTER)).astype(np.int64)
             on = (loose[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
             key, small, row = key[on], small[on], row[on]
-            par = _parities(flat, sizes)
+            par, first = _parities(flat, sizes), _first_keys(key, row, len(sizes))
             ids, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "label"))
-            yield from pack.add(bucket_of(key, buckets), small, ids[row], label[row], sizes[row], *(par[row, k] for k in range(PARITY)))
+            yield from pack.add(bucket_of(key, buckets), small, ids[row], label[row], sizes[row], *(par[row, k] for k in range(PARITY)), *(first[row, k] for k in range(FIRST)))
         yield from pack.rest()
 
     return run
 
 
 def _cross(bound: Bound, nearest: bool = False):
-    """(a, b) of a bucket: all pairs of different components with one key whose sizes and parities allow a link.
+    """(a, b) of a bucket: all pairs of different components with one key whose sizes and parities allow a link, if they are made at this key.
 
     nearest: of each document's pairs in a key only the one whose parities are least apart.
     """
 
     def run(table: pa.Table) -> pa.Table:
         key, ids, label, size = (unpack(table, c, t) for c, t in (("keys", np.uint64), ("ids", np.int64), ("labels", np.int64), ("sizes", np.int64)))
-        par = np.stack([unpack(table, f"p{k}", np.uint64) for k in range(PARITY)], 1)
+        par, held = (np.stack([unpack(table, f"{c}{k}", np.uint64) for k in range(m)], 1) for c, m in (("p", PARITY), ("f", FIRST)))
         order = np.lexsort((label, key))
-        key, ids, label, size, par = key[order], ids[order], label[order], size[order], par[order]
+        key, ids, label, size, par, held = key[order], ids[order], label[order], size[order], par[order], held[order]
         cuts, out = _groups(key), [np.zeros((0, 2), np.int64)]
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if label[lo] == label[hi - 1]:
@@ -338,6 +360,8 @@ def _cross(bound: Bound, nearest: bool = False):
                             first[far.argmin(0), np.arange(far.shape[1])] = True
                             ok &= first
                         x, y = np.nonzero(ok)
+                        here = _made_here(key[a][x], held[a][x], held[b][y])
+                        x, y = x[here], y[here]
                         pair = np.stack([ids[a][x], ids[b][y]], 1)
                         out.append(np.sort(pair, axis=1))
         pair = np.unique(np.concatenate(out), axis=0)
@@ -541,7 +565,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         # Components that many pairs tie are tied by the nearest ones first, so that only pairs of what stays apart are left.
         for nearest in how.steps:
             left = open_texts.drop("label").join(dealt(label.select(F.col("v").alias("id"), "c")), "id", "left").select("id", "text", F.coalesce("c", "id").alias("label"))
-            sent = left.mapInArrow(_send_loose(n, lower, how, buckets, loose.view(np.uint64)), "bucket int, keys binary, ids binary, labels binary, sizes binary, " + ", ".join(f"p{k} binary" for k in range(PARITY)))
+            sent = left.mapInArrow(_send_loose(n, lower, how, buckets, loose.view(np.uint64)), "bucket int, keys binary, ids binary, labels binary, sizes binary, " + ", ".join(f"{c}{k} binary" for c, m in (("p", PARITY), ("f", FIRST)) for k in range(m)))
             more = materialize(sent.groupBy("bucket").applyInArrow(_cross(bound, nearest), "a long, b long").distinct(), "more")
             if more.limit(1).count():
                 found = _links(more, texts, sigs, n, lower, bound, how)
