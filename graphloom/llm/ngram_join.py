@@ -35,10 +35,12 @@ from .shared import dealt, discard, materialize, small_batches, text_chunks, tex
 
 #: Documents with one key in a flush that meet on the map side; rows in a block of pairs; column blocks of the product.
 LOCAL, BLOCK, COLUMNS = 16, 1024, 8
+#: Documents of a key up to which keys are taken together, so many pairs at a time.
+TOGETHER, PAIRS = 64, 1 << 17
 #: An n-gram is frequent that one document in so many has; the table of them has at most so many entries.
 ONE_IN, FREQUENT = 512, 1 << 17
-#: Salts of exact copies' classes, bits of the filter of keys with several components, 64-bit words of parities; first keys of a document that its rows hold, and what stands for none.
-SALTS, FILTER, PARITY, FIRST, NONE = 16, 1 << 23, 16, 16, np.uint64((1 << 64) - 1)
+#: Salts of exact copies' classes, most bits of the filter of keys with several components and bits for each key, 64-bit words of parities; first keys of a document that its rows hold, and what stands for none.
+SALTS, FILTER, KEY_BITS, PARITY, FIRST, NONE = 16, 1 << 28, 16, 16, 16, np.uint64((1 << 64) - 1)
 
 
 class Bound:
@@ -251,11 +253,11 @@ def _send(n: int, lower: bool, scheme, buckets: int, labelled: bool):
 
 
 def _pivots(labelled: bool):
-    """Of a bucket: (x, rare, p), x with the plainest pivot; with labels also, x and p null, bits of keys with several components."""
+    """Of a bucket: (x, rare, p), x with the plainest pivot; with labels also, x and p null, keys with several components."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         keys, ids, rare, label = (unpack(table, c, t) for c, t in (("keys", np.uint64), ("ids", np.int64), ("rare", np.int32), ("labels", np.int64)))
-        bits = np.zeros(0, np.int64)
+        loose = np.zeros(0, np.int64)
         if key[0].as_py() < 0:
             x, rp, p = ids, rare, keys.view(np.int64)
         else:
@@ -267,22 +269,90 @@ def _pivots(labelled: bool):
             if labelled and len(keys):
                 cuts = _groups(keys)[:-1]
                 many = np.minimum.reduceat(label, cuts) < np.maximum.reduceat(label, cuts)
-                bits = np.unique((keys[cuts[many]] % np.uint64(FILTER)).astype(np.int64))
-        none = pa.nulls(len(bits), pa.int64())
+                loose = keys[cuts[many]].view(np.int64)
+        none = pa.nulls(len(loose), pa.int64())
         return pa.table({
             "x": pa.chunked_array([pa.array(x, pa.int64()), none]), "rare": pa.chunked_array([pa.array(rp.astype(np.int64)), none]),
-            "p": pa.chunked_array([pa.array(p, pa.int64()), none]), "bit": pa.chunked_array([pa.nulls(len(x), pa.int64()), pa.array(bits)]),
+            "p": pa.chunked_array([pa.array(p, pa.int64()), none]), "loose": pa.chunked_array([pa.nulls(len(x), pa.int64()), pa.array(loose)]),
         })
 
     return run
 
 
-def _parities(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Of each set 64 * PARITY bits, each the parity of the n-grams that fall there; sets differ in at least as many n-grams as bits."""
+def _filter(keys: DataFrame) -> np.ndarray | None:
+    """A filter of the keys (loose), two bits for each, in 64-bit words; it grows with them up to FILTER bits. None without keys."""
+    keys = keys.where("loose is not null").select("loose").distinct()
+    if not (n := keys.count()):
+        return None
+    size = min(FILTER, 1 << max(16, (KEY_BITS * n - 1).bit_length()))
+    bits = keys.select(F.explode(F.array("loose", F.shiftright("loose", 12))).alias("bit")).withColumn("bit", F.col("bit").bitwiseAND(F.lit(size - 1)))
+    words = bits.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("m")).toArrow()  # at most FILTER / 64
+    out = np.zeros(size // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("m").to_numpy()
+    return out.view(np.uint64)
+
+
+def _may_hold(words: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which keys, cut to 40 bits, the filter may hold."""
+    on = np.ones(len(key), bool)
+    for h in (key, key >> np.uint64(12)):
+        at = h & np.uint64(64 * len(words) - 1)
+        on &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return on
+
+
+def _parities(flat: np.ndarray, sizes: np.ndarray):
+    """Of each set the parities of the n-grams that fall in 64 * PARITY bits; where its words begin in those of at least a bit for two n-grams, how many, and these; sets differ in at least as many n-grams as bits.
+
+    The many words folded on PARITY of them, one over the other, are the few.
+    """
+    many = PARITY << np.maximum(0, np.ceil(np.log2(np.maximum(sizes, 1) / (128 * PARITY)))).astype(np.int64)
+    first = np.cumsum(many) - many
     row = np.repeat(np.arange(len(sizes)), sizes)
-    out = np.zeros((len(sizes), PARITY), np.uint64)
-    np.bitwise_xor.at(out, (row, ((flat >> np.uint64(6)) % np.uint64(PARITY)).astype(np.int64)), np.uint64(1) << (flat & np.uint64(63)))
-    return out
+    words = np.zeros(many.sum(), np.uint64)
+    np.bitwise_xor.at(words, first[row] + ((flat >> np.uint64(6)) % many[row].astype(np.uint64)).astype(np.int64), np.uint64(1) << (flat & np.uint64(63)))
+    owner = np.repeat(np.arange(len(sizes)), many)
+    few = np.zeros((len(sizes), PARITY), np.uint64)
+    np.bitwise_xor.at(few, (owner, (np.arange(len(words)) - first[owner]) % PARITY), words)
+    return few, first, many, words
+
+
+def _spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places first, first + 1, ..., n of each, one after the other."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+class Finer:
+    """Parities of large sets beyond the PARITY words that rows hold."""
+
+    def __init__(self, ids: np.ndarray, few: np.ndarray, of: np.ndarray, at: np.ndarray, word: np.ndarray):
+        order = np.lexsort((at, of))
+        order = order[np.concatenate([[True], (of[order][1:] != of[order][:-1]) | (at[order][1:] != at[order][:-1])])] if len(order) else order
+        of, at, word = of[order], at[order], word[order]
+        sets, start, more = np.unique(of, return_index=True, return_counts=True)
+        many = more + PARITY
+        first = np.cumsum(many) - many
+        self.words = np.zeros(many.sum(), np.uint64)
+        self.words[_spans(first + PARITY, more)] = word
+        seen, row = np.unique(ids, return_index=True)
+        fold = few[row[np.searchsorted(seen, sets)]] if len(sets) else few[:0]
+        np.bitwise_xor.at(fold, (np.repeat(np.arange(len(sets)), more), at.astype(np.int64) % PARITY), word)
+        self.words[_spans(first, np.full(len(sets), PARITY))] = fold.ravel()
+        place = np.minimum(np.searchsorted(sets, ids), len(sets) - 1)
+        known = sets[place] == ids if len(sets) else np.zeros(len(ids), bool)
+        self.first, self.many = (np.where(known, x[place], d) if len(sets) else np.full(len(ids), d) for x, d in ((first, 0), (many, PARITY)))
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """A lower bound of how many n-grams the sets of rows x and y differ in, 0 where one of them has no further words."""
+        out = np.zeros(len(x), np.int64)
+        p, q = self.many[x], self.many[y]
+        for n, m in np.unique(np.stack([p, q], 1)[np.minimum(p, q) > PARITY], axis=0).tolist():
+            rows, w = np.flatnonzero((p == n) & (q == m)), min(n, m)
+            for i in range(0, len(rows), step := max(1, (1 << 20) // max(n, m))):
+                r = rows[i : i + step]
+                u, v = (np.bitwise_xor.reduce(self.words[self.first[at[r], None] + np.arange(k)].reshape(len(r), k // w, w), axis=1) for at, k in ((x, n), (y, m)))
+                out[r] = np.bitwise_count(u ^ v).sum(1, dtype=np.int64)
+        return out
 
 
 def _first_keys(key: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -306,24 +376,39 @@ def _made_here(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Columns of keys that may have several components, and of the further parities of the sets that have them in a bucket.
+KEYED, FURTHER = ["keys", "ids", "labels", "sizes", *(f"p{k}" for k in range(PARITY)), *(f"f{k}" for k in range(FIRST))], ["of", "at", "word"]
+
+
 def _send_loose(n: int, lower: bool, scheme, buckets: int, loose: np.ndarray):
-    """Keys that may have several components, with what bounds a pair's overlap."""
+    """Keys that may have several components, with what bounds a pair's overlap; a set's further parities come once to each bucket."""
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        none = pa.array([b""] * batch.num_rows, pa.binary())
+        have = dict(zip(batch.schema.names, batch.columns, strict=True))
+        return pa.RecordBatch.from_pydict({c: have.get(c, none) for c in ["bucket", *KEYED, *FURTHER]})
 
     def run(batches: Iterator[pa.RecordBatch]):
-        pack = Packer(buckets, ["keys", "ids", "labels", "sizes", *(f"p{k}" for k in range(PARITY)), *(f"f{k}" for k in range(FIRST))])
+        pack, further = Packer(buckets, KEYED), Packer(buckets, FURTHER)
         for batch, buf, offs in text_chunks(batches):
             flat, sizes, _ = _sets(batch, buf, offs, n, lower)
             if (found := scheme.keys(flat, sizes)) is None or not len(found[0]):
                 continue
             key, row, _ = found
-            small = key & np.uint64((1 << 40) - 1)
-            at = (small % np.uint64(FILTER)).astype(np.int64)
-            on = (loose[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            key, small, row = key[on], small[on], row[on]
-            par, first = _parities(flat, sizes), _first_keys(key, row, len(sizes))
+            on = _may_hold(loose, key & np.uint64((1 << 40) - 1))
+            first = _first_keys(key[on], row[on], len(sizes))
+            key, row = key[on], row[on]
+            few, start, many, words = _parities(flat, sizes)
             ids, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "label"))
-            yield from pack.add(bucket_of(key, buckets), small, ids[row], label[row], sizes[row], *(par[row, k] for k in range(PARITY)), *(first[row, k] for k in range(FIRST)))
-        yield from pack.rest()
+            bucket = bucket_of(key, buckets)
+            yield from map(whole, pack.add(bucket, key & np.uint64((1 << 40) - 1), ids[row], label[row], sizes[row], *(few[row, k] for k in range(PARITY)), *(first[row, k] for k in range(FIRST))))
+            large = many[row] > PARITY
+            to, of = np.divmod(np.unique(bucket[large].astype(np.int64) * len(sizes) + row[large]), len(sizes))
+            more = many[of] - PARITY
+            place = _spans(start[of] + PARITY, more)
+            yield from map(whole, further.add(np.repeat(to, more).astype(np.int32), np.repeat(ids[of], more), (place - np.repeat(start[of], more)).astype(np.int32), words[place]))
+        yield from map(whole, pack.rest())
+        yield from map(whole, further.rest())
 
     return run
 
@@ -339,10 +424,35 @@ def _cross(bound: Bound, nearest: bool = False):
         par, held = (np.stack([unpack(table, f"{c}{k}", np.uint64) for k in range(m)], 1) for c, m in (("p", PARITY), ("f", FIRST)))
         order = np.lexsort((label, key))
         key, ids, label, size, par, held = key[order], ids[order], label[order], size[order], par[order], held[order]
-        cuts, out = _groups(key), [np.zeros((0, 2), np.int64)]
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if label[lo] == label[hi - 1]:
-                continue
+        finer = Finer(ids, par, *(unpack(table, c, t) for c, t in zip(FURTHER, (np.int64, np.int32, np.uint64), strict=True)))
+        out = [np.zeros((0, 2), np.int64)]
+
+        def made(x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> None:
+            """Adds those pairs of rows, whose few parities allow a link, that are made here."""
+            far = np.maximum(apart, finer.apart(x, y))
+            may = far <= bound.differ(size[x] + size[y])
+            x, y, far = x[may], y[may], far[may]
+            if nearest:
+                x, y = _nearest(x, y, far)
+            here = _made_here(key[x], held[x], held[y])
+            out.append(np.sort(np.stack([ids[x[here]], ids[y[here]]], 1), axis=1))
+
+        cuts = _groups(key)
+        rows = np.diff(cuts)
+        mixed = np.flatnonzero(label[cuts[:-1]] != label[cuts[1:] - 1]) if len(key) else np.zeros(0, np.int64)
+        few = mixed[rows[mixed] <= TOGETHER]
+        run_of = np.cumsum(rows[few] * (rows[few] - 1) // 2) // PAIRS
+        for g in np.split(few, np.flatnonzero(np.diff(run_of)) + 1):  # small groups by the hundred, so that none costs a call
+            at = _spans(cuts[g], rows[g])
+            after = np.repeat(cuts[g + 1], rows[g]) - 1 - at
+            x, y = np.repeat(at, after), _spans(at + 1, after)
+            ok = (label[x] != label[y]) & (np.minimum(size[x], size[y]) * bound.q >= bound.p * np.maximum(size[x], size[y]))
+            x, y = x[ok], y[ok]
+            apart = np.bitwise_count(par[x] ^ par[y]).sum(1, dtype=np.int64)
+            ok = apart <= bound.differ(size[x] + size[y])
+            if ok.any():
+                made(x[ok], y[ok], apart[ok])
+        for lo, hi in zip(*(cuts[mixed[rows[mixed] > TOGETHER] + k].tolist() for k in (0, 1)), strict=True):
             for i in range(lo, hi, BLOCK):
                 a = slice(i, min(hi, i + BLOCK))
                 for j in range(i, hi, BLOCK):
@@ -353,23 +463,24 @@ def _cross(bound: Bound, nearest: bool = False):
                     if ok.any():
                         apart = sum(np.bitwise_count(par[a, None, k] ^ par[None, b, k]).astype(np.int64) for k in range(PARITY))
                         ok &= apart <= bound.differ(big + less)
-                        if nearest:
-                            far = np.where(ok, apart, np.iinfo(np.int64).max)
-                            first = np.zeros_like(ok)
-                            first[np.arange(len(far)), far.argmin(1)] = True
-                            first[far.argmin(0), np.arange(far.shape[1])] = True
-                            ok &= first
                         x, y = np.nonzero(ok)
-                        here = _made_here(key[a][x], held[a][x], held[b][y])
-                        x, y = x[here], y[here]
-                        pair = np.stack([ids[a][x], ids[b][y]], 1)
-                        out.append(np.sort(pair, axis=1))
+                        if len(x):
+                            made(i + x, j + y, apart[x, y])
         pair = np.unique(np.concatenate(out), axis=0)
         return pa.table({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64())})
 
     return run
 
 
+def _nearest(x: np.ndarray, y: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs (x, y) those that are the least far ones of their x or of their y."""
+    stay = np.zeros(len(x), bool)
+    for end, other in ((x, y), (y, x)):
+        order = np.lexsort((other, far, end))
+        stay[order] |= np.concatenate([[True], end[order][1:] != end[order][:-1]]) if len(order) else False
+    return x[stay], y[stay]
+
+
 def masked_overlaps(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, ia: np.ndarray, ib: np.ndarray, bound: Bound) -> np.ndarray:
     """Which pairs (ia, ib) of rows of two incidence matrices, given as flat sorted sets and sizes, link.
 
@@ -540,7 +651,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     discard(light)
     buckets = bucket_count(spark)
     reps = members.where("id = rep and n > 0").select("id")
-    packed, paired = "bucket int, keys binary, ids binary, rare binary, labels binary", "x long, rare long, p long, bit long"
+    packed, paired = "bucket int, keys binary, ids binary, rare binary, labels binary", "x long, rare long, p long, loose long"
 
     def best(found: DataFrame) -> DataFrame:
         return found.where("x is not null").groupBy("x").agg(F.min(F.struct("rare", "p")).alias("to")).select(F.col("to.p").alias("a"), F.col("x").alias("b"))
@@ -556,16 +667,13 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     label = components(links)
     open_texts = materialize(texts.join(dealt(label.select(F.col("v").alias("id"), "c")), "id", "left").select("id", "text", F.coalesce("c", "id").alias("label")), "labelled")
     again = materialize(open_texts.mapInArrow(_send(n, lower, how, buckets, True), packed).groupBy("bucket").applyInArrow(_pivots(True), paired), "again")
-    words = again.where("bit is not null").groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("m")).collect()
-    if words:  # at most FILTER / 64
-        loose = np.zeros(FILTER // 64, np.int64)
-        loose[[r.w for r in words]] = [r.m for r in words]
+    if (loose := _filter(again)) is not None:
         links = links.unionByName(_links(best(again).where("a <> b"), texts, sigs, n, lower, bound, how))
         label = components(links)
         # Components that many pairs tie are tied by the nearest ones first, so that only pairs of what stays apart are left.
         for nearest in how.steps:
             left = open_texts.drop("label").join(dealt(label.select(F.col("v").alias("id"), "c")), "id", "left").select("id", "text", F.coalesce("c", "id").alias("label"))
-            sent = left.mapInArrow(_send_loose(n, lower, how, buckets, loose.view(np.uint64)), "bucket int, keys binary, ids binary, labels binary, sizes binary, " + ", ".join(f"{c}{k} binary" for c, m in (("p", PARITY), ("f", FIRST)) for k in range(m)))
+            sent = left.mapInArrow(_send_loose(n, lower, how, buckets, loose), "bucket int, " + ", ".join(f"{c} binary" for c in [*KEYED, *FURTHER]))
             more = materialize(sent.groupBy("bucket").applyInArrow(_cross(bound, nearest), "a long, b long").distinct(), "more")
             if more.limit(1).count():
                 found = _links(more, texts, sigs, n, lower, bound, how)
